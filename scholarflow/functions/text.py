@@ -39,6 +39,32 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_bind(value: str, name: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def on(c: Column | str, build) -> Column:
+    """Column of the SQL text ``build(x)``, where x stands for ``c``.
+
+    Deeply nested lambdas are written as SQL text: one parse in the JVM takes
+    the place of a round trip per function call.
+    """
+    if isinstance(c, str):
+        return F.expr(build(f"`{c}`"))
+    bound = F.call_function("transform", F.array(c), F.expr(f"x_ -> {build('x_')}"))
+    return F.element_at(bound, 1)
+
+
+def strip_sql(x: str) -> str:
+    return f"btrim({x}, {sql_text(WHITESPACE)})"
+
+
 def strip(c: Column | str) -> Column:
     """Remove Unicode white space from both ends."""
     return F.btrim(col(c), F.lit(WHITESPACE))
@@ -95,19 +121,18 @@ def without(c: Column | str, *literals: str) -> Column:
     return out
 
 
+def escape_citation_sql(x: str) -> str:
+    opened = f"if(startswith({x}, '['), replace({x}, '[', '\\\\['), {x})"
+    return f"if(endswith({x}, ']'), replace({opened}, ']', '\\\\]'), {opened})"
+
+
 def escape_citation(c: Column | str) -> Column:
     """Escape the brackets of a citation mark such as [12].
 
     ``[`` is escaped when the text starts with it, ``]`` when the text ends
     with it.
     """
-    text = col(c)
-    opened = F.when(
-        F.startswith(text, F.lit("[")), F.replace(text, F.lit("["), F.lit("\\["))
-    ).otherwise(text)
-    return F.when(
-        F.endswith(text, F.lit("]")), F.replace(opened, F.lit("]"), F.lit("\\]"))
-    ).otherwise(opened)
+    return on(c, escape_citation_sql)
 
 
 def hashes(level: Column | str) -> Column:
@@ -126,9 +151,26 @@ def image_url(href: Column, site: str = "https://ieeexplore.ieee.org/") -> Colum
     return F.concat(F.lit(site), href)
 
 
-def _code_point(n: Column) -> Column:
-    """The character with code point ``n``."""
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+def unescape_sql(x: str, entities: dict[str, int] | None = None) -> str:
+    table = html.entities.name2codepoint if entities is None else entities
+    # one foldable call; as a map constructor it would carry 500 literals
+    pairs = "\x01".join(f"&{k};\x02{chr(v)}" for k, v in table.items())
+    named = f"coalesce(str_to_map({sql_text(pairs)}, '\x01', '\x02')[e_], e_)"
+    decimal = r"nullif(regexp_extract(e_, '^&#([0-9]{1,7});$', 1), '')"
+    hexa = r"nullif(regexp_extract(e_, '^&#[xX]([0-9a-fA-F]{1,6});$', 1), '')"
+    number = f"cast(coalesce({decimal}, conv({hexa}, 16, 10)) as bigint)"
+    legal = "n_ between 1 and 1114111 and n_ not between 55296 and 57343"
+    character = "decode(unhex(lpad(hex(n_), 8, '0')), 'UTF-32')"
+    numeric = sql_bind(number, "n_", f"if({legal}, {character}, e_)")
+    resolved = (
+        "case when not startswith(e_, '&') then e_ "
+        f"when startswith(e_, '&#') then {numeric} else {named} end"
+    )
+    pieces = "regexp_extract_all(u_, '&[#0-9A-Za-z]{1,32};|[^&]+|&', 0)"
+    return sql_bind(
+        x, "u_",
+        f"if(contains(u_, '&'), array_join(transform({pieces}, e_ -> {resolved}), ''), u_)",
+    )
 
 
 def unescape_html(c: Column | str, entities: dict[str, int] | None = None) -> Column:
@@ -137,28 +179,7 @@ def unescape_html(c: Column | str, entities: dict[str, int] | None = None) -> Co
     ``entities`` maps names to code points; the default is the standard
     library's HTML 4 table. Unknown names stay as they are.
     """
-    text = col(c)
-    table = html.entities.name2codepoint if entities is None else entities
-    names = F.create_map(*[F.lit(x) for k, v in table.items() for x in (f"&{k};", chr(v))])
-
-    def resolve(piece: Column) -> Column:
-        decimal = F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)
-        hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        number = (
-            F.when(decimal != "", decimal.cast("bigint"))
-            .when(hexa != "", F.conv(hexa, 16, 10).cast("bigint"))
-        )
-        legal = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return (
-            F.when(~F.startswith(piece, F.lit("&")), piece)
-            .when(F.startswith(piece, F.lit("&#")) & legal, _code_point(number))
-            .otherwise(F.coalesce(names[piece], piece))
-        )
-
-    pieces = F.regexp_extract_all(text, F.lit(r"&[#0-9A-Za-z]{1,32};|[^&]+|&"), F.lit(0))
-    return F.when(
-        F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, resolve), "")
-    ).otherwise(text)
+    return on(c, lambda x: unescape_sql(x, entities))
 
 
 def escape_html(c: Column | str) -> Column:

@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from scholarflow.functions import html as H
 from scholarflow.functions import text as X
@@ -75,29 +74,26 @@ PARSE_FAILURE = "Figure could not be parsed."
 # ----------------------------------------------------------------------------
 
 
-def page_tokens(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
+def page_tokens(pages: DataFrame) -> DataFrame:
     """(page_id, pos, token): every character of a page in exactly one token."""
-    tokens = F.regexp_extract_all(F.col(html), F.lit(H.TOKEN_PATTERN), F.lit(0))
-    return pages.select(F.col(page_id).alias("page_id"), F.posexplode(tokens).alias("pos", "token"))
+    tokens = H.find_all("html", H.TOKEN_PATTERN)
+    return pages.selectExpr("page_id", f"posexplode({tokens}) as (pos, token)")
 
 
-def _pieces(pages: DataFrame, layout: PageLayout, *keep: str) -> DataFrame:
-    """(page_id, keep.., seg, head, body): the page cut before container tags.
-
-    ``head`` is the tag a piece starts with ('' for the first piece).
+def _pieces(pages: DataFrame, layout: PageLayout) -> DataFrame:
+    """All columns but the mark-up, and (seg, head, body): the page cut before
+    container tags. ``head`` is the tag a piece starts with ('' for the first).
     """
-    clean = F.regexp_replace("html", H.NOISE_PATTERN, "")
-    cut = pages.select(
-        "page_id", *keep, F.posexplode(H.split_at(clean, layout.cut_tags)).alias("seg", "piece")
-    )
-    head = F.regexp_extract("piece", H.tag_pattern(layout.cut_tags, "^"), 0)
-    return cut.select(
-        "page_id", *keep, "seg", head.alias("head"),
-        F.substr("piece", F.length(head) + 1).alias("body"),
+    keep = [c for c in pages.columns if c != "html"]
+    cut = H.split_at(H.clean("html"), layout.cut_tags)
+    return (
+        pages.selectExpr(*keep, f"posexplode({cut}) as (seg, piece)")
+        .selectExpr(*keep, "seg", "piece", f"{H.leading_tag('piece', layout.cut_tags)} as head")
+        .selectExpr(*keep, "seg", "head", "substr(piece, length(head) + 1) as body")
     )
 
 
-def _nesting(pieces: DataFrame, layout: PageLayout, *, kind: Column | None = None) -> DataFrame:
+def _nesting(pieces: DataFrame, layout: PageLayout) -> DataFrame:
     """Add to every piece the containers around it.
 
     ``box`` is the innermost container after the piece's tag and ``up`` the one
@@ -106,233 +102,175 @@ def _nesting(pieces: DataFrame, layout: PageLayout, *, kind: Column | None = Non
     piece stands in and ``ends_list`` marks the tag that closes it. All windows
     are clustered by page, so one shuffle by page serves them all.
     """
-    page = Window.partitionBy("page_id").orderBy("seg")
-    closing = F.startswith("head", F.lit("</"))
-    empty = F.endswith("head", F.lit("/>"))
-    tag = H.tag_name(F.col("head"))
-    move = F.when((tag == "") | empty, 0).when(closing, -1).otherwise(1)
-    classes = F.coalesce(H.attribute(F.col("head"), "class"), F.lit(""))
-    if kind is None:
-        kind = F.lit(None).cast("string")
-        for box in reversed(layout.boxes):
-            match = F.col("tag").isin(*box.tags)
-            if box.classes:
-                match = match & H.has_class(F.col("class"), *box.classes)
-            kind = F.when(match, F.lit(box.kind)).otherwise(kind)
-    tagged = (
-        pieces.withColumn("tag", tag)
-        .withColumn("move", move)
-        .withColumn("class", classes)
-        .withColumn("kind", F.when(F.col("move") == 1, kind))
-    )
-    is_list = F.col("tag").isin(*LIST_TAGS)
-    list_move = F.when(is_list, F.col("move")).otherwise(0)
-    # an opening tag and its closing tag get the same depth among their tag
-    same_tag = Window.partitionBy("page_id", "tag").orderBy("seg")
-    depth = F.sum("move").over(same_tag) + F.when(F.col("move") == -1, 1).otherwise(0)
-    match = Window.partitionBy("page_id", "tag", "tag_depth").orderBy("seg")
-    opened = F.last(F.when(F.col("move") == 1, F.struct("kind")), ignorenulls=True).over(match)
-    box_move = (
-        F.when(F.col("kind").isNotNull(), 1)
-        .when((F.col("move") == -1) & F.col("opened.kind").isNotNull(), -1)
-        .otherwise(0)
-    )
-    numbered = Window.partitionBy("page_id", "kind").orderBy("seg")
-    around = Window.partitionBy("page_id", "box_depth").orderBy("seg")
-    here = F.when(
-        F.col("kind").isNotNull(),
-        F.struct(
-            F.col("seg"), F.col("kind"), F.row_number().over(numbered).alias("no"),
-            F.col("depth"),
-        ),
-    )
+    kinds = []
+    for box in layout.boxes:
+        match = f"tag in ({H.listed(box.tags)})"
+        if box.classes:
+            match += f" and {H.has_class('class', *box.classes)}"
+        kinds.append(f"when {match} then {X.sql_text(box.kind)}")
+    lists = f"tag in ({H.listed(LIST_TAGS)})"
+    page = "(partition by page_id order by seg)"
     return (
-        tagged.withColumn("tag_depth", depth)
-        .withColumn("opened", opened)
-        .withColumn("box_move", box_move)
-        .withColumn("depth", F.sum("move").over(page))
-        .withColumn("list_depth", F.sum(list_move).over(page))
-        .withColumn("box_depth", F.sum("box_move").over(page))
-        .withColumn("here", here)
-        .withColumn("box", F.when(F.col("box_depth") > 0, F.last("here", ignorenulls=True).over(around)))
-        .withColumn("up", F.lag("box").over(page))
-        .withColumn(
-            "list_tag",
-            F.when(
-                F.col("list_depth") > 0,
-                F.last(
-                    F.when(is_list & (F.col("move") == 1) & (F.col("list_depth") == 1), F.col("tag")),
-                    ignorenulls=True,
-                ).over(page),
-            ),
+        pieces.selectExpr(
+            "*", f"{H.tag_name('head')} as tag",
+            f"{H.attribute('head', 'class', plain=True)} as class",
+            "case when head = '' or endswith(head, '/>') then 0 "
+            "when startswith(head, '</') then -1 else 1 end as move",
         )
-        .withColumn("ends_list", is_list & (F.col("move") == -1) & (F.col("list_depth") == 0))
-        .drop("tag_depth", "opened", "here", "box_move", "move")
-    )
-
-
-def _headings(body: Column) -> Column:
-    """Array of (level, title, in_header): the heading elements of a piece."""
-    found = F.regexp_extract_all(
-        body, F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"), F.lit(0)
-    )
-    return F.when(
-        body.rlike(r"(?i)<h[1-6][\s>]"),
-        F.transform(found, lambda h: F.struct(
-            F.substr(h, F.lit(3), F.lit(1)).cast("int").alias("level"),
-            X.strip(H.plain_text(h)).alias("title"),
-            H.has_class(H.attribute(h, "class"), "header").alias("marked"),
-        )),
+        .selectExpr(
+            "*", f"case when move <> 1 then null {' '.join(kinds)} end as kind",
+            f"if({lists}, move, 0) as list_move",
+        )
+        # an opening tag and its closing tag get the same depth among their tag
+        .selectExpr(
+            "*",
+            "sum(move) over (partition by page_id, tag order by seg) + if(move = -1, 1, 0) as tag_depth",
+        )
+        .selectExpr(
+            "*",
+            "last(if(move = 1, struct(kind), null)) ignore nulls over "
+            "(partition by page_id, tag, tag_depth order by seg) as opened",
+            "row_number() over (partition by page_id, kind order by seg) as no",
+        )
+        .selectExpr(
+            "*",
+            "case when kind is not null then 1 "
+            "when move = -1 and opened.kind is not null then -1 else 0 end as box_move",
+        )
+        .selectExpr(
+            "*",
+            f"sum(move) over {page} as depth",
+            f"sum(list_move) over {page} as list_depth",
+            f"sum(box_move) over {page} as box_depth",
+        )
+        .selectExpr("*", "if(kind is null, null, struct(seg, kind, no, depth)) as here")
+        .selectExpr(
+            "*",
+            "if(box_depth > 0, last(here) ignore nulls over "
+            "(partition by page_id, box_depth order by seg), null) as box",
+        )
+        .selectExpr(
+            "*",
+            f"lag(box) over {page} as up",
+            "if(list_depth > 0, last(if(list_move = 1 and list_depth = 1, tag, null)) ignore nulls "
+            f"over {page}, null) as list_tag",
+            "list_move = -1 and list_depth = 0 as ends_list",
+        )
+        .drop("tag_depth", "opened", "here", "box_move", "list_move", "list_depth", "no")
     )
 
 
-def _outline(pages: DataFrame, layout: PageLayout, *keep: str) -> DataFrame:
-    """Nesting of the pages with headings and figure fields instead of text.
+def _outline(pages: DataFrame, layout: PageLayout) -> DataFrame:
+    """One row per piece with its nesting, and, on the rows that open a section
+    or a figure, what the mark-up says about it.
 
-    The mark-up is reduced to these fields before the shuffle.
+    The mark-up is reduced to headings, image and caption fields before the
+    shuffle. No joins: a heading, image or caption is repeated for every
+    container around it and reaches the opening row through windows clustered
+    by page.
     """
-    body, head = F.col("body"), F.col("head")
-    classes = H.attribute(head, "class")
-    is_image = H.has_class(classes, "img-wrap")
-    is_caption = H.has_class(classes, "figcaption")
-    link = F.regexp_extract(body, r"(?is)<a(?:\s[^>]*)?>(?:.*?</a\s*>)?", 0)
-    image = F.regexp_extract(link, r"(?is)<img(?:\s[^>]*)?>", 0)
-    title = H.first_element(body, "b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?title[\s\"'>]")
-    paragraph = H.first_element(body, "p")
-    second = F.try_element_at(H.inline_tokens(body), F.lit(2))
-    reduced = _pieces(pages, layout, *keep).select(
-        "page_id", *keep, "seg", "head",
-        _headings(body).alias("headings"),
-        F.when(is_image, F.struct(
-            F.when(link != "", F.coalesce(H.attribute(link, "href"), F.lit(""))).otherwise("").alias("href"),
-            (image != "").alias("has_image"),
-            F.when(
-                image != "", X.without(F.coalesce(H.attribute(image, "alt"), F.lit("Image")), "\n")
-            ).otherwise("").alias("alt"),
-        )).alias("image"),
-        F.when(is_caption, F.struct(
-            F.coalesce(H.compact_text(title), F.lit("")).alias("title"),
-            F.coalesce(H.compact_text(paragraph), X.unescape_html(second), F.lit("")).alias("text"),
-        )).alias("caption"),
-    )
-    return _nesting(reduced, layout).withColumn(
-        "id", F.when(F.col("kind").isNotNull(), H.attribute(F.col("head"), "id"))
-    )
-
-
-def _section_rows(outline: DataFrame, layout: PageLayout) -> DataFrame:
-    """(page_id, seg, ordinal, parent_ordinal, level, title, section_id)."""
+    classes = H.attribute("head", "class", plain=True)
+    link = H.find("body", r"(?is)<a(?:\s[^>]*)?>(?:.*?</a\s*>)?")
+    image = H.find("link_", r"(?is)<img(?:\s[^>]*)?>")
+    title = H.first_element("body", "b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?title[\s\"'>]")
+    second = X.unescape_sql(f"try_element_at({H.inline_tokens('body')}, 2)")
+    heading = (
+        "struct(cast(substr(g_, 3, 1) as int) as level, "
+        f"{X.strip_sql(H.plain_text('g_'))} as title, "
+        f"{H.has_class(H.attribute('g_', 'class', plain=True), 'header')} as marked)"
+    )
+    reduced = _pieces(pages, layout).selectExpr(
+        *[c for c in pages.columns if c != "html"], "seg", "head",
+        f"if(body rlike '(?i)<h[1-6][\\\\s>]', transform({H.find_all('body', H.HEADING_PATTERN)}, "
+        f"g_ -> {heading}), null) as headings",
+        f"if({H.has_class(classes, 'img-wrap')}, "
+        + X.sql_bind(link, "link_", X.sql_bind(image, "img_", (
+            f"struct(coalesce({H.attribute('link_', 'href')}, '') as href, img_ <> '' as has_image, "
+            f"if(img_ = '', '', replace(coalesce({H.attribute('img_', 'alt')}, 'Image'), '\n', '')) as alt)"
+        ))) + ", null) as image",
+        f"if({H.has_class(classes, 'figcaption')}, "
+        f"struct(coalesce({H.compact_text(title)}, '') as title, "
+        f"coalesce({H.compact_text(H.first_element('body', 'p'))}, {second}, '') as text), null) as caption",
+        f"{H.attribute('head', 'id')} as id",
+    )
     low, high = layout.heading_levels
     first, last = layout.trigger_levels
-    opens = outline.where(F.col("kind") == "section")
-    marks = outline.where(F.col("box").isNotNull() & F.col("headings").isNotNull()).select(
-        "page_id", "seg", "box", "box_depth", "depth", F.posexplode("headings").alias("at", "h")
-    )
-    # a heading counts for every section around it: one row per level, matched
-    # to the section that is open at that level
-    levels = marks.select(
-        "page_id", "seg", "at", F.explode(F.sequence(F.lit(1), "box_depth")).alias("level_no"),
-        "h", F.lit(None).cast("int").alias("open_seg"),
-    ).unionByName(
-        outline.where(F.col("kind").isNotNull()).select(
-            "page_id", "seg", F.lit(-1).alias("at"), F.col("box_depth").alias("level_no"),
-            F.lit(None).cast("struct<level:int,title:string,marked:boolean>").alias("h"),
-            F.col("seg").alias("open_seg"),
-        )
-    )
-    chain = Window.partitionBy("page_id", "level_no").orderBy("seg", "at")
-    held = (
-        levels.withColumn("open_seg", F.last("open_seg", ignorenulls=True).over(chain))
-        .where(F.col("h").isNotNull() & F.col("h.level").between(low, high))
-        .groupBy("page_id", "open_seg")
-        .agg(F.min(F.struct("h.level", "seg", "at", "h.title")).alias("best"))
-    )
-    own = marks.where(
-        (F.col("box.kind") == "section")
-        & (F.col("box.depth") == F.col("depth"))
-        & (F.col("h.level").between(first, last) | F.col("h.marked"))
-    ).select("page_id", F.col("box.seg").alias("open_seg"))
-    headers = outline.where(
-        (F.col("kind") == "header")
-        & (F.col("up.kind") == "section")
-        & (F.col("up.depth") + 1 == F.col("depth"))
-    ).select("page_id", F.col("up.seg").alias("open_seg"))
-    asked = own.unionByName(headers).distinct().withColumn("asked", F.lit(True))
-    best = held.join(asked, ["page_id", "open_seg"])
+    asks = (
+        "case when level_no = box_depth and box.kind = 'section' and box.depth = depth then "
+        f"coalesce(exists(headings, h_ -> h_.marked or h_.level between {first} and {last}), false) "
+        "when level_no = box_depth - 1 and kind = 'header' and up.kind = 'section' "
+        "then up.depth + 1 = depth else false end"
+    )
+    inside = "over (partition by page_id, level_no, around)"
+    in_figure = "up.kind = 'figure' and level_no = box_depth - 1"
     return (
-        opens.select(
-            "page_id", "seg", (F.col("box.no") - 1).alias("ordinal"),
-            F.when(F.col("up.kind") == "section", F.col("up.no") - 1).alias("parent_ordinal"), "id",
+        _nesting(reduced, layout)
+        .selectExpr(
+            "*",
+            "explode(if(box_depth > 0 and (kind is not null or headings is not null), "
+            "sequence(1, box_depth), array(box_depth))) as level_no",
         )
-        .join(best.withColumnRenamed("open_seg", "seg"), ["page_id", "seg"], "left")
-        .select(
-            "page_id", "seg", "ordinal", "parent_ordinal",
-            F.col("best.level").alias("level"),
-            F.coalesce("best.title", F.lit("")).alias("title"),
-            F.when(F.col("best").isNotNull(), F.coalesce("id", F.lit(""))).otherwise("").alias("section_id"),
+        # the container that is open at this level
+        .selectExpr(
+            "*",
+            "last(if(kind is not null and level_no = box_depth, seg, null)) ignore nulls over "
+            "(partition by page_id, level_no order by seg) as around",
         )
-    )
-
-
-def _figure_rows(outline: DataFrame) -> DataFrame:
-    """One row per figure or table box, with its fields and Markdown."""
-    boxes = outline.where(F.col("kind") == "figure").select(
-        "page_id", "document_id", "semantic_id", "seg", (F.col("box.no") - 1).alias("ordinal"),
-        F.col("id"),
-    )
-    parts = (
-        outline.where(F.col("up.kind") == "figure")
-        .where(F.col("image").isNotNull() | F.col("caption").isNotNull())
-        .groupBy("page_id", F.col("up.seg").alias("seg"))
-        .agg(
-            F.min_by("image", F.when(F.col("image").isNotNull(), F.col("seg"))).alias("image"),
-            F.min_by("caption", F.when(F.col("caption").isNotNull(), F.col("seg"))).alias("caption"),
+        .selectExpr(
+            "*",
+            f"min(array_min(transform(filter(headings, h_ -> h_.level between {low} and {high}), "
+            f"(h_, i_) -> struct(h_.level, seg, i_, h_.title)))) {inside} as best",
+            f"max({asks}) {inside} as asked",
+            f"min(if({in_figure} and image is not null, struct(seg, image), null)) {inside} as img",
+            f"min(if({in_figure} and caption is not null, struct(seg, caption), null)) {inside} as cap",
+        )
+        .where("level_no = box_depth")
+        .drop("headings", "image", "caption", "level_no", "around", "head", "tag", "class", "move")
+        .selectExpr(
+            "* except (best, asked, img, cap, id)",
+            "if(kind = 'section', struct(box.no - 1 as ordinal, if(up.kind = 'section', up.no - 1, null) "
+            "as parent_ordinal, if(asked, best.level, null) as level, "
+            "if(asked, coalesce(best.title, ''), '') as title, "
+            "if(asked and best is not null, coalesce(id, ''), '') as section_id), null) as head",
+            "if(kind = 'figure' and img is not null and cap is not null, struct(img.image.href, "
+            "img.image.alt, cap.caption.title, cap.caption.text, "
+            "if(img.image.has_image, coalesce(id, 'None'), '') as data_fig_id), null) as fig",
+        )
+        .selectExpr(
+            "*",
+            "if(fig is null, null, concat('ieee_', coalesce(document_id, 'Unknown'), '_', "
+            "fig.data_fig_id, '.gif')) as img_file_name",
+            "concat('../img/', coalesce(semantic_id, 'Unknown'), '_img') as image_dir",
         )
-    )
-    parsed = F.col("image").isNotNull() & F.col("caption").isNotNull()
-    anchor = F.when(F.col("image.has_image"), F.coalesce("id", F.lit("None"))).otherwise("")
-    name = X.image_name(F.coalesce("document_id", F.lit(X.UNKNOWN)), F.col("data_fig_id"))
-    path = F.concat(image_dir(F.col("semantic_id")), F.lit("/"), F.col("img_file_name"))
-    shown = F.concat(
-        F.lit("\n!["), F.col("image.alt"), F.lit("]("), F.col("path"), F.lit(")\n\n**"),
-        F.col("caption.title"), F.lit("** "), F.col("caption.text"), F.lit("\n\n"),
-    )
-    return (
-        boxes.join(parts, ["page_id", "seg"], "left")
-        .withColumn("parsed", parsed)
-        .withColumn("data_fig_id", F.when(F.col("parsed"), anchor))
-        .withColumn("img_file_name", name)
-        .withColumn("path", path)
-        .withColumn("markdown", F.coalesce(shown, F.lit(f"\n{PARSE_FAILURE}\n")))
     )
 
 
 def image_dir(semantic_id: Column) -> Column:
+    """Image folder of a paper, as its Markdown refers to it."""
     return F.concat(F.lit("../img/"), F.coalesce(semantic_id, F.lit(X.UNKNOWN)), F.lit("_img"))
 
 
 def _with_ids(pages: DataFrame) -> DataFrame:
     """The page columns this module works on; unknown paper ids are NULL."""
     optional = [
-        F.col(c).cast("string").alias(c) if c in pages.columns else F.lit(None).cast("string").alias(c)
+        f"cast({c if c in pages.columns else 'null'} as string) as {c}"
         for c in ("document_id", "semantic_id")
     ]
-    return pages.select("page_id", *optional, "html")
+    return pages.selectExpr("page_id", *optional, "html")
 
 
 def figures(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """Figure and table images of each page, in page order."""
-    rows = _figure_rows(_outline(_with_ids(pages), layout, "document_id", "semantic_id"))
-    ordinal = F.row_number().over(Window.partitionBy("page_id").orderBy("seg")) - 1
-    return rows.where("parsed").select(
+    rows = _outline(_with_ids(pages), layout).where("fig is not null")
+    return rows.select(
         "page_id",
-        ordinal.alias("ordinal"),
-        X.image_url(F.col("image.href")).alias("image_href"),
+        F.expr("row_number() over (partition by page_id order by seg) - 1").alias("ordinal"),
+        X.image_url(F.col("fig.href")).alias("image_href"),
         "img_file_name",
-        "data_fig_id",
-        F.col("image.alt").alias("alt"),
-        F.col("caption.title").alias("caption_title"),
-        F.col("caption.text").alias("caption_text"),
+        "fig.data_fig_id",
+        "fig.alt",
+        F.col("fig.title").alias("caption_title"),
+        F.col("fig.text").alias("caption_text"),
     )
 
 
@@ -340,7 +278,7 @@ def image_manifest(figure_rows: DataFrame, directory: Column) -> DataFrame:
     """(page_id, image_href, file_path) of the images to fetch; rows without a
     link or a file name are left out."""
     return figure_rows.where(
-        (F.coalesce("image_href", F.lit("")) != "") & (F.coalesce("img_file_name", F.lit("")) != "")
+        "coalesce(image_href, '') <> '' and coalesce(img_file_name, '') <> ''"
     ).select(
         "page_id", "image_href",
         F.concat(directory, F.lit("/"), F.col("img_file_name")).alias("file_path"),
@@ -349,103 +287,61 @@ def image_manifest(figure_rows: DataFrame, directory: Column) -> DataFrame:
 
 def section_outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """Sections without their text: (page_id, ordinal, parent_ordinal, level,
-    title, section_id). Reads no more than tags and headings past the scan."""
-    return _section_rows(_outline(_with_ids(pages), layout), layout).drop("seg")
+    title, section_id). Past the scan it moves tags and headings only."""
+    rows = _outline(_with_ids(pages), layout).where("kind = 'section'")
+    return rows.selectExpr(
+        "page_id", "head.ordinal", "head.parent_ordinal", "head.level", "head.title",
+        "head.section_id",
+    )
 
 
 def _page_facts(pages: DataFrame, layout: PageLayout) -> DataFrame:
-    """One row per page: what rendering needs besides the mark-up.
+    """One row per page with a section: what rendering needs besides mark-up.
 
     ``slots[seg]`` tells for each piece which section its text belongs to, the
     list it stands in, the heading it opens and the figure it shows;
-    ``targets`` maps link anchors. Sizes are bounded by the page.
+    ``targets`` maps link anchors, the first use of an anchor deciding. Sizes
+    are bounded by the page.
     """
-    outline = _outline(pages, layout, "document_id", "semantic_id")
-    heads = _section_rows(outline, layout)
-    figs = _figure_rows(outline)
-    slot = F.struct(
-        "seg",
-        F.when(F.col("box.kind") == "section", F.col("box.seg"))
-        .when((F.col("kind") == "figure") & (F.col("up.kind") == "section"), F.col("up.seg"))
-        .alias("owner"),
-        "list_tag",
-        "ends_list",
-        F.when(F.col("ordinal").isNotNull(), F.struct(
-            "ordinal", "parent_ordinal", "level", "title", "section_id"
-        )).alias("head"),
-        "shown",
-    )
-    slots = (
-        outline.join(heads, ["page_id", "seg"], "left")
-        .join(figs.select("page_id", "seg", F.col("markdown").alias("shown")), ["page_id", "seg"], "left")
-        .groupBy("page_id")
-        .agg(F.sort_array(F.collect_list(slot)).alias("slots"))
-    )
-    targets = (
-        figs.where("parsed").select(
-            "page_id", F.concat(F.lit("fig:"), "data_fig_id").alias("key"), "seg",
-            F.col("path").alias("target"),
+    slug = "concat('#', replace(lower(regexp_replace(head.title, " + X.sql_text(
+        rf"[^{X.WORD_CLASS}{X.SPACE_CLASS}-]"
+    ) + ", '')), ' ', '%20'))"
+    shown = (
+        "concat('\n![', fig.alt, '](', image_dir, '/', img_file_name, ')\n\n**', fig.title, '** ', "
+        f"fig.text, '\n\n')"
+    )
+    rows = (
+        _outline(pages, layout)
+        .selectExpr(
+            "page_id", "seg", "kind", "list_tag", "ends_list", "head",
+            "case when box.kind = 'section' then box.seg "
+            "when kind = 'figure' and up.kind = 'section' then up.seg end as owner",
+            f"if(kind = 'figure', coalesce({shown}, {X.sql_text(chr(10) + PARSE_FAILURE + chr(10))}), null) as shown",
+            "case when fig is not null then 'fig:' || fig.data_fig_id "
+            "when kind = 'section' then 'sec:' || head.section_id end as key",
+            f"case when fig is not null then concat(image_dir, '/', img_file_name) "
+            f"when kind = 'section' then {slug} end as target",
         )
-        .unionByName(
-            heads.select(
-                "page_id", F.concat(F.lit("sec:"), "section_id").alias("key"), "seg",
-                X.heading_slug("title").alias("target"),
-            )
+        .selectExpr(
+            "*", "key is not null and row_number() over (partition by page_id, key order by seg) = 1 as first",
         )
-        .groupBy("page_id", "key")
-        .agg(F.min_by("target", "seg").alias("target"))
-        .groupBy("page_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("key", "target"))).alias("targets"))
-    )
-    # only pages with a section have targets, and only those give any output
-    return slots.join(targets, "page_id")
-
-
-def _render_piece(body: Column, slot: Column, targets: Column) -> Column:
-    """Markdown of the text that follows a container tag."""
-    blocks = H.split_at(body, H.BLOCK_TAGS)
-    head_pattern = H.tag_pattern(H.BLOCK_TAGS, "^")
-
-    parts = F.transform(blocks, lambda b: H.bind(
-        F.regexp_extract(b, head_pattern, 0),
-        lambda head: F.struct(
-            F.when(F.startswith(head, F.lit("</")), "").otherwise(H.tag_name(head)).alias("tag"),
-            F.substr(b, F.length(head) + 1).alias("text"),
-        ),
-    ))
-
-    def flow(part: Column) -> Column:
-        return (
-            F.when(part["tag"] == "p", F.concat(H.render(part["text"], targets, H.render_inline), F.lit("\n\n")))
-            .when(part["tag"] == "", H.render(part["text"], targets, H.render_loose))
-            .when(part["tag"] == "li", H.render(part["text"], targets, H.render_loose))
-            .otherwise("")
+    )
+    return (
+        rows.groupBy("page_id")
+        .agg(
+            F.expr("sort_array(collect_list(struct(seg, owner, list_tag, ends_list, head, shown)))").alias("slots"),
+            F.expr("map_from_entries(collect_list(if(first, struct(key, target), null)))").alias("targets"),
+            F.expr("bool_or(kind = 'section')").alias("has_section"),
         )
+        .where("has_section")
+        .drop("has_section")
+    )
 
-    marker = F.when(slot["list_tag"] == "ol", "1. ").otherwise("- ")
-
-    def item(parts: Column):
-        def one(part: Column, i: Column) -> Column:
-            before = F.when(i > 0, F.try_element_at(parts, i))
-            after = F.try_element_at(parts, i + 2)
-            # an item shows its first child only: a text, an element, or a paragraph
-            first = H.plain_text(F.try_element_at(H.inline_tokens(part["text"]), F.lit(1)))
-            line = (
-                F.when((part["tag"] == "li") & (part["text"] != ""), F.coalesce(first, F.lit("")))
-                .when((part["tag"] == "li") & ~(F.coalesce(after["tag"], F.lit("")) == "p"), "")
-                .when(
-                    (part["tag"] == "p") & (before["tag"] == "li") & (before["text"] == ""),
-                    H.render(part["text"], targets, H.render_inline),
-                )
-            )
-            return F.coalesce(F.concat(marker, line, F.lit("\n")), F.lit(""))
-
-        return one
 
-    text = H.bind(parts, lambda ps: F.when(
-        slot["list_tag"].isNotNull(), F.array_join(F.transform(ps, item(ps)), "")
-    ).otherwise(F.array_join(F.transform(ps, flow), "")))
-    return F.concat(F.when(slot["ends_list"], "\n\n").otherwise(""), text)
+def link_targets(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
+    """(page_id, targets): for each page with a section, where its links to
+    figures ('fig:<anchor>') and sections ('sec:<anchor>') lead."""
+    return _page_facts(_with_ids(pages), layout).select("page_id", "targets")
 
 
 def sections(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
@@ -457,36 +353,29 @@ def sections(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """
     pages = _with_ids(pages)
     joined = pages.select("page_id", "html").join(_page_facts(pages, layout), "page_id")
-    clean = F.regexp_replace("html", H.NOISE_PATTERN, "")
-
-    def render(piece: Column, i: Column) -> Column:
-        return H.bind(F.element_at("slots", i + 1), lambda slot: F.struct(
-            i.alias("seg"),
-            slot["owner"].alias("owner"),
-            slot["head"].alias("head"),
-            F.when(slot["owner"].isNull(), F.lit(None).cast("string"))
-            .when(slot["shown"].isNotNull(), slot["shown"])
-            .otherwise(_render_piece(
-                F.regexp_replace(piece, H.tag_pattern(layout.cut_tags, "^"), ""),
-                slot, F.col("targets"),
-            ))
-            .alias("text"),
-        ))
-
-    rendered = F.transform(H.split_at(clean, layout.cut_tags), render)
-    owned = F.filter(rendered, lambda r: r["owner"].isNotNull())
-    ordered = F.sort_array(F.collect_list(F.struct("seg", "text")))
+    body = f"substr(piece_, length({H.leading_tag('piece_', layout.cut_tags)}) + 1)"
+    text = (
+        "case when slot_.owner is null then null when slot_.shown is not null then slot_.shown "
+        f"else {H.render_piece(body, 'slot_', 'targets')} end"
+    )
+    piece = X.sql_bind(
+        "slots[at_]", "slot_",
+        f"struct(at_ as seg, slot_.owner as owner, slot_.head as head, {text} as text)",
+    )
+    cut = H.split_at(H.clean("html"), layout.cut_tags)
     return (
-        joined.select("page_id", F.inline(owned))
+        joined.selectExpr(
+            "page_id",
+            f"inline(filter(transform({cut}, (piece_, at_) -> {piece}), r_ -> r_.owner is not null))",
+        )
         .groupBy("page_id", "owner")
         .agg(
-            F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("content"),
+            F.expr("array_join(transform(sort_array(collect_list(struct(seg, text))), x -> x.text), '')").alias("content"),
             # the piece that opens the section carries its heading
             F.max("head").alias("h"),
         )
-        .select(
-            "page_id", "h.ordinal", "h.parent_ordinal", "h.level", "h.title", "content",
-            "h.section_id",
+        .selectExpr(
+            "page_id", "h.ordinal", "h.parent_ordinal", "h.level", "h.title", "content", "h.section_id"
         )
     )
 
@@ -511,140 +400,107 @@ def page_markdown(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
 
 def xrefs(pages: DataFrame) -> DataFrame:
     """(page_id, pos, ref_type, anchor, text) of every cross-reference link."""
-    links = F.regexp_extract_all(
-        F.col("html"), F.lit(r"(?is)<a(?:\s[^>]*)?\sref-type\s*=[^>]*>.*?</a\s*>"), F.lit(0)
-    )
-    rows = pages.select("page_id", F.posexplode(links).alias("pos", "a"))
-    a = F.col("a")
-    return rows.select(
+    return pages.selectExpr(
+        "page_id", f"posexplode({H.find_all('html', H.XREF_PATTERN)}) as (pos, a)"
+    ).selectExpr(
         "page_id", "pos",
-        H.attribute(a, "ref-type").alias("ref_type"),
-        H.attribute(a, "anchor").alias("anchor"),
-        H.plain_text(a).alias("text"),
+        f"{H.attribute('a', 'ref-type', plain=True)} as ref_type",
+        f"{H.attribute('a', 'anchor')} as anchor",
+        f"{H.plain_text('a')} as text",
     )
 
 
-def resolve_xrefs(
-    links: DataFrame, figure_rows: DataFrame, section_rows: DataFrame, image_dirs: DataFrame
-) -> DataFrame:
+def resolve_xrefs(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Add ``target`` and ``resolved`` to cross-reference links.
 
-    Figures and tables lead to their image path, sections to their heading;
-    the first figure or section with the anchor decides, a missing one leaves
-    a NULL target. Other kinds lead to their anchor. ``image_dirs`` is
-    (page_id, image_dir).
+    Figures and tables lead to their image path, sections to their heading; a
+    missing one leaves a NULL target. Other kinds lead to their anchor.
+    ``targets`` holds one row per page (see ``link_targets``).
     """
-    figure_targets = (
-        figure_rows.join(image_dirs, "page_id")
-        .select(
-            "page_id", F.lit("figure").alias("class"), F.col("data_fig_id").alias("anchor"),
-            "ordinal", F.concat("image_dir", F.lit("/"), "img_file_name").alias("target"),
-        )
-    )
-    section_targets = section_rows.select(
-        "page_id", F.lit("sec").alias("class"), F.col("section_id").alias("anchor"), "ordinal",
-        X.heading_slug("title").alias("target"),
-    )
-    targets = (
-        figure_targets.unionByName(section_targets)
-        .groupBy("page_id", "class", "anchor")
-        .agg(F.min_by("target", "ordinal").alias("found"))
-    )
-    kind = (
-        F.when(F.col("ref_type").isin(*H.FIGURE_KINDS), "figure")
-        .when(F.col("ref_type") == "sec", "sec")
-    )
-    return (
-        links.withColumn("class", kind)
-        .join(targets, ["page_id", "class", "anchor"], "left")
-        .select(
-            "page_id", "pos", "ref_type", "anchor", "text",
-            F.when(F.col("class").isNotNull(), F.col("found"))
-            .when(F.col("ref_type").isin(*H.ANCHOR_KINDS), F.col("anchor"))
-            .alias("target"),
-        )
-        .withColumn("resolved", F.col("target").isNotNull())
+    target = (
+        f"case when ref_type in ({H.listed(H.FIGURE_KINDS)}) then targets['fig:' || anchor] "
+        "when ref_type = 'sec' then targets['sec:' || anchor] "
+        f"when ref_type in ({H.listed(H.ANCHOR_KINDS)}) then anchor end as target"
     )
+    found = links.join(targets, "page_id", "left").selectExpr(*links.columns, target)
+    return found.withColumn("resolved", F.col("target").isNotNull())
 
 
-def reference_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(references, links) of reference pages.
+def reference_links(pages: DataFrame) -> DataFrame:
+    """One row per reference entry: (page_id, ordinal, number, title, found).
 
-    references: (page_id, ordinal, number, title); links: (page_id, ordinal,
-    link_no, text, href), one row per link of an entry, in page order.
+    ``found`` lists the entry's links (text, href) in page order.
     """
-    layout = REFERENCES
-    pieces = _pieces(pages.select("page_id", "html"), layout)
-    nested = _nesting(pieces, layout)
-    page = Window.partitionBy("page_id").orderBy("seg")
-    entry = F.last(F.when(F.col("kind") == "reference", F.col("box.no")), ignorenulls=True).over(page)
-    before = F.lag(F.struct("kind", "body", "seg")).over(page)
-    # the title is the first child of the column, if that is a div
-    first_child = (
-        (F.col("tag") == "div") & (F.col("before.kind") == "col")
-        & (X.strip("before.body") == "") & ~F.startswith("head", F.lit("</"))
-    )
-    title_depth = F.last(F.when(F.col("first_child"), F.struct("seg", "depth")), ignorenulls=True).over(page)
-    bold = H.first_element(F.col("body"), "b")
-    anchors = F.regexp_extract_all(F.col("body"), F.lit(r"(?is)<a(?:\s[^>]*)?>.*?</a\s*>"), F.lit(0))
+    page = "(partition by page_id order by seg)"
+    bold = X.strip_sql(H.plain_text(H.first_element("body", "b")))
+    anchor = (
+        f"struct({X.strip_sql(H.plain_text('l_'))} as text, {H.attribute('l_', 'href')} as href)"
+    )
     rows = (
-        nested.where(F.col("box").isNotNull())
-        .withColumn("entry", entry)
-        .withColumn("before", before)
-        .withColumn("first_child", first_child)
-        .withColumn("t", title_depth)
-        # the title runs until its div closes
-        .withColumn(
-            "left",
-            F.min("depth").over(Window.partitionBy("page_id", "t.seg").orderBy("seg")),
+        _nesting(_pieces(pages.select("page_id", "html"), REFERENCES), REFERENCES)
+        .where("box is not null")
+        .selectExpr(
+            "*",
+            f"last(if(kind = 'reference', box.no, null)) ignore nulls over {page} as entry",
+            f"lag(struct(kind, body)) over {page} as before",
+        )
+        # the title is the first child of the column, if that is a div
+        .selectExpr(
+            "*",
+            "coalesce(tag = 'div' and move = 1 and before.kind = 'col' "
+            f"and {X.strip_sql('before.body')} = '', false) as opens_title",
+        )
+        .selectExpr(
+            "*",
+            f"last(if(opens_title, struct(seg, depth), null)) ignore nulls over {page} as t",
+            "min(if(opens_title, seg, null)) over (partition by page_id, entry) as first_title",
         )
-        .withColumn("in_title", F.col("t").isNotNull() & (F.col("left") >= F.col("t.depth")))
-        .withColumn("number", F.when(F.col("box.kind") == "number", X.strip(H.plain_text(bold))))
-        .withColumn("title", F.when(F.col("in_title"), H.plain_text(F.col("body"))))
-        .withColumn(
-            "links",
-            F.when(F.col("box.kind") == "ref-link", F.transform(anchors, lambda a: F.struct(
-                X.strip(H.plain_text(a)).alias("text"), H.attribute(a, "href").alias("href")
-            ))),
+        # and runs until that div closes
+        .selectExpr(
+            "*", "min(depth) over (partition by page_id, t.seg order by seg) >= t.depth as in_title"
         )
     )
-    first_title = F.min(F.when(F.col("first_child"), F.col("seg")))
-    titles = F.sort_array(F.collect_list(
-        F.when(F.col("in_title"), F.struct(F.col("t.seg").alias("t"), "seg", F.col("title").alias("text")))
-    ))
-    references = (
-        rows.groupBy("page_id", (F.col("entry") - 1).alias("ordinal"))
-        .agg(
-            F.min_by("number", F.when(F.col("number").isNotNull(), F.col("seg"))).alias("number"),
-            titles.alias("ts"), first_title.alias("t0"),
+    listed = f"transform({H.find_all('body', H.LINK_PATTERN)}, l_ -> {anchor})"
+    return (
+        rows.selectExpr(
+            "page_id", "entry - 1 as ordinal", "seg", "first_title",
+            f"if(box.kind = 'number', {bold}, null) as number",
+            f"if(in_title and t.seg = first_title, {H.plain_text('body')}, null) as title",
+            f"if(box.kind = 'ref-link', {listed}, null) as found",
         )
-        .select(
-            "page_id", "ordinal", "number",
-            F.when(
-                F.col("t0").isNotNull(),
-                X.strip(F.array_join(F.transform(
-                    F.filter("ts", lambda x: x["t"] == F.col("t0")), lambda x: x["text"]
-                ), "")),
+        .groupBy("page_id", "ordinal")
+        .agg(
+            F.expr("min_by(number, if(number is null, null, seg))").alias("number"),
+            F.expr(
+                "if(min(first_title) is null, null, array_join(transform(sort_array(collect_list("
+                "if(title is null, null, struct(seg, title)))), x -> x.title), ''))"
             ).alias("title"),
+            F.expr(
+                "flatten(transform(sort_array(collect_list(if(found is null, null, struct(seg, found)))), "
+                "x -> x.found))"
+            ).alias("found"),
         )
+        .withColumn("title", X.strip("title"))
     )
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("seg", "at")) - 1
-    links = (
-        rows.where(F.size("links") > 0)
-        .select("page_id", (F.col("entry") - 1).alias("ordinal"), "seg", F.posexplode("links").alias("at", "l"))
-        .select("page_id", "ordinal", number.alias("link_no"), F.col("l.text").alias("text"), F.col("l.href").alias("href"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, link_no, text, href) of all links of a page."""
+    anchors = H.find_all(H.clean("html"), H.LINK_PATTERN)
+    return pages.selectExpr("page_id", f"posexplode({anchors}) as (link_no, a)").selectExpr(
+        "page_id", "link_no",
+        f"{X.strip_sql(H.plain_text('a'))} as text", f"{H.attribute('a', 'href')} as href",
     )
-    return references, links
 
 
-def link_maps(links: DataFrame) -> DataFrame:
-    """(page_id, ordinal, links): text to address, the last of equal texts wins."""
+def link_maps(links: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., links): text to address, the last of equal texts wins."""
     last = (
-        links.where((F.col("text") != "") & (F.coalesce("href", F.lit("")) != ""))
-        .groupBy("page_id", "ordinal", "text")
+        links.where("text <> '' and coalesce(href, '') <> ''")
+        .groupBy(*keys, "text")
         .agg(F.max_by("href", "link_no").alias("href"))
     )
-    return last.groupBy("page_id", "ordinal").agg(
+    return last.groupBy(*keys).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("text", "href")))).alias("links")
     )
 
@@ -656,34 +512,32 @@ def references(
 
     An entry with an unusable link is kept, without an id.
     """
-    from scholarflow.operators.ids import reference_ids
-
-    entries, links = reference_links(pages)
-    named = links.withColumnRenamed("ordinal", "entry").withColumnRenamed("link_no", "ordinal")
-    ids = reference_ids(named, papers, doi_by_ieee, answers, keys=["page_id", "entry"])
-    broken = named.where(
-        F.col("text").isin("CrossRef", "View Article") & F.col("href").isNull()
-    ).select("page_id", "entry").distinct().withColumn("broken", F.lit(True))
-    ids = ids.join(broken, ["page_id", "entry"], "left").select(
-        "page_id", F.col("entry").alias("ordinal"),
-        F.when(F.col("broken").isNull(), F.col("semantic_id")).alias("semantic_id"),
+    from scholarflow.operators.ids import with_reference_ids
+
+    entries = reference_links(pages)
+    # of equal texts the last one stays, as in a dictionary
+    links = (
+        "map_from_entries(filter(found, (x, i) -> x.text <> '' and coalesce(x.href, '') <> '' "
+        "and not exists(slice(found, i + 2, size(found)), y -> y.text = x.text "
+        "and coalesce(y.href, '') <> ''))) as links"
     )
-    return (
-        entries.join(link_maps(links), ["page_id", "ordinal"], "left")
-        .join(ids, ["page_id", "ordinal"], "left")
-        .select("page_id", "ordinal", "number", "title", "links", "semantic_id")
+    named = entries.selectExpr("page_id", "ordinal", "number", "title", "found", links)
+    return with_reference_ids(named, papers, doi_by_ieee, answers, spread=["page_id", "ordinal"]).select(
+        "page_id", "ordinal", "number", "title", "links", "semantic_id"
     )
 
 
 def doi_on_page(pages: DataFrame, *, ieee_id: str = "document_id") -> DataFrame:
     """(ieee_id, doi): the DOI linked in the abstract block of a landed page."""
-    block = F.regexp_extract(
-        "html", r"(?is)class\s*=\s*[\"'][^\"']*stats-document-abstract-doi[^\"']*[\"'][^>]*>.*?(<a(?:\s[^>]*)?>.*?</a\s*>)", 1
+    block = H.find(
+        "html",
+        r"(?is)class\s*=\s*[\"'][^\"']*stats-document-abstract-doi[^\"']*[\"'][^>]*>.*?"
+        r"(<a(?:\s[^>]*)?>.*?</a\s*>)", 1,
     )
-    return pages.select(
-        F.col(ieee_id).cast("string").alias("ieee_id"),
-        X.blank_to_null(X.strip(H.plain_text(block))).alias("doi"),
-    ).where(F.col("doi").isNotNull())
+    return pages.selectExpr(
+        f"cast({ieee_id} as string) as ieee_id",
+        f"nullif({X.strip_sql(H.plain_text(block))}, '') as doi",
+    ).where("doi is not null")
 
 
 def unhandled(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
@@ -691,23 +545,23 @@ def unhandled(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     rule for, and pages whose container tags do not balance."""
     known = set(layout.cut_tags) | set(H.BLOCK_TAGS) | set(H.INLINE_TAGS)
     known |= {"img", "script", "style", "span"}
-    tokens = page_tokens(pages)
-    token = F.col("token")
-    opening = tokens.where(token.rlike(r"^<[A-Za-z]")).select(
-        "page_id", F.lit("tag").alias("kind"), H.tag_name(token).alias("name")
-    ).where(~F.col("name").isin(*known))
-    links = xrefs(pages).where(
-        ~F.col("ref_type").isin(*H.ANCHOR_KINDS, *H.FIGURE_KINDS, "sec")
-    ).select("page_id", F.lit("link").alias("kind"), F.col("ref_type").alias("name"))
-    found = opening.unionByName(links).groupBy("page_id", "kind", "name").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    move = F.when(token.rlike("^</"), -1).when(token.rlike("/>$"), 0).otherwise(1)
-    balance = (
-        tokens.where(H.tag_name(token).isin(*layout.tags))
-        .groupBy("page_id", H.tag_name(token).alias("name"))
-        .agg(F.sum(move).alias("n"))
-        .where(F.col("n") != 0)
-        .select("page_id", F.lit("unbalanced").alias("kind"), "name", "n")
-    )
-    return found.unionByName(balance)
+    kinds = (*H.ANCHOR_KINDS, *H.FIGURE_KINDS, "sec")
+    tags = page_tokens(pages).where("token rlike '^</?[A-Za-z]'").selectExpr(
+        "page_id", "token", f"{H.tag_name('token')} as name",
+        "case when startswith(token, '</') then -1 when endswith(token, '/>') then 0 else 1 end as move",
+    )
+    counted = tags.groupBy("page_id", "name").agg(
+        F.expr("count_if(move >= 0)").alias("opened"), F.sum("move").alias("open")
+    )
+    listed = counted.selectExpr(
+        "page_id",
+        "inline(array("
+        f"struct('tag' as kind, name as name, if(name in ({H.listed(sorted(known))}), 0, opened) as n), "
+        f"struct('unbalanced' as kind, name as name, if(name in ({H.listed(layout.tags)}), open, 0) as n)))",
+    ).where("n <> 0")
+    links = (
+        xrefs(pages).where(f"ref_type not in ({H.listed(kinds)})")
+        .groupBy("page_id", F.lit("link").alias("kind"), F.col("ref_type").alias("name"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return listed.unionByName(links)

@@ -52,14 +52,12 @@ def external_ids(semantic_id: Column, given: Column, source: Column, document: C
 
 def override_ids(papers: DataFrame, **overrides: Column) -> DataFrame:
     """Set ids of the given namespaces where the override is neither NULL nor ''."""
-    ids = F.col("external_ids")
-    for key, value in overrides.items():
-        new = X.blank_to_null(value)
-        rest = F.map_filter(ids, lambda k, v, key=key: k != key)
-        ids = F.when(
-            new.isNotNull(), F.map_concat(rest, F.create_map(F.lit(key), new))
-        ).otherwise(ids)
-    return papers.withColumn("external_ids", ids)
+    given = F.map_filter(
+        F.create_map(*[c for k, v in overrides.items() for c in (F.lit(k), X.blank_to_null(v))]),
+        lambda k, v: v.isNotNull(),
+    )
+    kept = F.map_filter("external_ids", lambda k, v: ~F.map_contains_key(given, k))
+    return papers.withColumn("external_ids", F.map_concat(kept, given))
 
 
 def normalise_papers(
