@@ -212,18 +212,52 @@ def chapters(c: Column | str) -> Column:
     return F.filter(pieces, lambda x: x != "")
 
 
+def count_tokens_sql(x: str, pattern: str = TOKEN_PATTERN) -> str:
+    return f"regexp_count({x}, {sql_text(pattern)})"
+
+
 def count_tokens(c: Column | str, pattern: str = TOKEN_PATTERN) -> Column:
     return F.regexp_count(col(c), F.lit(pattern))
 
 
+def part_count_sql(tokens: str, threshold: int) -> str:
+    return f"cast(if({tokens} > {threshold}, {tokens} div {threshold} + 1, 1) as int)"
+
+
 def part_count(tokens: Column | str, threshold: int = 2000) -> Column:
     """One part up to the threshold, beyond it the whole quotient plus one."""
     n = col(tokens)
     return F.when(n > threshold, F.floor(n / threshold).cast("int") + 1).otherwise(1)
 
 
+def split_parts_sql(x: str, n: str, delimiter: str = "\n\n", pattern: str | None = None) -> str:
+    """SQL of ``split_parts``; ``n`` may refer to the text as ``t_``."""
+    if pattern is None:
+        d, back = len(delimiter), f"instr(reverse(v_), {sql_text(delimiter[::-1])})"
+        cut = sql_bind(back, "k_", f"if(k_ > 0, length(v_) - k_ - {d - 1}, length(v_))")
+    else:
+        found = f"regexp_extract_all(v_, {sql_text(pattern)}, 0)"
+        tail = f"element_at(split(v_, {sql_text(pattern)}, -1), -1)"
+        cut = sql_bind(found, "k_", (
+            f"if(size(k_) > 0, length(v_) - length({tail}) - length(element_at(k_, -1)), length(v_))"
+        ))
+    at = sql_bind("substr(s_.rest, 1, w_)", "v_", cut)
+    step = sql_bind(at, "c_", (
+        "struct(substr(s_.rest, c_ + 1) as rest, "
+        "array_append(s_.parts, substr(s_.rest, 1, c_)) as parts)"
+    ))
+    folded = (
+        "aggregate(sequence(1, n_), struct(t_ as rest, cast(array() as array<string>) as parts), "
+        "(s_, i_) -> if(i_ = n_, struct('' as rest, array_append(s_.parts, s_.rest) as parts), "
+        f"{step}), s_ -> s_.parts)"
+    )
+    # a text that stays whole skips the fold
+    sized = f"if(n_ = 1, array(t_), {sql_bind('cast(length(t_) div n_ as int)', 'w_', folded)})"
+    return sql_bind(x, "t_", sql_bind(n, "n_", sized))
+
+
 def split_parts(
-    c: Column | str, n: Column | str, delimiter: str = "\n\n", *, pattern: str | None = None
+    c: str, n: str, delimiter: str = "\n\n", *, pattern: str | None = None
 ) -> Column:
     """Cut a text into ``n`` parts of about equal length, losing no character.
 
@@ -231,36 +265,7 @@ def split_parts(
     characters, or at the window's end when there is none; the last part takes
     the rest. With ``pattern`` (a regex that never matches the empty string)
     the last of the non-overlapping matches counts, else the last occurrence
-    of the literal ``delimiter``. The delimiter opens the next part.
+    of the literal ``delimiter``. The delimiter opens the next part. ``c`` and
+    ``n`` are column names or SQL.
     """
-    text, parts = col(c), col(n)
-    width = F.floor(F.length(text) / parts).cast("int")
-
-    def cut(window: Column) -> Column:
-        if pattern is None:
-            back = F.instr(F.reverse(window), delimiter[::-1])
-            return F.when(
-                back > 0, F.length(window) - back - (len(delimiter) - 1)
-            ).otherwise(F.length(window))
-        found = F.regexp_extract_all(window, F.lit(pattern), F.lit(0))
-        tail = F.element_at(F.split(window, pattern, -1), -1)
-        return F.when(
-            F.size(found) > 0,
-            F.length(window) - F.length(tail) - F.length(F.element_at(found, -1)),
-        ).otherwise(F.length(window))
-
-    def step(state: Column, i: Column) -> Column:
-        rest = state["rest"]
-        window = F.substr(rest, F.lit(1), width)
-        # binding the cut in a one-element array evaluates it once
-        at = F.transform(F.array(cut(window)), lambda k: F.struct(
-            F.substr(rest, k + 1).alias("rest"),
-            F.array_append(state["parts"], F.substr(rest, F.lit(1), k)).alias("parts"),
-        ))[0]
-        last = F.struct(F.lit("").alias("rest"), F.array_append(state["parts"], rest).alias("parts"))
-        return F.when(i == parts, last).otherwise(at)
-
-    start = F.struct(text.alias("rest"), F.expr("cast(array() as array<string>)").alias("parts"))
-    folded = F.aggregate(F.sequence(F.lit(1), parts), start, step, lambda s: s["parts"])
-    # a text that stays whole skips the fold
-    return F.when(parts == 1, F.array(text)).otherwise(folded)
+    return F.expr(split_parts_sql(c, n, delimiter, pattern))

@@ -14,14 +14,6 @@ THRESHOLD = 2000
 HEADER_NO = 0  # chapter number of the row that holds the front matter
 
 
-def _split(
-    text: Column, *, threshold: int, delimiter: str, pattern: str | None, counter
-) -> Column:
-    return X.split_parts(
-        text, X.part_count(counter(text), threshold), delimiter, pattern=pattern
-    )
-
-
 def chapter_rows(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "markdown", with_header: bool = True
 ) -> DataFrame:
@@ -60,12 +52,14 @@ def chunk_rows(
     Joining the parts of a chapter gives its text back; header rows stay whole.
     """
     keys = [c for c in chapters.columns if c != "text"]
-    text = F.col("text")
-    parts = _split(text, threshold=threshold, delimiter=delimiter, pattern=pattern, counter=counter)
+    n = X.part_count(counter(F.col("text")), threshold)
     if "chapter_no" in keys:
-        parts = F.when(F.col("chapter_no") == HEADER_NO, F.array(text)).otherwise(parts)
-    return chapters.select(*keys, F.posexplode(parts).alias("part_no", "text")).withColumn(
-        "part_no", F.col("part_no") + 1
+        n = F.when(F.col("chapter_no") == HEADER_NO, 1).otherwise(n)
+    parts = X.split_parts("text", "_n", delimiter, pattern=pattern)
+    return (
+        chapters.withColumn("_n", n)
+        .select(*keys, F.posexplode(parts).alias("part_no", "text"))
+        .withColumn("part_no", F.col("part_no") + 1)
     )
 
 
@@ -144,7 +138,6 @@ def transform_in_place(
     docs: DataFrame, fn: Callable[[Column], Column], *, doc_id: str = "doc_id",
     text: str = "markdown", threshold: int = THRESHOLD, delimiter: str = "\n\n",
     pattern: str | None = None, with_header: bool = True,
-    counter: Callable[[Column], Column] = X.count_tokens,
 ) -> DataFrame:
     """The whole job for a transform that is a Spark expression.
 
@@ -154,9 +147,11 @@ def transform_in_place(
     split = X.front_matter(text) if with_header else F.struct(
         F.lit("").alias("header"), F.col(text).alias("body")
     )
-    cut = F.transform(X.chapters("_s.body"), lambda c: _split(
-        c, threshold=threshold, delimiter=delimiter, pattern=pattern, counter=counter
-    ))
+    n = X.sql_bind(X.count_tokens_sql("t_"), "k_", X.part_count_sql("k_", threshold))
+    cut = F.call_function(
+        "transform", X.chapters("_s.body"),
+        F.expr(f"x_ -> {X.split_parts_sql('x_', n, delimiter, pattern)}"),
+    )
     head = F.when(F.col("_s.header") != "", F.concat("_s.header", F.lit("\n\n"))).otherwise("")
     done = F.transform("_parts", lambda ps: F.concat(
         F.lit("\n\n"), F.array_join(F.transform(ps, fn), "\n\n")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from scholarflow.functions import html as H
 from scholarflow.functions import text as X
+from scholarflow.operators.scale import HOT_ROWS, staged
 
 LIST_TAGS = ("ul", "ol")
 
@@ -160,15 +161,17 @@ def _nesting(pieces: DataFrame, layout: PageLayout) -> DataFrame:
     )
 
 
-def _outline(pages: DataFrame, layout: PageLayout) -> DataFrame:
+def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """One row per piece with its nesting, and, on the rows that open a section
     or a figure, what the mark-up says about it.
 
     The mark-up is reduced to headings, image and caption fields before the
     shuffle. No joins: a heading, image or caption is repeated for every
     container around it and reaches the opening row through windows clustered
-    by page.
+    by page. Sections and figures accept the result as ``outlined``, so that a
+    stored outline serves both.
     """
+    pages = _with_ids(pages)
     classes = H.attribute("head", "class", plain=True)
     link = H.find("body", r"(?is)<a(?:\s[^>]*)?>(?:.*?</a\s*>)?")
     image = H.find("link_", r"(?is)<img(?:\s[^>]*)?>")
@@ -259,9 +262,11 @@ def _with_ids(pages: DataFrame) -> DataFrame:
     return pages.selectExpr("page_id", *optional, "html")
 
 
-def figures(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
+def figures(
+    pages: DataFrame, layout: PageLayout = ARTICLE, *, outlined: DataFrame | None = None
+) -> DataFrame:
     """Figure and table images of each page, in page order."""
-    rows = _outline(_with_ids(pages), layout).where("fig is not null")
+    rows = (outline(pages, layout) if outlined is None else outlined).where("fig is not null")
     return rows.select(
         "page_id",
         F.expr("row_number() over (partition by page_id order by seg) - 1").alias("ordinal"),
@@ -288,14 +293,14 @@ def image_manifest(figure_rows: DataFrame, directory: Column) -> DataFrame:
 def section_outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """Sections without their text: (page_id, ordinal, parent_ordinal, level,
     title, section_id). Past the scan it moves tags and headings only."""
-    rows = _outline(_with_ids(pages), layout).where("kind = 'section'")
+    rows = outline(pages, layout).where("kind = 'section'")
     return rows.selectExpr(
         "page_id", "head.ordinal", "head.parent_ordinal", "head.level", "head.title",
         "head.section_id",
     )
 
 
-def _page_facts(pages: DataFrame, layout: PageLayout) -> DataFrame:
+def _page_facts(outlined: DataFrame) -> DataFrame:
     """One row per page with a section: what rendering needs besides mark-up.
 
     ``slots[seg]`` tells for each piece which section its text belongs to, the
@@ -311,8 +316,7 @@ def _page_facts(pages: DataFrame, layout: PageLayout) -> DataFrame:
         f"fig.text, '\n\n')"
     )
     rows = (
-        _outline(pages, layout)
-        .selectExpr(
+        outlined.selectExpr(
             "page_id", "seg", "kind", "list_tag", "ends_list", "head",
             "case when box.kind = 'section' then box.seg "
             "when kind = 'figure' and up.kind = 'section' then up.seg end as owner",
@@ -341,18 +345,20 @@ def _page_facts(pages: DataFrame, layout: PageLayout) -> DataFrame:
 def link_targets(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """(page_id, targets): for each page with a section, where its links to
     figures ('fig:<anchor>') and sections ('sec:<anchor>') lead."""
-    return _page_facts(_with_ids(pages), layout).select("page_id", "targets")
+    return _page_facts(outline(pages, layout)).select("page_id", "targets")
 
 
-def sections(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
+def sections(
+    pages: DataFrame, layout: PageLayout = ARTICLE, *, outlined: DataFrame | None = None
+) -> DataFrame:
     """Sections in page order with their Markdown content.
 
     (page_id, ordinal, parent_ordinal, level, title, content, section_id).
     The page text is shuffled once, one row per page, and rendered inside that
     row; everything after that stays in the page's partition.
     """
-    pages = _with_ids(pages)
-    joined = pages.select("page_id", "html").join(_page_facts(pages, layout), "page_id")
+    outlined = outline(pages, layout) if outlined is None else outlined
+    joined = pages.select("page_id", "html").join(_page_facts(outlined), "page_id")
     body = f"substr(piece_, length({H.leading_tag('piece_', layout.cut_tags)}) + 1)"
     text = (
         "case when slot_.owner is null then null when slot_.shown is not null then slot_.shown "
@@ -506,15 +512,19 @@ def link_maps(links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def references(
-    pages: DataFrame, papers: DataFrame, doi_by_ieee: DataFrame, answers: DataFrame
+    pages: DataFrame, papers: DataFrame, doi_by_ieee: DataFrame, answers: DataFrame, *,
+    stage: str | None = None,
 ) -> DataFrame:
     """Reference lists: (page_id, ordinal, number, title, links, semantic_id).
 
-    An entry with an unusable link is kept, without an id.
+    An entry with an unusable link is kept, without an id. With ``stage``, a
+    folder on shared storage, the parsed entries are written there first, and
+    works that very many papers cite are looked up by broadcast.
     """
     from scholarflow.operators.ids import with_reference_ids
 
-    entries = reference_links(pages)
+    entries = staged(reference_links(pages), stage and f"{stage}/references")
+    hot_rows = None if stage is None else HOT_ROWS
     # of equal texts the last one stays, as in a dictionary
     links = (
         "map_from_entries(filter(found, (x, i) -> x.text <> '' and coalesce(x.href, '') <> '' "
@@ -522,9 +532,9 @@ def references(
         "and coalesce(y.href, '') <> ''))) as links"
     )
     named = entries.selectExpr("page_id", "ordinal", "number", "title", "found", links)
-    return with_reference_ids(named, papers, doi_by_ieee, answers, spread=["page_id", "ordinal"]).select(
-        "page_id", "ordinal", "number", "title", "links", "semantic_id"
-    )
+    return with_reference_ids(
+        named, papers, doi_by_ieee, answers, spread=["page_id", "ordinal"], hot_rows=hot_rows
+    ).select("page_id", "ordinal", "number", "title", "links", "semantic_id")
 
 
 def doi_on_page(pages: DataFrame, *, ieee_id: str = "document_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarflow.functions import text as X
-from scholarflow.operators.scale import HOT_ROWS, anti_lookup, lookup_join, number_rows
+from scholarflow.operators.scale import HOT_ROWS, anti_lookup, lookup_join, number_rows, staged
 
 # --- fixed values -----------------------------------------------------------
 PAYLOAD_SCHEMA = (
@@ -61,11 +61,13 @@ def override_ids(papers: DataFrame, **overrides: Column) -> DataFrame:
 
 
 def normalise_papers(
-    raw: DataFrame, doi_resolved: DataFrame, journals: DataFrame, *, hot_rows: int = HOT_ROWS
+    raw: DataFrame, doi_resolved: DataFrame, journals: DataFrame, *, stage: str | None = None
 ) -> DataFrame:
     """API answers (paper_id, payload JSON) to paper rows.
 
-    Answers without any field are dropped. ``doi_resolved`` is (doi, url).
+    Answers without any field are dropped. ``doi_resolved`` is (doi, url). With
+    ``stage``, a folder on shared storage, the parsed answers are written there,
+    so that the payloads are read once and later passes read single columns.
     """
     from scholarflow.operators.ids import resolve_doi
 
@@ -86,8 +88,11 @@ def normalise_papers(
             F.col("p.externalIds")["DOI"].alias("doi"),
         )
     )
-    placed = resolve_doi(parsed, doi_resolved, spread=["semantic_id"], hot_rows=hot_rows)
-    named = with_venue_short(placed, journals, spread=["semantic_id"], hot_rows=hot_rows)
+    hot_rows = None if stage is None else HOT_ROWS
+    parsed = staged(parsed, stage and f"{stage}/parsed")
+    named = with_venue_short(parsed, journals, spread=["semantic_id"], hot_rows=hot_rows)
+    # a DOI names one paper, so only its absence is frequent
+    named = resolve_doi(named, doi_resolved, spread=["semantic_id"], hot_rows=None)
     ids = external_ids(
         F.col("semantic_id"), F.col("given_ids"), F.col("source"), F.col("document_id")
     )
@@ -148,7 +153,7 @@ def venue_names(venues: DataFrame, journals: DataFrame) -> DataFrame:
 
 
 def with_venue_short(
-    papers: DataFrame, journals: DataFrame, *, spread: list[str], hot_rows: int = HOT_ROWS
+    papers: DataFrame, journals: DataFrame, *, spread: list[str], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Add ``venue_short``; NULL where no journal name occurs in the venue."""
     venues = papers.where(F.col("venue").isNotNull()).select("venue").distinct()
@@ -174,7 +179,7 @@ def papers_to_fetch(
     mode: str = "missing",
     key: str = "paper_id",
     spread: list[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Papers whose edges are to be fetched: all, or those not in ``fetched``.
 

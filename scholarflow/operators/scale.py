@@ -21,7 +21,7 @@ def lookup_join(
     *,
     spread: Sequence[str],
     hit: str = "hit",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Left join of ``facts`` to ``dim``, which holds each key at most once.
 
@@ -31,53 +31,73 @@ def lookup_join(
     Hot keys are found by a map-side-combined count and joined by a broadcast
     whose row count is bounded (see ``HOT_ROWS``). In the shuffled join that
     serves the other keys, rows that need no match any more (hot, or NULL key)
-    carry a value from a hash of the ``spread`` columns instead of their key,
-    so they spread evenly and do not pile up in one task.
+    carry a hash of the ``spread`` columns, so they spread evenly and do not
+    pile up in one task.
+
+    The count reads the key columns of ``facts`` once more, which is cheap for a
+    stored table. Where ``facts`` is the result of costly parsing that is not
+    stored, ``hot_rows=None`` leaves that pass out, and a hot key is split by
+    adaptive execution when the shuffle shows it.
     """
     keys = list(keys)
     values = [c for c in dim.columns if c not in keys]
     dim = dim.select(*keys, F.struct(F.lit(True).alias("found"), *values).alias("_hit"))
     complete = _all_set(keys)
-
-    counts = facts.where(complete).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = counts.where(F.col("_n") >= hot_rows).select(*keys)
-    # every hot key once, with its dimension row or NULL
-    hot = (
-        dim.join(F.broadcast(hot_keys), keys)
-        .unionByName(hot_keys, allowMissingColumns=True)
-        .groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
-        .agg(F.first("_hit", ignorenulls=True).alias("_hot_hit"))
-        .withColumn("_hot", F.lit(True))
-    )
-    on_hot = _all([F.col(k) == F.col(f"_h_{k}") for k in keys])
-    marked = facts.join(F.broadcast(hot), on_hot, "left").drop(*[f"_h_{k}" for k in keys])
-
-    settled = F.coalesce(F.col("_hot"), F.lit(False)) | ~complete
-    marked = marked.withColumn(
-        "_spread", F.when(settled, F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
-    )
+    if hot_rows is None:
+        marked, settled = facts, ~complete
+        found = F.col("_cold_hit")
+    else:
+        hot = _hot_rows(facts.where(complete), dim, keys, hot_rows)
+        on_hot = _all([F.col(k) == F.col(f"_h_{k}") for k in keys])
+        marked = facts.join(F.broadcast(hot), on_hot, "left").drop(*[f"_h_{k}" for k in keys])
+        settled = F.coalesce(F.col("_hot"), F.lit(False)) | ~complete
+        found = F.coalesce("_hot_hit", "_cold_hit")
     cold = dim.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
         F.lit(0).cast("bigint").alias("_c_spread"),
         F.col("_hit").alias("_cold_hit"),
     )
+    marked = marked.withColumn(
+        "_spread", F.when(settled, F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
+    )
     on_cold = _all(
         [F.when(~settled, F.col(k)) == F.col(f"_c_{k}") for k in keys]
         + [F.col("_spread") == F.col("_c_spread")]
     )
     joined = marked.join(cold, on_cold, "left")
-    return joined.select(
-        *facts.columns, F.coalesce("_hot_hit", "_cold_hit").alias(hit)
+    return joined.select(*facts.columns, found.alias(hit))
+
+
+def _hot_rows(facts: DataFrame, dim: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """Every hot key once, with its dimension row or NULL."""
+    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot_keys = counts.where(F.col("_n") >= hot_rows).select(*keys)
+    return (
+        dim.join(F.broadcast(hot_keys), keys)
+        .unionByName(hot_keys, allowMissingColumns=True)
+        .groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
+        .agg(F.first("_hit", ignorenulls=True).alias("_hot_hit"))
+        .withColumn("_hot", F.lit(True))
     )
 
 
+def staged(df: DataFrame, path: str | None) -> DataFrame:
+    """``df`` through a written table in a folder on shared storage: it survives
+    lost executors and is computed once, however many readers it has. Without a
+    path it comes back as it is."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def anti_lookup(
     facts: DataFrame,
     present: DataFrame,
     keys: Sequence[str],
     *,
     spread: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Fact rows whose key is not in ``present``; duplicates are kept."""
     known = present.select(*keys).distinct()
