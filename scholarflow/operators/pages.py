@@ -94,55 +94,71 @@ def _pieces(pages: DataFrame, layout: PageLayout) -> DataFrame:
     )
 
 
-def _nesting(pieces: DataFrame, layout: PageLayout) -> DataFrame:
+def _tagged(pieces: DataFrame, layout: PageLayout, *fields: str) -> DataFrame:
+    """Reduce pieces to what nesting needs: page columns, seg, tag, move (1 for
+    an opening tag, -1 for a closing one), kind of the container it opens, and
+    the given fields."""
+    kinds = []
+    for box in layout.boxes:
+        match = f"tag_ in ({H.listed(box.tags)})"
+        if box.classes:
+            match += f" and arrays_overlap(classes_, array({H.listed(box.classes)}))"
+        kinds.append(f"when {match} then {X.sql_text(box.kind)}")
+    move = (
+        "case when head = '' or endswith(head, '/>') then 0 when startswith(head, '</') then -1 else 1 end"
+    )
+    classes = f"split(coalesce({H.attribute('head', 'class', plain=True)}, ''), '\\\\s+')"
+    kind = X.sql_bind(
+        H.tag_name("head"), "tag_", X.sql_bind(classes, "classes_", f"case {' '.join(kinds)} end")
+    )
+    keep = [c for c in pieces.columns if c not in ("head", "body")]
+    return (
+        pieces.selectExpr("*", f"{H.tag_name('head')} as tag", f"{move} as move")
+        .selectExpr("*", f"if(move = 1, {kind}, null) as kind")
+        .selectExpr(*keep, "tag", "move", "kind", *fields)
+    )
+
+
+def _nesting(tagged: DataFrame, layout: PageLayout) -> DataFrame:
     """Add to every piece the containers around it.
 
     ``box`` is the innermost container after the piece's tag and ``up`` the one
     before it, each a struct (seg, kind, no, depth); ``no`` counts the
     containers of a kind on the page. ``list_tag`` is the outermost list the
     piece stands in and ``ends_list`` marks the tag that closes it. All windows
-    are clustered by page, so one shuffle by page serves them all.
+    are clustered by page, so one shuffle by page serves them all; what depends
+    on page order alone is computed in one sort.
     """
-    kinds = []
-    for box in layout.boxes:
-        match = f"tag in ({H.listed(box.tags)})"
-        if box.classes:
-            match += f" and {H.has_class('class', *box.classes)}"
-        kinds.append(f"when {match} then {X.sql_text(box.kind)}")
-    lists = f"tag in ({H.listed(LIST_TAGS)})"
     page = "(partition by page_id order by seg)"
+    kinds = dict.fromkeys(b.kind for b in layout.boxes)
+    per_tag = " ".join(
+        f"when {X.sql_text(t)} then sum(if(tag = {X.sql_text(t)}, move, 0)) over {page}"
+        for t in layout.cut_tags
+    )
+    per_kind = " ".join(
+        f"when {X.sql_text(k)} then count_if(kind = {X.sql_text(k)}) over {page}" for k in kinds
+    )
+    list_move = f"if(tag in ({H.listed(LIST_TAGS)}), move, 0)"
     return (
-        pieces.selectExpr(
-            "*", f"{H.tag_name('head')} as tag",
-            f"{H.attribute('head', 'class', plain=True)} as class",
-            "case when head = '' or endswith(head, '/>') then 0 "
-            "when startswith(head, '</') then -1 else 1 end as move",
-        )
-        .selectExpr(
-            "*", f"case when move <> 1 then null {' '.join(kinds)} end as kind",
-            f"if({lists}, move, 0) as list_move",
-        )
+        tagged
         # an opening tag and its closing tag get the same depth among their tag
         .selectExpr(
             "*",
-            "sum(move) over (partition by page_id, tag order by seg) + if(move = -1, 1, 0) as tag_depth",
+            f"case tag {per_tag} end + if(move = -1, 1, 0) as tag_depth",
+            f"cast(case kind {per_kind} end as int) as no",
+            f"sum(move) over {page} as depth",
+            f"sum({list_move}) over {page} as list_depth",
         )
         .selectExpr(
             "*",
-            "last(if(move = 1, struct(kind), null)) ignore nulls over "
-            "(partition by page_id, tag, tag_depth order by seg) as opened",
-            "row_number() over (partition by page_id, kind order by seg) as no",
+            "last(if(move = 1, struct(kind is not null as is_box), null)) ignore nulls over "
+            "(partition by page_id, tag, tag_depth order by seg).is_box as closes",
         )
         .selectExpr(
             "*",
-            "case when kind is not null then 1 "
-            "when move = -1 and opened.kind is not null then -1 else 0 end as box_move",
-        )
-        .selectExpr(
-            "*",
-            f"sum(move) over {page} as depth",
-            f"sum(list_move) over {page} as list_depth",
-            f"sum(box_move) over {page} as box_depth",
+            "sum(case when kind is not null then 1 when move = -1 and closes then -1 else 0 end) "
+            f"over {page} as box_depth",
+            f"last(if({list_move} = 1 and list_depth = 1, tag, null)) ignore nulls over {page} as list_open",
         )
         .selectExpr("*", "if(kind is null, null, struct(seg, kind, no, depth)) as here")
         .selectExpr(
@@ -151,13 +167,11 @@ def _nesting(pieces: DataFrame, layout: PageLayout) -> DataFrame:
             "(partition by page_id, box_depth order by seg), null) as box",
         )
         .selectExpr(
-            "*",
+            "* except (tag_depth, closes, list_depth, list_open, here, no)",
             f"lag(box) over {page} as up",
-            "if(list_depth > 0, last(if(list_move = 1 and list_depth = 1, tag, null)) ignore nulls "
-            f"over {page}, null) as list_tag",
-            "list_move = -1 and list_depth = 0 as ends_list",
+            "if(list_depth > 0, list_open, null) as list_tag",
+            f"{list_move} = -1 and list_depth = 0 as ends_list",
         )
-        .drop("tag_depth", "opened", "here", "box_move", "list_move", "list_depth", "no")
     )
 
 
@@ -172,7 +186,6 @@ def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     stored outline serves both.
     """
     pages = _with_ids(pages)
-    classes = H.attribute("head", "class", plain=True)
     link = H.find("body", r"(?is)<a(?:\s[^>]*)?>(?:.*?</a\s*>)?")
     image = H.find("link_", r"(?is)<img(?:\s[^>]*)?>")
     title = H.first_element("body", "b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?title[\s\"'>]")
@@ -182,19 +195,19 @@ def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
         f"{X.strip_sql(H.plain_text('g_'))} as title, "
         f"{H.has_class(H.attribute('g_', 'class', plain=True), 'header')} as marked)"
     )
-    reduced = _pieces(pages, layout).selectExpr(
-        *[c for c in pages.columns if c != "html"], "seg", "head",
+    reduced = _tagged(
+        _pieces(pages, layout), layout,
         f"if(body rlike '(?i)<h[1-6][\\\\s>]', transform({H.find_all('body', H.HEADING_PATTERN)}, "
         f"g_ -> {heading}), null) as headings",
-        f"if({H.has_class(classes, 'img-wrap')}, "
+        "if(kind = 'img-wrap', "
         + X.sql_bind(link, "link_", X.sql_bind(image, "img_", (
             f"struct(coalesce({H.attribute('link_', 'href')}, '') as href, img_ <> '' as has_image, "
             f"if(img_ = '', '', replace(coalesce({H.attribute('img_', 'alt')}, 'Image'), '\n', '')) as alt)"
         ))) + ", null) as image",
-        f"if({H.has_class(classes, 'figcaption')}, "
+        "if(kind = 'figcaption', "
         f"struct(coalesce({H.compact_text(title)}, '') as title, "
         f"coalesce({H.compact_text(H.first_element('body', 'p'))}, {second}, '') as text), null) as caption",
-        f"{H.attribute('head', 'id')} as id",
+        f"if(kind is null, null, {H.attribute('head', 'id')}) as id",
     )
     low, high = layout.heading_levels
     first, last = layout.trigger_levels
@@ -228,7 +241,7 @@ def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
             f"min(if({in_figure} and caption is not null, struct(seg, caption), null)) {inside} as cap",
         )
         .where("level_no = box_depth")
-        .drop("headings", "image", "caption", "level_no", "around", "head", "tag", "class", "move")
+        .drop("headings", "image", "caption", "level_no", "around", "tag", "move")
         .selectExpr(
             "* except (best, asked, img, cap, id)",
             "if(kind = 'section', struct(box.no - 1 as ordinal, if(up.kind = 'section', up.no - 1, null) "
@@ -326,19 +339,20 @@ def _page_facts(outlined: DataFrame) -> DataFrame:
             f"case when fig is not null then concat(image_dir, '/', img_file_name) "
             f"when kind = 'section' then {slug} end as target",
         )
-        .selectExpr(
-            "*", "key is not null and row_number() over (partition by page_id, key order by seg) = 1 as first",
-        )
     )
+    first = "filter(links, (x, i) -> i = 0 or links[greatest(i - 1, 0)].key <> x.key)"
     return (
         rows.groupBy("page_id")
         .agg(
             F.expr("sort_array(collect_list(struct(seg, owner, list_tag, ends_list, head, shown)))").alias("slots"),
-            F.expr("map_from_entries(collect_list(if(first, struct(key, target), null)))").alias("targets"),
+            F.expr("sort_array(collect_list(if(key is null, null, struct(key, seg, target))))").alias("links"),
             F.expr("bool_or(kind = 'section')").alias("has_section"),
         )
         .where("has_section")
-        .drop("has_section")
+        .selectExpr(
+            "page_id", "slots",
+            f"map_from_entries(transform({first}, x -> struct(x.key, x.target))) as targets",
+        )
     )
 
 
@@ -443,7 +457,9 @@ def reference_links(pages: DataFrame) -> DataFrame:
         f"struct({X.strip_sql(H.plain_text('l_'))} as text, {H.attribute('l_', 'href')} as href)"
     )
     rows = (
-        _nesting(_pieces(pages.select("page_id", "html"), REFERENCES), REFERENCES)
+        _nesting(
+            _tagged(_pieces(pages.select("page_id", "html"), REFERENCES), REFERENCES, "body"), REFERENCES
+        )
         .where("box is not null")
         .selectExpr(
             "*",
