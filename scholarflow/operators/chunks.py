@@ -69,7 +69,7 @@ def transform_chunks(
 ) -> DataFrame:
     """Apply a text-to-text callable to every chunk.
 
-    ``make`` builds the callable once per batch of a task (a client, a model).
+    ``make`` builds the callable once per task (a client, a model).
     Output shorter than ``min_length`` is asked for again, ``attempts`` times in
     all, then kept as it is. Blank chunks and front matter pass unchanged.
     Adds ``output``, ``status`` (ok, short, blank, error), ``tries``, ``error``;

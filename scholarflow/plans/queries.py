@@ -485,15 +485,11 @@ def transform_roundtrip(spark, sf):
     )
 
 
-def _lower_case() -> Callable[[str], str]:
-    return str.lower
-
-
 @query
 def transform_callable(spark, sf):
     """The flagship with a Python callable in the place of the expression."""
     return corpus.transform_markdown(
-        inputs.markdown_docs(spark, sf), _lower_case, threshold=PART_TOKENS, delimiter=". ",
+        inputs.markdown_docs(spark, sf), lambda: str.lower, threshold=PART_TOKENS, delimiter=". ",
         pattern=None, min_length=1,
     )
 
@@ -503,7 +499,7 @@ def transform_retries(spark, sf):
     """Status and number of tries of each part; short output is asked for again."""
     parts = C.chunk_rows(C.chapter_rows(inputs.markdown_docs(spark, sf)), threshold=PART_TOKENS, delimiter=". ")
     done = C.transform_chunks(
-        parts, _lower_case, keys=["doc_id", "chapter_no", "part_no"], min_length=100, attempts=3
+        parts, lambda: str.lower, keys=["doc_id", "chapter_no", "part_no"], min_length=100, attempts=3
     )
     return done.groupBy("doc_id", "status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tries").alias("tries")

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from scholarflow.functions import text as X
 from scholarflow.operators.papers import clean_ids
 
-PAPER_FILE_SCHEMA = (
-    "file_name string, semantic_id string, title string, date date, authors array<string>, "
-    "year int, venue string, venue_short string, abstract string, citation_count bigint, "
-    "external_ids map<string,string>, _corrupt string"
-)
+PAPER_FILE_COLUMNS = {
+    "file_name": "string", "semantic_id": "string", "title": "string", "date": "string",
+    "authors": "array<string>", "year": "int", "venue": "string", "venue_short": "string",
+    "abstract": "string", "citation_count": "bigint", "external_ids": "map<string,string>",
+    "_corrupt": "string",
+}
 
 
 def file_name() -> Column:
@@ -89,11 +90,15 @@ def read_paper_files(
         .text(path, wholetext=True)
         .select(file_name().alias("file_name"), file_key(file_name()).alias("stem"), "value")
     )
-    return files.mapInPandas(_parse_records, PAPER_FILE_SCHEMA)
+    schema = ", ".join(f"{c} {t}" for c, t in PAPER_FILE_COLUMNS.items())
+    rows = files.mapInPandas(_record_parser(), schema)
+    return rows.withColumn("date", F.expr("try_to_date(date)"))
 
 
-def _parse_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import yaml
+def _record_parser():
+    """Parser of (file_name, stem, value) batches; a closure, so that it is
+    shipped to the executors whole and this package need not be there."""
+    columns = list(PAPER_FILE_COLUMNS)
 
     def text(value):
         return None if value is None else str(value)
@@ -101,31 +106,30 @@ def _parse_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def number(value):
         return value if isinstance(value, int) and not isinstance(value, bool) else None
 
-    def date(value):
-        stamp = pd.to_datetime(text(value), errors="coerce")
-        return None if pd.isna(stamp) else stamp.date()
-
     def parse(name: str, stem: str, content: str) -> dict:
-        row = {"file_name": name, "semantic_id": stem, "_corrupt": None}
+        import yaml
+
+        row = dict.fromkeys(columns) | {"file_name": name, "semantic_id": stem}
         try:
             data = json.loads(content) if name.endswith(".json") else yaml.safe_load(content)
             ids = data.get("external_ids") or {}
-            row |= {c: text(data.get(c)) for c in ("title", "venue", "venue_short", "abstract")}
+            row |= {c: text(data.get(c)) for c in ("title", "date", "venue", "venue_short", "abstract")}
             row |= {
-                "date": date(data.get("date")),
                 "authors": [str(a) for a in data.get("authors") or []],
                 "year": number(data.get("year")),
                 "citation_count": number(data.get("citation_count")),
-                "external_ids": [(str(k), text(v)) for k, v in ids.items()],
+                "external_ids": {str(k): text(v) for k, v in ids.items()},
             }
         except Exception as e:  # noqa: BLE001 - recorded per file
             row["_corrupt"] = f"{type(e).__name__}: {e}"
         return row
 
-    columns = [c.split()[0] for c in PAPER_FILE_SCHEMA.replace("map<string,string>", "map").split(", ")]
-    for batch in batches:
-        rows = [parse(*r) for r in batch[["file_name", "stem", "value"]].itertuples(index=False)]
-        out = pd.DataFrame(rows, columns=columns)
-        for c in ("year", "citation_count"):
-            out[c] = out[c].astype("Int64")
-        yield out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [parse(*r) for r in batch[["file_name", "stem", "value"]].itertuples(index=False)]
+            out = pd.DataFrame(rows, columns=columns, dtype=object)
+            for c in ("year", "citation_count"):
+                out[c] = out[c].astype("Int64")
+            yield out
+
+    return run
