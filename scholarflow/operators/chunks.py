@@ -14,6 +14,21 @@ THRESHOLD = 2000
 HEADER_NO = 0  # chapter number of the row that holds the front matter
 
 
+def counter_of(make: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A token counter from a Python callable, such as a model's own tokenizer.
+
+    ``make`` builds the callable once per task. It is slower than the default
+    counter, which is a Spark expression.
+    """
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counted = make()
+        for texts in batches:
+            yield texts.map(counted)
+
+    return count
+
+
 def chapter_rows(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "markdown", with_header: bool = True
 ) -> DataFrame:

@@ -138,12 +138,14 @@ def venue_names(venues: DataFrame, journals: DataFrame) -> DataFrame:
         F.min_by("name_short", "ordinal").alias("name_short"), F.min("ordinal").alias("ordinal")
     )
     lengths = names.agg(F.collect_set(F.length("_name")).alias("lengths")).scalar()
-    lowered = F.lower("venue")
+    size = F.length("_low")
     spots = (
-        venues.select("venue", F.explode(lengths).alias("_len"))
-        .where(F.col("_len") <= F.length("venue"))
-        .withColumn("_pos", F.explode(F.sequence(F.lit(1), F.greatest(F.length("venue") - F.col("_len") + 1, F.lit(1)))))
-        .select("venue", F.substr(lowered, F.col("_pos"), F.col("_len")).alias("_name"))
+        venues.select("venue", F.lower("venue").alias("_low"), F.explode(lengths).alias("_len"))
+        .where(F.col("_len") <= size)
+        .select("venue", "_low", "_len", F.explode(
+            F.sequence(F.lit(1), F.greatest(size - F.col("_len") + 1, F.lit(1)))
+        ).alias("_pos"))
+        .select("venue", F.substr("_low", F.col("_pos"), F.col("_len")).alias("_name"))
     )
     return (
         spots.join(names, "_name")
@@ -166,12 +168,24 @@ def papers_with_id(papers: DataFrame, key: str = "IEEE") -> DataFrame:
     return papers.where(F.col("external_ids")[key].isNotNull())
 
 
-def new_ids(ids: DataFrame, papers: DataFrame, *, column: str = "id", key: str = "semantic_id") -> DataFrame:
-    """Listed ids that are not stored yet, each once."""
+def new_ids(
+    ids: DataFrame, papers: DataFrame, *, column: str = "id", key: str = "semantic_id",
+    mode: str = "missing",
+) -> DataFrame:
+    """Listed ids that are not stored yet, each once; with mode ``all`` the
+    list as it is."""
+    if _mode(mode) == "all":
+        return ids.select(column)
     stored = papers.select(F.col(key).alias(column))
     return ids.select(column).distinct().join(stored, column, "left_anti")
 
 
+def _mode(mode: str) -> str:
+    if mode not in ("missing", "all"):
+        raise ValueError(f"mode must be 'missing' or 'all', not {mode!r}")
+    return mode
+
+
 def papers_to_fetch(
     papers: DataFrame,
     fetched: DataFrame,
@@ -186,10 +200,8 @@ def papers_to_fetch(
     Duplicates are kept. ``fetched`` is the log of asked papers, so a paper
     with no edges counts as fetched.
     """
-    if mode == "all":
+    if _mode(mode) == "all":
         return papers
-    if mode != "missing":
-        raise ValueError(f"mode must be 'missing' or 'all', not {mode!r}")
     return anti_lookup(papers, fetched, [key], spread=spread or papers.columns, hot_rows=hot_rows)
 
 

@@ -41,7 +41,9 @@ def lookup_join(
     """
     keys = list(keys)
     values = [c for c in dim.columns if c not in keys]
-    dim = dim.select(*keys, F.struct(F.lit(True).alias("found"), *values).alias("_hit"))
+    # equal keys must have equal hashes, so both sides get the same types
+    typed = [F.col(k).cast(facts.schema[k].dataType).alias(k) for k in keys]
+    dim = dim.select(*typed, F.struct(F.lit(True).alias("found"), *values).alias("_hit"))
     complete = _all_set(keys)
     if hot_rows is None:
         marked, settled = facts, ~complete
@@ -52,17 +54,19 @@ def lookup_join(
         marked = facts.join(F.broadcast(hot), on_hot, "left").drop(*[f"_h_{k}" for k in keys])
         settled = F.coalesce(F.col("_hot"), F.lit(False)) | ~complete
         found = F.coalesce("_hot_hit", "_cold_hit")
+    # the join key is led by a hash: of the key where a match is wanted, of the
+    # row where it is not, so that those rows go to every task alike
+    marked = marked.withColumn(
+        "_lead", F.when(settled, F.xxhash64(*spread)).otherwise(F.xxhash64(*keys))
+    )
     cold = dim.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.lit(0).cast("bigint").alias("_c_spread"),
+        F.xxhash64(*keys).alias("_c_lead"),
         F.col("_hit").alias("_cold_hit"),
     )
-    marked = marked.withColumn(
-        "_spread", F.when(settled, F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
-    )
     on_cold = _all(
-        [F.when(~settled, F.col(k)) == F.col(f"_c_{k}") for k in keys]
-        + [F.col("_spread") == F.col("_c_spread")]
+        [F.col("_lead") == F.col("_c_lead")]
+        + [F.col(k) == F.col(f"_c_{k}") for k in keys]
     )
     joined = marked.join(cold, on_cold, "left")
     return joined.select(*facts.columns, found.alias(hit))

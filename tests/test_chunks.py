@@ -50,6 +50,17 @@ def test_native_and_callable_agree(docs):
     assert whole["c"] == "---\nonly: header\n---\n\n" and whole["d"] == ""
 
 
+def test_own_counter(docs):
+    chapters = C.chapter_rows(docs)
+    words = C.counter_of(lambda: lambda text: len(text.split()))
+    plan = C.chunk_plan(chapters, threshold=3, counter=words)
+    for r in plan.collect():
+        n = len(r.text.split())
+        assert (r.n_tokens, r.n_parts) == (n, n // 3 + 1 if n > 3 else 1)
+    parts = C.chunk_rows(chapters, threshold=3, counter=words)
+    assert parts.where("doc_id = 'a' and chapter_no = 2").count() == 4
+
+
 def test_staged_transform(docs, tmp_path):
     plain = corpus.transform_markdown(docs, lambda: str.upper, threshold=3).collect()
     staged = corpus.transform_markdown(docs, lambda: str.upper, threshold=3, stage=str(tmp_path), tasks=3).collect()

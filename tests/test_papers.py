@@ -72,6 +72,7 @@ def test_missing_sets(spark):
     ids = A.clean_ids(spark.createDataFrame([(" a ",), ("",), ("b",), ("b",), ("\t",)], "value string"))
     stored = spark.createDataFrame([("a",)], "semantic_id string")
     assert [r.id for r in A.new_ids(ids, stored).collect()] == ["b"]
+    assert sorted(r.id for r in A.new_ids(ids, stored, mode="all").collect()) == ["a", "b", "b"]
     papers = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4)], "paper_id string, n int")
     log = spark.createDataFrame([("y",), ("y",)], "paper_id string")
     missing = A.papers_to_fetch(papers, log)
@@ -116,6 +117,31 @@ def test_lookup_join_equals_left_join(spark, hot_rows):
     assert sorted(map(repr, flat.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_lookup_join_spreads_rows_without_a_match_to_make(spark):
+    """Hot and NULL keys do not meet in one task of the shuffled join."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    try:
+        facts = spark.range(8000).selectExpr("id", "if(id < 4000, null, 'hot') as k")
+        dim = spark.createDataFrame([("hot", 1), ("x", 2)], "k string, v int")
+        got = S.lookup_join(facts, dim, ["k"], spread=["id"], hot_rows=100)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 1500
+        assert got.where("hit.v = 1").count() == 4000
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_lookup_join_of_unlike_types(spark):
+    facts = spark.range(5).selectExpr("id", "cast(id as int) as k")
+    dim = spark.range(3).selectExpr("id as k", "id * 10 as v")
+    got = S.lookup_join(facts, dim, ["k"], spread=["id"])
+    assert sorted((r.id, r.hit and r.hit.v) for r in got.collect()) == [(0, 0), (1, 10), (2, 20), (3, None), (4, None)]
+
+
 def test_anti_lookup_with_hot_keys(spark):
     facts = spark.range(100).selectExpr("id", "if(id < 60, 1, id) as k")
     present = spark.range(1, 80, 2).selectExpr("id as k")
