@@ -250,12 +250,12 @@ def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
             "if(asked and best is not null, coalesce(id, ''), '') as section_id), null) as head",
             "if(kind = 'figure' and img is not null and cap is not null, struct(img.image.href, "
             "img.image.alt, cap.caption.title, cap.caption.text, "
-            "if(img.image.has_image, coalesce(id, 'None'), '') as data_fig_id), null) as fig",
+            "if(img.image.has_image, id, '') as data_fig_id), null) as fig",
         )
         .selectExpr(
             "*",
             "if(fig is null, null, concat('ieee_', coalesce(document_id, 'Unknown'), '_', "
-            "fig.data_fig_id, '.gif')) as img_file_name",
+            "coalesce(fig.data_fig_id, 'None'), '.gif')) as img_file_name",
             "concat('../img/', coalesce(semantic_id, 'Unknown'), '_img') as image_dir",
         )
     )

@@ -155,7 +155,7 @@ def venue_names(venues: DataFrame, journals: DataFrame) -> DataFrame:
 
 
 def with_venue_short(
-    papers: DataFrame, journals: DataFrame, *, spread: list[str], hot_rows: int | None = HOT_ROWS
+    papers: DataFrame, journals: DataFrame, *, spread: list[str] | None = None, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Add ``venue_short``; NULL where no journal name occurs in the venue."""
     venues = papers.where(F.col("venue").isNotNull()).select("venue").distinct()
@@ -202,7 +202,7 @@ def papers_to_fetch(
     """
     if _mode(mode) == "all":
         return papers
-    return anti_lookup(papers, fetched, [key], spread=spread or papers.columns, hot_rows=hot_rows)
+    return anti_lookup(papers, fetched, [key], spread=spread, hot_rows=hot_rows)
 
 
 def pending_downloads(papers: DataFrame, downloaded: DataFrame, key: str = "IEEE") -> DataFrame:

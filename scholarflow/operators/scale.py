@@ -19,7 +19,7 @@ def lookup_join(
     dim: DataFrame,
     keys: Sequence[str],
     *,
-    spread: Sequence[str],
+    spread: Sequence[str] | None = None,
     hit: str = "hit",
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
@@ -32,7 +32,8 @@ def lookup_join(
     whose row count is bounded (see ``HOT_ROWS``). In the shuffled join that
     serves the other keys, rows that need no match any more (hot, or NULL key)
     carry a hash of the ``spread`` columns, so they spread evenly and do not
-    pile up in one task.
+    pile up in one task. Columns that tell rows apart serve best; the default
+    is all that can be hashed.
 
     The count reads the key columns of ``facts`` once more, which is cheap for a
     stored table. Where ``facts`` is the result of costly parsing that is not
@@ -45,6 +46,7 @@ def lookup_join(
     typed = [F.col(k).cast(facts.schema[k].dataType).alias(k) for k in keys]
     dim = dim.select(*typed, F.struct(F.lit(True).alias("found"), *values).alias("_hit"))
     complete = _all_set(keys)
+    spread = list(spread or [c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
     if hot_rows is None:
         marked, settled = facts, ~complete
         found = F.col("_cold_hit")
@@ -100,7 +102,7 @@ def anti_lookup(
     present: DataFrame,
     keys: Sequence[str],
     *,
-    spread: Sequence[str],
+    spread: Sequence[str] | None = None,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Fact rows whose key is not in ``present``; duplicates are kept."""

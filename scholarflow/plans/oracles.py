@@ -174,10 +174,10 @@ titled as (
   select *, lead(title) over (partition by doc_id order by i) as next_title from (
     select *, source || ' – ' || lang || ' (' || (i + 1) || ')' as title from lines)),
 sections as (
-  select doc_id as page_id, 2 * i as ordinal, cast(null as bigint) as parent_ordinal, 2 as level, title,
+  select doc_id as page_id, cast(2 * i as int) as ordinal, cast(null as int) as parent_ordinal, 2 as level, title,
     {main} as content, 'sec' || i as section_id from titled
   union all
-  select doc_id, 2 * i + 1, 2 * i, 3, 'Notes ' || (i + 1), {notes}, 'sec' || i || 'a' from titled)"""
+  select doc_id, cast(2 * i + 1 as int), cast(2 * i as int), 3, 'Notes ' || (i + 1), {notes}, 'sec' || i || 'a' from titled)"""
 
 
 MARKDOWN = f"string_agg(repeat('#', level) || ' ' || title || {NL} || {NL} || content || {NL} || {NL}, '' order by ordinal)"
@@ -303,10 +303,10 @@ counted as (select page_id, name, count(*) filter (move >= 0) as opened, sum(mov
 select page_id, 'tag' as kind, name, opened as n from counted where opened > 0 and name not in ({', '.join(map(_q, _known_tags))})
 union all select page_id, 'unbalanced', name, cast(open as bigint) from counted where open <> 0 and name in ({', '.join(map(_q, WEB_PAGE.tags))})""",
     "page_sections": f"with {OWN_SECTIONS} select * from sections",
-    "html_lists": f"""with {LINES} select doc_id as page_id, 2 * i + 1 as ordinal, item_no,
+    "html_lists": f"""with {LINES} select doc_id as page_id, cast(2 * i + 1 as int) as ordinal, item_no,
   case item_no when 0 then '- chars ' || length(x) else '- words <sub>' || i || '</sub>' end as item
 from lines, (values (0), (1)) as v(item_no)""",
-    "html_figures": f"""with {LINES} select doc_id as page_id, i as ordinal,
+    "html_figures": f"""with {LINES} select doc_id as page_id, cast(i as int) as ordinal,
   'https://ieeexplore.ieee.org//mediastore/' || doc_id || '-' || i || '.gif' as image_href,
   'ieee_' || doc_id || '_fig' || i || '.gif' as img_file_name, 'fig' || i as data_fig_id, 'Fig' || i as alt,
   'Fig. ' || i || '.' as caption_title, 'Line' || i || 'of ' || n as caption_text from lines""",
@@ -337,7 +337,7 @@ by_ieee as (select ieee, coalesce(max(own), max(other)) as semantic_id from (
 asked as (select *, 'https://doi.org/10.5555/' || case when i = 0 then source else lang end as doi_link,
   case when i = 0 or contains(x, ',') then '/document/' || length(x) end as page_link,
   i > 0 and contains(x, ',') as page_last from lines)
-select a.doc_id as page_id, i as ordinal, (i + 1) || '.' as number, {strip('x')} as title,
+select a.doc_id as page_id, cast(i as int) as ordinal, (i + 1) || '.' as number, {strip('x')} as title,
   'CrossRef=' || doi_link || coalesce(';View Article=' || page_link, '') as links,
   case when page_last then e.semantic_id else o.semantic_id end as semantic_id
 from asked a left join by_doi o on 'https://doi.org/' || o.doi = doi_link
@@ -351,7 +351,7 @@ select doc_id as page_id, cast(doc_id as varchar) as ieee_paper_id, sid as seman
   'img/' || sid || '_img' as final_img_dir, 'info/' || sid || '_original.json' as paper_info_path,
   '1.' as first_reference, 'ieee_' || doc_id || '_fig0.gif' as first_image, 'sec0' as first_section from resolved""",
     "chapters": f"with {CHAPTERS} select doc_id, cast(chapter_no as int) as chapter_no, t as text from chapters",
-    "chunk_plan": f"""select doc_id, k as n_tokens, cast(case when k > 200 then k // 200 + 1 else 1 end as int) as n_parts
+    "chunk_plan": f"""select doc_id, cast(k as int) as n_tokens, cast(case when k > 200 then k // 200 + 1 else 1 end as int) as n_parts
 from (select doc_id, {tokens('text')} as k from documents)""",
     "chunks": f"""with recursive whole as (select doc_id, text as t from documents),
 {parts('whole', 'doc_id', 200, chr(10))} select doc_id, part_no, p as text from parts""",
