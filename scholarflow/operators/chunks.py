@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scholarflow.functions import text as X
@@ -183,6 +183,16 @@ def transform_in_place(
     )
 
 
+def observed(df: DataFrame, name: str, *, text: str = "text") -> tuple[DataFrame, Observation]:
+    """``df`` and the counts (rows, characters) that a job over it collects on
+    the way, without a pass of their own."""
+    seen = Observation(name)
+    counted = df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.sum(F.length(text)).alias("characters")
+    )
+    return counted, seen
+
+
 def compare_structure(
     source: DataFrame, output: DataFrame, *, doc_id: str = "doc_id", text: str = "markdown"
 ) -> DataFrame:

@@ -528,12 +528,11 @@ def link_maps(links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def references(
-    pages: DataFrame, papers: DataFrame, doi_by_ieee: DataFrame, answers: DataFrame, *,
-    stage: str | None = None,
+    pages: DataFrame, doi_index: DataFrame, ieee_index: DataFrame, *, stage: str | None = None
 ) -> DataFrame:
     """Reference lists: (page_id, ordinal, number, title, links, semantic_id).
 
-    An entry with an unusable link is kept, without an id. With ``stage``, a
+    The indexes lead from DOIs and publisher ids to own ids (see ``ids``). An entry with an unusable link is kept, without an id. With ``stage``, a
     folder on shared storage, the parsed entries are written there first, and
     works that very many papers cite are looked up by broadcast.
     """
@@ -549,7 +548,7 @@ def references(
     )
     named = entries.selectExpr("page_id", "ordinal", "number", "title", "found", links)
     return with_reference_ids(
-        named, papers, doi_by_ieee, answers, spread=["page_id", "ordinal"], hot_rows=hot_rows
+        named, doi_index, ieee_index, spread=["page_id", "ordinal"], hot_rows=hot_rows
     ).select("page_id", "ordinal", "number", "title", "links", "semantic_id")
 
 

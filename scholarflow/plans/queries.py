@@ -267,10 +267,10 @@ def resolve_ieee(spark, sf):
     dois = table(spark, sf, "documents", "doc_id", "lang").where(F.col("lang") != "fr").select(
         text_of("doc_id").alias("ieee_id"), F.concat(F.lit("10.5555/d"), "doc_id").alias("doi")
     )
-    return I.semantic_from_ieee(
-        asked, inputs.numbered_papers(spark, sf), dois, inputs.numbered_answers(spark, sf),
-        spread=["event_id"],
+    index = I.semantic_index_of_ieee(
+        inputs.numbered_papers(spark, sf), dois, inputs.numbered_answers(spark, sf)
     )
+    return I.semantic_from_ieee(asked, index, spread=["event_id"])
 
 
 @query
@@ -395,9 +395,11 @@ def _link_text(links: Column) -> Column:
 
 @query
 def reference_list(spark, sf):
+    papers, answers = inputs.labelled_papers(spark, sf), inputs.language_answers(spark, sf)
     rows = P.references(
-        inputs.reference_pages(spark, sf), inputs.labelled_papers(spark, sf),
-        inputs.page_dois(spark, sf), inputs.language_answers(spark, sf),
+        inputs.reference_pages(spark, sf),
+        I.semantic_index_of_doi(papers, answers),
+        I.semantic_index_of_ieee(papers, inputs.page_dois(spark, sf), answers),
     )
     return rows.withColumn("links", _link_text(F.col("links")))
 

@@ -50,6 +50,12 @@ def test_native_and_callable_agree(docs):
     assert whole["c"] == "---\nonly: header\n---\n\n" and whole["d"] == ""
 
 
+def test_observed(docs):
+    parts, seen = C.observed(C.chunk_rows(C.chapter_rows(docs), threshold=3), "parts")
+    rows = parts.collect()
+    assert seen.get == {"rows": len(rows), "characters": sum(len(r.text) for r in rows)}
+
+
 def test_own_counter(docs):
     chapters = C.chapter_rows(docs)
     words = C.counter_of(lambda: lambda text: len(text.split()))

@@ -92,6 +92,9 @@ def test_pending_and_latest(spark):
     old = spark.createDataFrame([(1, "o"), (2, "o")], "k int, v string")
     new = spark.createDataFrame([(2, "n"), (3, "n")], "k int, v string")
     assert sorted(tuple(r) for r in A.upsert(old, new, ["k"]).collect()) == [(1, "o"), (2, "n"), (3, "n")]
+    newer = papers.selectExpr("semantic_id", "map('DOI', semantic_id) as external_ids").where("semantic_id <> 'b'")
+    merged = {r.semantic_id: r.external_ids for r in A.upsert(papers, newer, ["semantic_id"]).collect()}
+    assert merged == {"a": {"DOI": "a"}, "b": {"IEEE": None}, "c": {"DOI": "c"}}
 
 
 def test_id_batches_equal_slices(spark):
@@ -180,7 +183,8 @@ def test_cascade(spark, papers):
     assert got == {"d": ("s1", False), "e": ("new", True), "f": (None, False), None: (None, False)}
     dois = spark.createDataFrame([("1", "e"), ("5", "d"), ("6", "e"), ("7", "f")], "ieee_id string, doi string")
     asked = spark.createDataFrame([("1",), ("5",), ("6",), ("7",), ("9",)], "ieee_id string")
-    got = {r.ieee_id: (r.semantic_id, r.is_new) for r in I.semantic_from_ieee(asked, papers, dois, answers).collect()}
+    got = {r.ieee_id: (r.semantic_id, r.is_new) for r in I.semantic_from_ieee(
+        asked, I.semantic_index_of_ieee(papers, dois, answers)).collect()}
     assert got == {"1": ("s2", False), "5": ("s1", False), "6": ("new", True), "7": (None, False), "9": (None, False)}
 
 
