@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from scholarflow.plans.oracles import ORACLES
+from scholarflow.plans.queries import QUERIES
 from tools import check
 
 SF = "/root/testdata/sf0.001"
@@ -17,14 +19,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert sorted(entry.queries()) == sorted(entry.oracle_sql())
+    assert sorted(QUERIES) == sorted(ORACLES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "n_chunks", "markdown"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     ok, note = check.compare(spark, con, name, SF)
     assert ok, note
