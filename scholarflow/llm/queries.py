@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, line_dedup, packing
+from . import fingerprints, language_id, line_dedup, minhash, packing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_documents(spark, sf_dir))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _vocabulary(), capacity=4096, end_id=1)
 
@@ -38,12 +42,42 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS.format(text=_LOWER)}, []) AS ws FROM documents),
+sh AS (
+  SELECT doc_id,
+         CASE WHEN len(ws) = 0 THEN []
+              WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+              ELSE list_distinct([array_to_string(ws[i : i + 3], ' ') for i in range(1, len(ws) - 2)]) END AS s
+  FROM w
+),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sh),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sh
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+),
+smallest AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT sh.doc_id, len(sh.s)::BIGINT AS n_shingles, component_id, sh.doc_id = component_id AS kept
+FROM sh JOIN smallest ON sh.doc_id = smallest.a
+""",
     "op6_line_dedup": """
 WITH totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 once AS (
