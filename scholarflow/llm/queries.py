@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, line_dedup, minhash, packing
+from . import decontaminate, fingerprints, language_id, line_dedup, minhash, packing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs, host="source", max_ratio=0.05, min_pages=5)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminations(_documents(spark, sf_dir), benchmark, percent=80).drop("tie")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_documents(spark, sf_dir))
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_language_id": op10_language_id,
 }
 
@@ -101,5 +107,38 @@ SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
        coalesce(len(lines), 0) AS n_lines,
        coalesce(len(lines), 0) - coalesce(len(kept), 0) AS n_removed
 FROM marked
+""",
+    "op8_benchmark_decontamination": f"""
+WITH dw AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+iw AS (SELECT item_id, {_WORDS.format(text=_LOWER)} AS ws FROM benchmark),
+items AS (SELECT item_id, ws, len(ws) AS m, least(len(ws), 5) AS k FROM iw WHERE len(ws) > 0),
+ish AS (
+  SELECT item_id, m, k, unnest([array_to_string(ws[i : i + k - 1], ' ') for i in range(1, m - k + 2)]) AS x FROM items
+),
+icount AS (SELECT item_id, m, k, x, count(*) AS c FROM ish GROUP BY ALL),
+dsh AS (
+  SELECT doc_id, k, len(ws) AS n, unnest(range(0, len(ws) - k + 1)) AS pos,
+         unnest([array_to_string(ws[i + 1 : i + k], ' ') for i in range(0, len(ws) - k + 1)]) AS x
+  FROM dw, (SELECT DISTINCT k FROM items) WHERE len(ws) >= k
+),
+hits AS (SELECT d.doc_id, i.item_id, i.m, i.k, d.n, d.pos FROM dsh d JOIN icount i ON d.x = i.x AND d.k = i.k),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, m, k, s
+  FROM (SELECT *, unnest(range(greatest(0, pos - (m - k)), least(pos, n - m) + 1)) AS s FROM hits)
+),
+held AS (
+  SELECT s.doc_id, s.item_id, s.m, s.k, s.s, d.x, count(*) AS c
+  FROM starts s JOIN dsh d ON s.doc_id = d.doc_id AND s.k = d.k AND d.pos BETWEEN s.s AND s.s + s.m - s.k
+  GROUP BY ALL
+),
+scored AS (
+  SELECT h.doc_id, h.item_id, h.m, h.m - h.k + 1 AS length, h.s, sum(least(h.c, i.c)) AS common
+  FROM held h JOIN icount i ON h.item_id = i.item_id AND h.x = i.x
+  GROUP BY ALL
+)
+SELECT doc_id, item_id, max(common::DOUBLE / (2 * length - common)::DOUBLE) AS similarity, count(*) AS n_windows,
+       arg_max(s, (common * 1000000000 - s)) AS start, arg_max(m, (common * 1000000000 - s)) AS n_words
+FROM scored WHERE 100 * common >= 80 * (2 * length - common)
+GROUP BY doc_id, item_id
 """,
 }
