@@ -97,7 +97,7 @@ def _starts(docs: DataFrame, items: DataFrame) -> DataFrame:
     for k in sizes:
         text = docs.select("doc_id", "tie", word_list(F.col("text")).alias("words"))
         listed = text.select("doc_id", "tie", shingle_list("words", str(k)).alias("found"))
-        each = listed.select("doc_id", "tie", F.size("found").alias("n"), F.posexplode("found").alias("pos", "hash"))
+        each = listed.select("doc_id", "tie", F.size("found").alias("n"), F.posexplode_outer("found").alias("pos", "hash"))
         hit = each.join(known.where(F.col("k") == k), "hash").drop("hash")
         hits = hit if hits is None else hits.unionByName(hit)
     length = F.col("m") - F.col("k") + 1
@@ -128,16 +128,18 @@ def _windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
         per_doc.withColumnsRenamed({"doc_id": "s_doc_id", "tie": "s_tie"}),
         F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("tie") == F.col("s_tie")),
     )
+    # explode_outer: for explode, a filter on the array's size is inferred and pushed
+    # below the arrays' own projections, which evaluates them again for every element
     listed = joined.select("doc_id", "tie", "k", "runs", word_list(F.col("text")).alias("words"))
     listed = listed.select("doc_id", "tie", "k", "runs", shingle_list("words", "k").alias("found"))
     cut = listed.select(
         "doc_id", "tie",
-        F.explode(F.expr(
+        F.explode_outer(F.expr(
             "flatten(transform(runs, r -> transform(sequence(r.lo, r.hi), s ->"
             " struct(r.m AS m, s AS start, slice(found, s + 1, r.m - k + 1) AS shingles))))"
         )).alias("w"),
     )
-    return cut.select("doc_id", "tie", "w.*").withColumn("fingerprint", simhash("shingles"))
+    return cut.where(F.col("w").isNotNull()).select("doc_id", "tie", "w.*").withColumn("fingerprint", simhash("shingles"))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, radius: int = RADIUS,

@@ -41,7 +41,8 @@ def boilerplate(
         F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), _line_key
     )
     counts = (
-        given.select("host", F.explode(F.array_distinct(keys)).alias("line"))
+        given.select("host", F.explode_outer(F.array_distinct(keys)).alias("line"))
+        .where(F.col("line").isNotNull())
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= min_pages)
