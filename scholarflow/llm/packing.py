@@ -19,31 +19,35 @@ length that a large part of the pieces share is no task's alone.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, staged
+from .common import ragged, slices, staged
 
 CAPACITY = 4096
 # distinct words a worker remembers; then it forgets them all and starts anew
-CACHE_WORDS = 400_000
-_LATIN = 0x100
-_MARKS = ".,;:!?|"
+CACHE_WORDS = 1_000_000
+# how this vocabulary's tokenizer cuts lower-case Latin-1 text (fixed values)
+_LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACE = "\t-\r \x85\xa0"
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer that never joins across white space.
+    """Token ids of texts by a lower-casing tokenizer that cuts text into words first.
 
-    White space ends a token, so a text's ids are those of its space-separated
-    parts in order; each distinct part is encoded once and kept. Case does not
-    matter to this tokenizer and neither do plain marks after a letter, so parts
-    in Latin letters are looked up without both.
+    A text's ids are those of its words in order, so each distinct word is encoded
+    once and kept. Texts in Latin-1 are cut here by the tokenizer's own pattern;
+    any other text, and one that may hold a special token, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -54,43 +58,65 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.cores: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
-        self.start, self.length, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.rows: dict[str, int] = {}
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, fresh: list[str]) -> None:
-        split, wanted = [], {}
-        for part in fresh:
-            core = part.rstrip(_MARKS)
-            plain = core != "" and core[-1].isalpha() and all(ord(c) < _LATIN for c in part)
-            pieces = (core.lower(), part[len(core) :]) if plain else (part, "")
-            split.append(pieces)
-            wanted.update((p, None) for p in pieces if p not in self.cores)
-        found = self.tokenizer.encode_batch_fast(list(wanted), add_special_tokens=False) if wanted else []
-        self.cores.update((p, np.array(e.ids, np.uint32)) for p, e in zip(wanted, found))
-        for part, (core, marks) in zip(fresh, split):
-            ids = np.concatenate([self.cores[core], self.cores[marks]])
+        for first in range(0, len(fresh), 4096):
+            words = fresh[first : first + 4096]
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids, n, at = np.array(found.ids, np.uint32), len(words), len(self.rows)
+            size = np.bincount(np.array(found.word_ids, np.int64), minlength=n)
+            if len(size) != n:
+                raise ValueError("this tokenizer does not cut text into the expected words")
+            while at + n > len(self.start):
+                self.start, self.length = np.tile(self.start, 2), np.tile(self.length, 2)
             while self.n_ids + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if self.used == len(self.start):
-                self.start, self.length = np.tile(self.start, 2), np.tile(self.length, 2)
             self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.start[self.used], self.length[self.used] = self.n_ids, len(ids)
-            self.words[part] = self.used
-            self.used, self.n_ids = self.used + 1, self.n_ids + len(ids)
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(self.words) > self.cache_words:
+            self.start[at : at + n] = self.n_ids + np.cumsum(size) - size
+            self.length[at : at + n] = size
+            self.n_ids += len(ids)
+            self.rows.update(zip(words, range(at, at + n)))
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        if len(self.rows) > self.cache_words:
             self._forget()
-        parts = text.replace("\n", " ").split(" ")
-        known = self.words
-        rows = [known.get(p, -1) for p in parts]
-        if -1 in rows:
-            self._learn(list(dict.fromkeys(p for p, r in zip(parts, rows) if r < 0)))
-            rows = [known[p] for p in parts]
-        at = np.array(rows, np.int64)
-        return self.ids[ragged(self.start[at], self.length[at])]
+        words: list[str] = []
+        ends: list[int] = []
+        whole: dict[int, str] = {}
+        for i, text in enumerate(texts):
+            if text.isascii() or _is_latin(text):
+                if "<|" not in text:
+                    words += _WORD.findall(text.lower())
+                else:
+                    whole[i] = text
+            else:
+                whole[i] = text
+            ends.append(len(words))
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([words[i] for i in missing])))
+            rows[missing] = [self.rows[words[i]] for i in missing]
+        size = self.length[rows]
+        ids = self.ids[ragged(self.start[rows], size)]
+        bounds = np.concatenate([[0], np.cumsum(size)])[[0, *ends]]
+        for i in range(len(texts)):
+            if i in whole:
+                yield np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[bounds[i] : bounds[i + 1]]
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -121,12 +147,14 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
         encode = encoder(tokenizer)
         for batch in batches:
             owner, out = [], []
-            for i, text in enumerate(batch.column("text")):
-                ids = np.append(encode.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    owner.append(i)
-                    out.append((piece, start, len(part), zlib.crc32(part.tobytes())))
+            for lo, hi, _, _ in slices(batch, "text", 1 << 20):
+                texts = batch.column("text").slice(lo, hi - lo).to_pylist()
+                for i, found in enumerate(encode.encode(texts), lo):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        owner.append(i)
+                        out.append((piece, start, len(part), zlib.crc32(part.tobytes())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row").take(pa.array(owner, pa.int64())),
                  pa.array([o[0] for o in out], pa.int32()),
