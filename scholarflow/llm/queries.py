@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, line_dedup, minhash, packing
+from . import (
+    decontaminate, fingerprints, language_id, line_dedup, minhash, packing, substring_dedup, suffix_dedup,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +39,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs, host="source", max_ratio=0.05, min_pages=5)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.drop_repeats(_documents(spark, sf_dir), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminations(_documents(spark, sf_dir), benchmark, percent=80).drop("tie")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_documents(spark, sf_dir), window=200, keep="none")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_documents(spark, sf_dir))
 
@@ -50,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -107,6 +122,29 @@ SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
        coalesce(len(lines), 0) AS n_lines,
        coalesce(len(lines), 0) - coalesce(len(kept), 0) AS n_removed
 FROM marked
+""",
+    "op7_substring_dedup": f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS ws FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(0, len(ws) - 49)) AS pos,
+         unnest([md5(array_to_string(ws[i + 1 : i + 50], ' ')) for i in range(0, len(ws) - 49)]) AS x
+  FROM w WHERE len(ws) >= 50
+),
+least_doc AS (SELECT x, min(doc_id) AS d FROM win GROUP BY x),
+gone AS (
+  SELECT DISTINCT doc_id, pos + unnest(range(0, 50)) AS i
+  FROM win JOIN least_doc USING (x) WHERE doc_id > d
+),
+lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS word FROM w),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS text, count(*) AS n
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i
+  GROUP BY word.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
 """,
     "op8_benchmark_decontamination": f"""
 WITH dw AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
