@@ -124,8 +124,9 @@ def _starts(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
     """doc_id, tie, m, start, shingles, fingerprint of the windows at ``starts``."""
     per_doc = starts.groupBy("doc_id", "tie", "k").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("runs"))
+    # shuffled at every size: how many documents have starts depends on the data alone
     joined = docs.join(
-        per_doc.withColumnsRenamed({"doc_id": "s_doc_id", "tie": "s_tie"}),
+        per_doc.withColumnsRenamed({"doc_id": "s_doc_id", "tie": "s_tie"}).hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("tie") == F.col("s_tie")),
     )
     # explode_outer: for explode, a filter on the array's size is inferred and pushed
@@ -209,4 +210,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
         F.col("doc_id").alias("_bad_id"), F.col("tie").alias("_bad_tie")
     ).distinct())
     tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (tie == F.col("_bad_tie")), "left_anti")
+    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (tie == F.col("_bad_tie")), "left_anti")
