@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, fingerprints, language_id, line_dedup, minhash, packing, substring_dedup, suffix_dedup,
+    decontaminate, fingerprints, language_id, line_dedup, lm_scoring, minhash, packing, substring_dedup, suffix_dedup,
     toxicity,
 )
 
@@ -35,6 +35,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _vocabulary(), capacity=4096, end_id=1)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
