@@ -92,7 +92,7 @@ def _starts(docs: DataFrame, items: DataFrame) -> DataFrame:
     start, how many hits its window has.
     """
     known = items.select(F.explode("item_shingles").alias("hash"), "m", "k").distinct()
-    sizes = [r["k"] for r in items.select("k").distinct().collect()]  # 1 to 5
+    sizes = [r["k"] for r in items.select("k").distinct().collect()] or [SHINGLE]  # 1 to 5
     hits = None
     for k in sizes:
         text = docs.select("doc_id", "tie", word_list(F.col("text")).alias("words"))

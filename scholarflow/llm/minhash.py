@@ -272,3 +272,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def first_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, of one document per group.
+
+    Kept is the document of the group's smallest doc_id. Of several rows of that
+    doc_id all stay, since they are one document here. Rows without doc_id stay.
+    """
+    found = near_duplicates(docs, shingle=shingle, percent=percent)
+    gone = staged(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")

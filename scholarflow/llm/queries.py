@@ -17,7 +17,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
+    """The vocabulary file that packing uses here."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -40,7 +41,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir), _vocabulary(), capacity=4096, end_id=1)
+    return packing.pack(_documents(spark, sf_dir), vocabulary(), capacity=4096, end_id=1)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

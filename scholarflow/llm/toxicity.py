@@ -29,7 +29,8 @@ from .common import LOWER, byte_values, mix, prefix_hashes, ragged, slices, span
 TOXIC_DOCS, CLEAN_DOCS, WINDOWS_PER_DOC = 1500, 2500, 32
 LENGTH, STRIDE = 16, 8
 HIDDEN, SIZE, ATTENTION = 8, 12, 8
-EPOCHS, BATCH, RATE = 3, 256, 0.01
+# three phases, each at least one pass and at least so many steps
+PHASES, STEPS, BATCH, RATE = 3, 200, 256, 0.01
 MIN_DOCS = 10
 REPEATED = 0.15
 THRESHOLD = 0.7
@@ -383,12 +384,14 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
     owner = np.concatenate([owner, owner[clean]])
     target = y[owner]
     adam = _Adam(net.p, RATE)
-    for epoch in range(EPOCHS):
+    passes = max(1, -(-STEPS * BATCH // max(len(rows), 1)))
+    for phase in range(PHASES):
         share = max(target.mean(), 1e-3)
         weight = np.where(target > 0, min(0.5 / share, 4.0), 1.0)
-        adam.rate = RATE / (1 + epoch)
-        _batches(net, t, rows, target.astype(np.float32), weight.astype(np.float32), rng, adam)
-        if epoch < EPOCHS - 1 and target.any():
+        adam.rate = RATE / (1 + phase)
+        for _ in range(passes):
+            _batches(net, t, rows, target.astype(np.float32), weight.astype(np.float32), rng, adam)
+        if phase < PHASES - 1 and target.any():
             vectors = net.vectors(net.inputs(t))
             logit = np.concatenate([net.forward(vectors, rows[i : i + 8192]) for i in range(0, len(rows), 8192)])
             # a window of a toxic document is toxic if the clean ones' windows rarely look so

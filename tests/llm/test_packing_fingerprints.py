@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarflow.llm import fingerprints, packing
-from scholarflow.llm.queries import _vocabulary
+from scholarflow.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, tie string, run int"
 TEXTS = [
@@ -23,8 +23,8 @@ def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
     docs = spark.createDataFrame(TEXTS, SCHEMA)
-    rows = packing.pack(docs, _vocabulary()).collect()
-    tokenizer = Tokenizer.from_file(_vocabulary())
+    rows = packing.pack(docs, vocabulary()).collect()
+    tokenizer = Tokenizer.from_file(vocabulary())
     expected = []
     for doc_id, text, _, _ in TEXTS:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -63,7 +63,7 @@ def test_bins_hold_all_items(seed):
 
 def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert packing.pack(none, _vocabulary()).collect() == []
+    assert packing.pack(none, vocabulary()).collect() == []
     assert fingerprints.with_edits(none).collect() == []
 
 
