@@ -11,9 +11,11 @@ Consecutive windows share an anchor; an anchor row stands for all of its windows
 1. Anchors whose gram occurs once are dropped.
 2. Anchors with equal contexts meet in an aggregate: count and first occurrence.
 3. Of grams with several different contexts, each context goes once to the group
-   of its gram, where a suffix structure finds which windows they share. A gram
-   with very many contexts is split: each of its windows goes to the group of its
-   own content, as an aggregate.
+   of its gram, where a suffix structure finds which windows they share. Where a
+   gram has many contexts, its windows are split by their distance to the anchor;
+   the windows of a part share a longer core than the gram, which splits the group,
+   and parts of equal text meet in an aggregate again. This goes on until groups
+   are small, at the latest at single windows.
 4. What holds for a context then holds for all anchors that have it.
 
 Nothing is sampled: every window has an anchor, and every anchor is looked at.
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import byte_values, mix, powers, prefix_hashes, ragged, slices, span_hashes, staged, words
 
-# contexts of one gram that a group holds at most, and bytes that a group of
-# groups is processed in; they bound the memory of a task
-MOST_CONTEXTS = 500
+# contexts that a group holds at most, and bytes that several groups are judged
+# together in; they bound the memory of a task
+MOST_CONTEXTS = 64
 GROUP_BYTES = 1 << 20
+PARTS = 4
 _POSITION = np.uint64((1 << 28) - 1)
 NO_ID = (1 << 63) - 1
 
@@ -84,14 +87,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(s: Symbols, scheme: Scheme) -> dict[str, np.ndarray]:
-    """The anchors of all windows: text, gram, context (hashes), at, span.
+    """The anchors of all windows: text, gram, context (hashes), at, span, lead.
 
-    An anchor's windows start at symbols ``at`` to ``at + span`` of its text.
+    An anchor's windows start at symbols ``at`` to ``at + span`` of its text, and
+    the anchor itself is at ``at + lead``.
     """
     n, window = len(s.values), scheme.window
-    none = np.zeros(0, np.int64)
+    none = dict.fromkeys(("text", "gram", "context", "at", "span", "lead"), np.zeros(0, np.int64))
     if n < window:
-        return {"text": none, "gram": none, "context": none, "at": none, "span": none}
+        return none
     prefix = prefix_hashes(s.values)
     gram = _grams(prefix, scheme.gram)
     key = (gram & ~_POSITION) | np.arange(len(gram), dtype=np.uint64)
@@ -99,7 +103,7 @@ def anchors(s: Symbols, scheme: Scheme) -> dict[str, np.ndarray]:
     end = np.repeat(s.first[1:], np.diff(s.first))[: len(place)]
     valid = np.flatnonzero(np.arange(window, window + len(place)) <= end)
     if len(valid) == 0:
-        return {"text": none, "gram": none, "context": none, "at": none, "span": none}
+        return none
     place = place[valid]
     new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     low, high = valid[new], valid[np.append(new[1:], len(valid)) - 1]
@@ -112,6 +116,7 @@ def anchors(s: Symbols, scheme: Scheme) -> dict[str, np.ndarray]:
         "context": mix(span_hashes(prefix, low, high + window) ^ shape).view(np.int64),
         "at": low - s.first[text],
         "span": high - low,
+        "lead": place - low,
     }
 
 
@@ -127,6 +132,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+_CONTEXT = "gram long, context long, doc long, tie int, at int, span int, lead int"
+
+
 def _anchor_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,74 +145,96 @@ def _anchor_rows(docs: DataFrame, scheme: Scheme) -> DataFrame:
                     [
                         pa.array(a["gram"]), pa.array(a["context"]),
                         batch.column("doc").take(row), batch.column("tie").take(row),
-                        pa.array(a["at"].astype(np.int32)), pa.array(a["span"].astype(np.int32)),
+                        *[pa.array(a[k].astype(np.int32)) for k in ("at", "span", "lead")],
                     ],
-                    names=["gram", "context", "doc", "tie", "at", "span"],
+                    names=["gram", "context", "doc", "tie", "at", "span", "lead"],
                 )
 
-    return docs.mapInArrow(find, "gram long, context long, doc long, tie int, at int, span int")
-
-
-def _listed(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The contexts listed for rows ``lo`` to ``hi``: row (from 0) and fields of each."""
-    lists = batch.column("contexts").slice(lo, hi - lo)
-    flat = lists.flatten()
-    size = np.diff(lists.offsets.to_numpy())
-    return np.repeat(np.arange(hi - lo), size), {
-        f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)
-    }
+    return docs.mapInArrow(find, _CONTEXT)
 
 
-def _extracted(docs: DataFrame, lists: DataFrame, scheme: Scheme) -> DataFrame:
-    """The listed contexts with their texts, as rows (gram, context, doc, tie, at, span, body)."""
+def _extracted(docs: DataFrame, contexts: DataFrame, scheme: Scheme) -> DataFrame:
+    """The contexts with ``kinds`` and ``body``, the text that they cover."""
+    names = ["gram", "context", "at", "span", "lead", "kinds"]
+    lists = contexts.groupBy("doc", "tie").agg(F.collect_list(F.struct(*names)).alias("contexts"))
     joined = docs.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "contexts")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch, "text"):
                 s = scheme.symbols(data, offsets)
-                row, c = _listed(batch, lo, hi)
-                low = s.first[row] + c["at"]
-                begin, end = s.starts[low], s.ends[low + c["span"] + scheme.window - 1]
+                listed = batch.column("contexts").slice(lo, hi - lo)
+                flat = listed.flatten()
+                row = np.repeat(np.arange(hi - lo), np.diff(listed.offsets.to_numpy()))
+                c = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+                low = s.first[row] + c["at"].to_numpy()
+                begin, end = s.starts[low], s.ends[low + c["span"].to_numpy() + scheme.window - 1]
                 body = data[ragged(begin, end - begin)]
                 bounds = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(c["gram"]), pa.array(c["context"]), batch.column("doc").take(at), batch.column("tie").take(at),
-                        pa.array(c["at"].astype(np.int32)), pa.array(c["span"].astype(np.int32)),
+                        c["gram"], c["context"], batch.column("doc").take(at), batch.column("tie").take(at),
+                        c["at"], c["span"], c["lead"], c["kinds"],
                         pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(body)]),
                     ],
-                    names=["gram", "context", "doc", "tie", "at", "span", "body"],
+                    names=["gram", "context", "doc", "tie", "at", "span", "lead", "kinds", "body"],
                 )
 
-    return joined.mapInArrow(extract, "gram long, context long, doc long, tie int, at int, span int, body binary")
+    return joined.mapInArrow(extract, f"{_CONTEXT}, kinds long, body binary")
 
 
-def _single_windows(docs: DataFrame, lists: DataFrame, scheme: Scheme) -> DataFrame:
-    """A row per window of the listed contexts: (content, gram, context, doc, tie, at, r)."""
-    joined = docs.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "contexts")
+def _bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where each value begins and the last ends."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if len(column) == 0 or column.buffers()[2] is None:
+        return np.zeros(0, np.uint8), offsets - offsets[0]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _split(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """Rows of contexts, cut by distance to the anchor.
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row stands for windows r0 to r1 of its context, those with distances near to
+    far; its parts have equal ranges of distances. All windows of a part hold a
+    core, whose hash (with the range) is the part's ``key``; equal windows have
+    equal distances, so their parts have equal keys. ``part`` hashes all of its text.
+    """
+    schema = (
+        "key long, part long, gram long, context long, doc long, tie int, at int,"
+        " span int, lead int, r0 int, r1 int, near int, far int, body binary"
+    )
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch, "text"):
+            for lo, hi, data, offsets in slices(batch, "body"):
                 s = scheme.symbols(data, offsets)
-                row, c = _listed(batch, lo, hi)
-                size = c["span"].astype(np.int64) + 1
-                r = ragged(np.zeros(len(size), np.int64), size)
-                low = np.repeat(s.first[row] + c["at"], size) + r
-                content = span_hashes(prefix_hashes(s.values), low, low + scheme.window)
-                at = pa.array(np.repeat(row + lo, size))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(content.view(np.int64)), pa.array(np.repeat(c["gram"], size)), pa.array(np.repeat(c["context"], size)),
-                        batch.column("doc").take(at), batch.column("tie").take(at),
-                        pa.array(np.repeat(c["at"], size).astype(np.int32)), pa.array(r.astype(np.int32)),
-                    ],
-                    names=["content", "gram", "context", "doc", "tie", "at", "r"],
-                )
-
-    return joined.mapInArrow(spell, "content long, gram long, context long, doc long, tie int, at int, r int")
+                prefix = prefix_hashes(s.values)
+                row = np.arange(hi - lo)
+                c = {k: batch.column(k).slice(lo, hi - lo).to_numpy().astype(np.int64) for k in ("at", "r0", "r1", "span", "lead", "near", "far")}
+                wide = c["far"] - c["near"] + 1
+                for j in range(PARTS):
+                    near, far = c["near"] + j * wide // PARTS, c["near"] + (j + 1) * wide // PARTS - 1
+                    r0, r1 = np.maximum(c["r0"], c["lead"] - far), np.minimum(c["r1"], c["lead"] - near)
+                    use = np.flatnonzero((near <= far) & (r0 <= r1))
+                    zero = s.first[row[use]]  # the context's first symbol
+                    place = zero + c["lead"][use]
+                    core = span_hashes(prefix, place - near[use], place - far[use] + scheme.window)
+                    key = mix(core ^ mix((near[use] << 32 | far[use]).astype(np.uint64)))
+                    nearest, farthest = (c["lead"] - r1)[use], (c["lead"] - r0)[use]
+                    shape = mix((nearest << 32 | farthest).astype(np.uint64))
+                    part = mix(span_hashes(prefix, zero + r0[use], zero + r1[use] + scheme.window) ^ shape)
+                    at = pa.array(use + lo)
+                    same = {k: batch.column(k).take(at) for k in ("gram", "context", "doc", "tie", "span", "lead", "body")}
+                    own = {
+                        "key": pa.array(key.view(np.int64)), "part": pa.array(part.view(np.int64)),
+                        "at": pa.array((c["at"] - c["r0"] + r0)[use].astype(np.int32)),
+                        **{k: pa.array(v[use].astype(np.int32)) for k, v in (("r0", r0), ("r1", r1), ("near", near), ("far", far))},
+                    }
+                    names = [f.split()[0] for f in schema.split(", ")]
+                    yield pa.RecordBatch.from_arrays([{**same, **own}[k] for k in names], names=names)
+
+    return rows.mapInArrow(split, schema)
 
 
 def ranks(values: np.ndarray, base: int, depth: int, at: np.ndarray) -> np.ndarray:
@@ -238,34 +268,30 @@ def _runs(context: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _in_groups(rows: DataFrame, judge: Callable[[dict], np.ndarray], scheme: Scheme) -> DataFrame:
-    """Windows of the contexts that ``judge`` marks: (gram, context, r0, r1).
+    """Windows r0 to r1 of the rows' contexts that ``judge`` marks: (gram, context, r0, r1).
 
-    Groups come one after another in their partition and are judged several at a
-    time; a group of groups has at most MOST_CONTEXTS contexts beyond GROUP_BYTES.
+    Groups, by ``key``, come one after another in their partition and are judged
+    several at a time, about GROUP_BYTES of them.
     """
-    dealt = rows.repartition("gram").sortWithinPartitions("gram", "doc", "tie", "at")
-
-    def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        body = t.column("body").chunk(0)
-        offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
-        data = np.frombuffer(body.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
+    given = rows.select("key", "gram", "context", "doc", "tie", "at", "r0", "r1", "body")
+    dealt = given.repartition("key").sortWithinPartitions("key", "doc", "tie", "at")
+
+    def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        data, offsets = _bodies(t.column("body"))
         s = scheme.symbols(data, offsets)
-        size = t.column("span").to_numpy().astype(np.int64) + 1
+        r0 = t.column("r0").to_numpy().astype(np.int64)
+        size = t.column("r1").to_numpy() - r0 + 1
         owner = np.repeat(np.arange(len(size)), size)
-        r = ragged(np.zeros(len(size), np.int64), size)
-        found = judge({
-            "symbols": s, "data": data, "at": s.first[owner] + r,
-            "owner": owner, "r": r, "doc": t.column("doc").to_numpy()[owner],
-        })
+        r = ragged(r0, size)
+        found = judge({"symbols": s, "data": data, "at": s.first[owner] + r, "doc": t.column("doc").to_numpy()[owner]})
         hit = np.flatnonzero(found)
-        context, r0, r1 = _runs(owner[hit], r[hit])
-        which = pa.array(context)
+        row, first, last = _runs(owner[hit], r[hit])
+        which = pa.array(row)
         return pa.RecordBatch.from_arrays(
             [
-                t.column("gram").chunk(0).take(which), t.column("context").chunk(0).take(which),
-                pa.array(r0.astype(np.int32)), pa.array(r1.astype(np.int32)),
+                t.column("gram").take(which), t.column("context").take(which),
+                pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
             ],
             names=["gram", "context", "r0", "r1"],
         )
@@ -274,19 +300,16 @@ def _in_groups(rows: DataFrame, judge: Callable[[dict], np.ndarray], scheme: Sch
         held: list[pa.RecordBatch] = []
         size, last = 0, None
         for batch in batches:
-            gram = batch.column("gram").to_numpy()
-            ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
-            lengths = np.cumsum(pa.compute.binary_length(batch.column("body")).to_numpy())
+            key = batch.column("key").to_numpy()
+            _, bounds = _bodies(batch.column("body"))
             first = 0
-            for end in ends:
-                # everything before row `first` is settled or held
-                if size > GROUP_BYTES and gram[first] != last:
+            for end in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
+                if size > GROUP_BYTES and key[first] != last:
                     yield settle(held)
                     held, size = [], 0
-                run_end = end
-                held.append(batch.slice(first, run_end - first))
-                size += int(lengths[run_end - 1] - (lengths[first - 1] if first else 0))
-                first, last = run_end, gram[run_end - 1]
+                held.append(batch.slice(first, end - first))
+                size += int(bounds[end] - bounds[first])
+                first, last = end, key[end - 1]
         if held:
             yield settle(held)
 
@@ -297,15 +320,41 @@ def _in_groups(rows: DataFrame, judge: Callable[[dict], np.ndarray], scheme: Sch
 class Rule:
     """Which occurrences of a window go.
 
-    ``members`` says it of an anchor whose context occurs ``n`` times, first in
-    document ``first.doc`` at ``first.at``, ``judge`` of the windows of different
-    contexts in a group, and ``single`` of a window's row, given ``n`` and
-    ``first`` of all its rows.
+    ``members`` says it of a row (doc, tie, at) whose whole text occurs ``n``
+    times, first at ``first`` (doc, tie, at); ``judge`` says it of the windows of
+    different texts in a group.
     """
 
     members: Column
     judge: Callable[[dict], np.ndarray]
-    single: Column
+
+
+def is_first() -> Column:
+    return (F.col("doc") == F.col("first.doc")) & (F.col("tie") == F.col("first.tie")) & (F.col("at") == F.col("first.at"))
+
+
+def _met(rows: DataFrame, *key: str) -> DataFrame:
+    """Equal texts in one row: ``n`` and the first occurrence, ``first``."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "at")).alias("first"))
+
+
+def _shared(bodies: DataFrame, scheme: Scheme, rule: Rule) -> DataFrame:
+    """Windows of different contexts that the rule removes: (gram, context, r0, r1)."""
+    rows = bodies.withColumns({"key": F.col("gram"), "r0": F.lit(0), "r1": F.col("span")})
+    few, many = F.col("kinds") <= MOST_CONTEXTS, F.col("kinds") > MOST_CONTEXTS
+    found = _in_groups(rows.where(few), rule.judge, scheme)
+    crowded = rows.where(many).withColumns({"near": F.lit(0), "far": F.lit(scheme.window - scheme.gram)})
+    while not crowded.isEmpty():
+        parts = staged(_split(crowded, scheme))
+        met = staged(_met(parts, "key", "part"))
+        kinds = staged(met.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")))
+        known = staged(parts.join(met.join(kinds, "key"), ["key", "part"]))
+        found = found.unionByName(known.where(rule.members).select("gram", "context", "r0", "r1"))
+        # the first of equal parts stands for them in the groups
+        open_ = known.where((F.col("kinds") > 1) & (~rule.members | is_first())).drop("part", "n", "first")
+        found = found.unionByName(_in_groups(open_.where(few), rule.judge, scheme))
+        crowded = open_.where(many)
+    return found
 
 
 def repeated_spans(docs: DataFrame, scheme: Scheme, rule: Rule) -> DataFrame:
@@ -316,32 +365,12 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, rule: Rule) -> DataFrame:
     found = _anchor_rows(docs, scheme)
     grams = staged(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     members = staged(found.join(grams, "gram", "left_semi"))
-    first = F.min(F.struct("doc", "tie", "at"))
-    contexts = staged(
-        members.groupBy("gram", "context", "span").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-    )
+    contexts = staged(_met(members, "gram", "context", "span", "lead"))
     kinds = staged(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    unlike = contexts.join(kinds, "gram").select(
-        "gram", "context", "span", "kinds", F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"), F.col("first.at").alias("at")
-    )
-
-    def lists(rows: DataFrame) -> DataFrame:
-        each = F.struct("gram", "context", "at", "span")
-        return rows.groupBy("doc", "tie").agg(F.collect_list(each).alias("contexts"))
-
-    few, many = F.col("kinds") <= MOST_CONTEXTS, F.col("kinds") > MOST_CONTEXTS
-    bodies = _extracted(docs, lists(unlike.where(few)), scheme)
-    partial = _in_groups(bodies, rule.judge, scheme)
-    if not kinds.where(many).isEmpty():
-        single = staged(_single_windows(docs, lists(unlike.where(many)), scheme).withColumn("start", F.col("at") + F.col("r")))
-        of_all = staged(
-            single.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tie", "start")).alias("first"))
-            .where("n > 1")
-        )
-        alone = single.join(of_all, ["gram", "content"]).where(rule.single)
-        partial = partial.unionByName(alone.select("gram", "context", F.col("r").alias("r0"), F.col("r").alias("r1")))
+    unlike = contexts.join(kinds, "gram").select("gram", "context", "span", "lead", "kinds", "first.doc", "first.tie", "first.at")
+    partial = _shared(staged(_extracted(docs, unlike, scheme)), scheme, rule)
     ranges = partial.groupBy("gram", "context").agg(F.collect_list(F.struct("r0", "r1")).alias("ranges"))
-    judged = staged(contexts.drop("span").join(ranges, ["gram", "context"], "left"))
+    judged = staged(contexts.select("gram", "context", "n", "first").join(ranges, ["gram", "context"], "left"))
     whole = F.array(F.struct(F.lit(0).alias("r0"), F.col("span").alias("r1")))
     marked = members.join(judged, ["gram", "context"]).select(
         "doc", "tie", "at", F.when(rule.members, whole).otherwise(F.col("ranges")).alias("ranges")

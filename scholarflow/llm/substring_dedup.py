@@ -52,8 +52,8 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
     read.
     """
     texts = keyed(docs)
-    later = F.col("doc") > F.col("first.doc")
-    spans = repeated_spans(texts, Scheme(word_symbols, window, gram), Rule(later, _judge(window), later))
+    rule = Rule(F.col("doc") > F.col("first.doc"), _judge(window))
+    spans = repeated_spans(texts, Scheme(word_symbols, window, gram), rule)
     joined = texts.join(spans, ["doc", "tie"], "left").select("doc", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

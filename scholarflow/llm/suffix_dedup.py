@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import NO_ID, Rule, Scheme, byte_symbols, covered, keyed, ranks, repeated_spans
+from .repeats import NO_ID, Rule, Scheme, byte_symbols, covered, is_first, keyed, ranks, repeated_spans
 
 WINDOW, GRAM = 200, 48
 
@@ -57,14 +57,7 @@ def _judge(window: int, keep: str):
 
 
 def _rule(window: int, keep: str) -> Rule:
-    if keep == "none":
-        return Rule(F.col("n") > 1, _judge(window, keep), F.lit(True))
-    own = (F.col("doc") == F.col("first.doc")) & (F.col("tie") == F.col("first.tie"))
-    return Rule(
-        ~(own & (F.col("at") == F.col("first.at"))),
-        _judge(window, keep),
-        ~(own & (F.col("start") == F.col("first.start"))),
-    )
+    return Rule(F.col("n") > 1 if keep == "none" else ~is_first(), _judge(window, keep))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, keep: str = "first") -> DataFrame:

@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_values, mix, prefix_hashes, ragged, slices, span_hashes, text_crc
 
 # the training sample: about so many documents of each label, windows of each
-TOXIC_DOCS, CLEAN_DOCS, WINDOWS_PER_DOC = 1500, 2500, 32
+TOXIC_DOCS, CLEAN_DOCS, WINDOWS_PER_DOC = 800, 1600, 32
 LENGTH, STRIDE = 16, 8
 HIDDEN, SIZE, ATTENTION = 8, 12, 8
 # three phases, each at least one pass and at least so many steps
 PHASES, STEPS, BATCH, RATE = 3, 200, 256, 0.01
 MIN_DOCS = 10
+CACHE_BITS = 17
 REPEATED = 0.15
 THRESHOLD = 0.7
 
@@ -84,27 +85,33 @@ def _grams(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     at = ragged(starts, inner)
     out.append(span_hashes(prefix, at, at + 3) ^ _EDGE[12])
     owner.append(np.repeat(word, inner))
-    return np.concatenate(out), np.concatenate(owner)
+    return np.concatenate(out), np.concatenate(owner).astype(np.int32)
 
 
 @dataclass
 class Texts:
-    """Words of some texts: ids of the distinct words, and these words' n-grams."""
+    """Words of some texts: the distinct words, where each is, and their n-grams."""
 
     first: np.ndarray  # of each text, its first word
     word: np.ndarray  # of each word, its distinct word
     hashes: np.ndarray  # of each distinct word
     grams: np.ndarray
     owner: np.ndarray  # of each n-gram, its distinct word
+    prefix: np.ndarray  # of the bytes, for hashes of n-grams
+    starts: np.ndarray  # of each distinct word, its bytes
+    ends: np.ndarray
 
 
-def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
+def read(data: np.ndarray, offsets: np.ndarray, spelled: bool = True) -> Texts:
+    """The words of texts, with all n-grams unless ``spelled`` is off."""
     data = _lowered(data)
     starts, ends, first = _words(data, offsets)
     prefix = prefix_hashes(byte_values(data))
     hashes, at, word = np.unique(span_hashes(prefix, starts, ends), return_index=True, return_inverse=True)
-    grams, owner = _grams(prefix, starts[at], ends[at])
-    return Texts(first, word, hashes, grams, owner)
+    starts, ends = starts[at], ends[at]
+    some = slice(None) if spelled else slice(0)
+    grams, owner = _grams(prefix, starts[some], ends[some])
+    return Texts(first, word, hashes, grams, owner, prefix, starts, ends)
 
 
 class Table:
@@ -156,6 +163,15 @@ class Network:
 
     def __post_init__(self) -> None:
         self.word_place, self.gram_place = Table(self.words), Table(self.grams)
+        # words seen last, by their leading bits, and what they are to the two layers
+        self.seen = np.zeros(1 << CACHE_BITS, np.uint64)
+        self.seen_rows = np.zeros((1 << CACHE_BITS, 6 * HIDDEN), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "grams": self.grams, "p": self.p, "scale": self.scale}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def start(self, rng: np.random.Generator) -> None:
         def normal(*shape: int) -> np.ndarray:
@@ -190,8 +206,25 @@ class Network:
                 spelling[:, k] = np.bincount(x["owner"], vector[:, k], n)
         return np.concatenate([p["word"][x["word"]], spelling / x["count"]], axis=1)
 
-    def forward(self, vectors: np.ndarray, place: np.ndarray, trace: dict | None = None) -> np.ndarray:
-        """Logits of windows, given as rows of ``vectors`` (-1: none)."""
+    def layer_inputs(self, vectors: np.ndarray) -> np.ndarray:
+        """What words add to the gates of the two layers."""
+        p = self.p
+        return np.concatenate([vectors @ p["Wf"] + p["bf"], vectors @ p["Wb"] + p["bb"]], axis=1)
+
+    def remembered_inputs(self, t: Texts) -> np.ndarray:
+        """``layer_inputs`` of the distinct words, computed for those not seen of late."""
+        slot = (t.hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        new = self.seen[slot] != t.hashes
+        fresh = np.flatnonzero(new)
+        grams, owner = _grams(t.prefix, t.starts[fresh], t.ends[fresh])
+        part = Texts(t.first, t.word, t.hashes[fresh], grams, owner, t.prefix, t.starts, t.ends)
+        out = self.seen_rows[slot]
+        out[fresh] = self.layer_inputs(self.vectors(self.inputs(part)))
+        self.seen[slot[fresh]], self.seen_rows[slot[fresh]] = t.hashes[fresh], out[fresh]
+        return out
+
+    def forward(self, gates: np.ndarray, place: np.ndarray, trace: dict | None = None) -> np.ndarray:
+        """Logits of windows, given as rows of ``gates``, the layers' inputs (-1: none)."""
         p, H = self.p, HIDDEN
         n, length = place.shape
         there = (place >= 0).astype(np.float32).T[:, :, None]
@@ -199,7 +232,7 @@ class Network:
         states = np.empty((length, n, 2 * H), np.float32)
         steps: dict[str, list] = {"f": [None] * length, "b": [None] * length}
         for d, order in (("f", range(length)), ("b", range(length - 1, -1, -1))):
-            table = vectors @ p[f"W{d}"] + p[f"b{d}"]
+            table = np.ascontiguousarray(gates[:, : 3 * H] if d == "f" else gates[:, 3 * H :])
             h = np.zeros((n, H), np.float32)
             for t in order:
                 gx, gh = table[rows[t]], h @ p[f"U{d}"]
@@ -227,7 +260,7 @@ class Network:
         """Weighted cross-entropy of windows and its gradients."""
         p, H, n = self.p, HIDDEN, len(place)
         vectors, tr = self.vectors(x), {}
-        logit = self.forward(vectors, place, tr)
+        logit = self.forward(self.layer_inputs(vectors), place, tr)
         prob = _sigmoid(logit)
         loss = float((weight * (np.logaddexp(0, logit) - target * logit)).sum() / n)
         g: dict[str, np.ndarray] = {}
@@ -270,14 +303,14 @@ class Network:
     def logits(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The logit of every window, and the text of each."""
         place, text = windows(t.first)
-        vectors = self.vectors(self.inputs(t)) if len(t.hashes) else np.zeros((1, 2 * SIZE), np.float32)
+        gates = self.remembered_inputs(t) if len(t.hashes) else np.zeros((1, 6 * HIDDEN), np.float32)
         rows = np.where(place >= 0, t.word[place] if len(t.word) else 0, -1)
-        out = [self.forward(vectors, rows[i : i + 8192]) for i in range(0, len(rows), 8192)]
+        out = [self.forward(gates, rows[i : i + 8192]) for i in range(0, len(rows), 8192)]
         return np.concatenate(out), text
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The score of each text, from 0 to 1."""
-        t = read(data, offsets)
+        t = read(data, offsets, spelled=False)
         logit, text = self.logits(t)
         return _sigmoid(_features(logit, text, len(offsets) - 1) @ self.scale)
 
@@ -342,29 +375,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
 
 
 def _vocabulary(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Words and n-grams that occur in MIN_DOCS texts at least."""
+    """Words that are in MIN_DOCS texts at least, and n-grams whose words are."""
     n = len(t.hashes)
     text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
-    pairs = np.unique(text * n + t.word)
-    word = pairs % max(n, 1)
-    often = np.bincount(word, minlength=n)
-    grams, which = np.unique(t.grams, return_inverse=True)
-    by_word = np.argsort(t.owner, kind="stable")
-    size = np.bincount(t.owner, minlength=n)
-    at = ragged((np.cumsum(size) - size)[word], size[word])
-    held = np.unique(np.repeat(pairs // max(n, 1), size[word]) * len(grams) + which[by_word][at])
-    spread = np.bincount(held % max(len(grams), 1), minlength=len(grams))
+    often = np.bincount(np.unique(text * n + t.word) % max(n, 1), minlength=n)
+    order = np.argsort(t.grams)
+    grams, first = np.unique(t.grams[order], return_index=True)
+    spread = np.add.reduceat(often[t.owner[order]], first) if len(first) else first
     return t.hashes[often >= MIN_DOCS], grams[spread >= MIN_DOCS]
 
 
 def _chosen(rows: np.ndarray, text: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Up to WINDOWS_PER_DOC different windows of each text, and the text of each."""
-    kinds = np.unique(np.concatenate([text[:, None], rows], axis=1), axis=0)
-    text = kinds[:, 0]
     order = np.lexsort((rng.random(len(text)), text))
     at = np.arange(len(text)) - np.searchsorted(text, text)
     pick = np.sort(order[at < WINDOWS_PER_DOC])
-    return kinds[pick, 1:], text[pick]
+    kinds = np.unique(np.concatenate([text[pick, None], rows[pick]], axis=1), axis=0)
+    return kinds[:, 1:], kinds[:, 0]
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
@@ -392,11 +419,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
         for _ in range(passes):
             _batches(net, t, rows, target.astype(np.float32), weight.astype(np.float32), rng, adam)
         if phase < PHASES - 1 and target.any():
-            vectors = net.vectors(net.inputs(t))
-            logit = np.concatenate([net.forward(vectors, rows[i : i + 8192]) for i in range(0, len(rows), 8192)])
+            gates = net.layer_inputs(net.vectors(net.inputs(t)))
+            logit = np.concatenate([net.forward(gates, rows[i : i + 8192]) for i in range(0, len(rows), 8192)])
             # a window of a toxic document is toxic if the clean ones' windows rarely look so
             bar = np.quantile(logit[y[owner] == 0], 0.998) if (y == 0).any() else 0.0
             target = ((y[owner] > 0) & (logit > bar)).astype(np.float64)
+    net.seen[:] = 0  # the parameters have changed
     logit, text = net.logits(t)
     net.scale = _logistic(_features(logit, text, len(texts)), y)
     return net

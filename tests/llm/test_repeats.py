@@ -65,7 +65,7 @@ def by_words(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [500, 1])
+@pytest.mark.parametrize("most", [64, 1])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_bytes(spark, seed, most, monkeypatch):
     monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
@@ -76,7 +76,7 @@ def test_bytes(spark, seed, most, monkeypatch):
     assert mine == by_bytes(rows, 40, "none")
 
 
-@pytest.mark.parametrize("most", [500, 1])
+@pytest.mark.parametrize("most", [64, 1])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_words(spark, seed, most, monkeypatch):
     monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
@@ -87,7 +87,7 @@ def test_words(spark, seed, most, monkeypatch):
     assert mine == by_words(rows, 12)
 
 
-@pytest.mark.parametrize("most", [500, 1])
+@pytest.mark.parametrize("most", [64, 1])
 def test_bytes_keep_first(spark, most, monkeypatch):
     monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
     rows = [r for i, r in enumerate(sorted(corpus(3), key=str)) if r[0] is not None]
