@@ -117,7 +117,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     if have is None or len(have) < n:
         base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
         have = _powers(max(n, 1 << 16), base)
-        if n > (8 << 20):  # do not keep what one huge text needed
+        if n > (4 << 20):  # do not keep what one huge text needed
             return have
         _POWER_CACHE[inverse] = have
     return have[:n]

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_values, mix, prefix_hashes, ragged, slices, span_hashes, text_crc
 
 # the training sample: about so many documents of each label, windows of each
-TOXIC_DOCS, CLEAN_DOCS, WINDOWS_PER_DOC = 800, 1600, 32
+TOXIC_DOCS, CLEAN_DOCS, WINDOWS_PER_DOC = 600, 1800, 32
 LENGTH, STRIDE = 16, 8
 HIDDEN, SIZE, ATTENTION = 8, 12, 8
 # three phases, each at least one pass and at least so many steps
 PHASES, STEPS, BATCH, RATE = 3, 200, 256, 0.01
 MIN_DOCS = 10
-CACHE_BITS = 17
+CACHE_BITS, SOME_WORDS = 17, 1 << 14
 REPEATED = 0.15
 THRESHOLD = 0.7
 
@@ -90,28 +90,31 @@ def _grams(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 @dataclass
 class Texts:
-    """Words of some texts: the distinct words, where each is, and their n-grams."""
+    """Words of some texts: the distinct words and where each is spelled."""
 
     first: np.ndarray  # of each text, its first word
     word: np.ndarray  # of each word, its distinct word
     hashes: np.ndarray  # of each distinct word
-    grams: np.ndarray
-    owner: np.ndarray  # of each n-gram, its distinct word
     prefix: np.ndarray  # of the bytes, for hashes of n-grams
     starts: np.ndarray  # of each distinct word, its bytes
     ends: np.ndarray
 
+    def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of some distinct words, and the place in ``which`` of each."""
+        return _grams(self.prefix, self.starts[which], self.ends[which])
+
+    def some(self) -> Iterator[np.ndarray]:
+        """All distinct words, in runs that keep their n-grams few."""
+        for i in range(0, len(self.hashes), SOME_WORDS):
+            yield np.arange(i, min(i + SOME_WORDS, len(self.hashes)))
 
-def read(data: np.ndarray, offsets: np.ndarray, spelled: bool = True) -> Texts:
-    """The words of texts, with all n-grams unless ``spelled`` is off."""
+
+def read(data: np.ndarray, offsets: np.ndarray) -> Texts:
     data = _lowered(data)
     starts, ends, first = _words(data, offsets)
     prefix = prefix_hashes(byte_values(data))
     hashes, at, word = np.unique(span_hashes(prefix, starts, ends), return_index=True, return_inverse=True)
-    starts, ends = starts[at], ends[at]
-    some = slice(None) if spelled else slice(0)
-    grams, owner = _grams(prefix, starts[some], ends[some])
-    return Texts(first, word, hashes, grams, owner, prefix, starts, ends)
+    return Texts(first, word, hashes, prefix, starts[at], ends[at])
 
 
 class Table:
@@ -187,14 +190,15 @@ class Network:
         }
         self.p["word"][0] = self.p["gram"][0] = 0
 
-    def inputs(self, t: Texts) -> dict[str, np.ndarray]:
-        """What the distinct words are to the network: rows of the two tables."""
-        gram = self.gram_place(t.grams)
+    def inputs(self, t: Texts, which: np.ndarray) -> dict[str, np.ndarray]:
+        """What some distinct words are to the network: rows of the two tables."""
+        grams, owner = t.grams(which)
+        gram = self.gram_place(grams)
         known = gram > 0
-        owner = t.owner[known]
+        owner = owner[known]
         return {
-            "word": self.word_place(t.hashes), "gram": gram[known], "owner": owner,
-            "count": np.maximum(np.bincount(owner, minlength=len(t.hashes)), 1).astype(np.float32)[:, None],
+            "word": self.word_place(t.hashes[which]), "gram": gram[known], "owner": owner,
+            "count": np.maximum(np.bincount(owner, minlength=len(which)), 1).astype(np.float32)[:, None],
         }
 
     def vectors(self, x: dict[str, np.ndarray]) -> np.ndarray:
@@ -211,15 +215,19 @@ class Network:
         p = self.p
         return np.concatenate([vectors @ p["Wf"] + p["bf"], vectors @ p["Wb"] + p["bb"]], axis=1)
 
-    def remembered_inputs(self, t: Texts) -> np.ndarray:
-        """``layer_inputs`` of the distinct words, computed for those not seen of late."""
+    def gates(self, t: Texts, which: np.ndarray) -> np.ndarray:
+        """``layer_inputs`` of some distinct words."""
+        out = np.zeros((len(which), 6 * HIDDEN), np.float32)
+        for i in range(0, len(which), SOME_WORDS):
+            out[i : i + SOME_WORDS] = self.layer_inputs(self.vectors(self.inputs(t, which[i : i + SOME_WORDS])))
+        return out
+
+    def remembered_gates(self, t: Texts) -> np.ndarray:
+        """``gates`` of all distinct words, computed for those not seen of late."""
         slot = (t.hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        new = self.seen[slot] != t.hashes
-        fresh = np.flatnonzero(new)
-        grams, owner = _grams(t.prefix, t.starts[fresh], t.ends[fresh])
-        part = Texts(t.first, t.word, t.hashes[fresh], grams, owner, t.prefix, t.starts, t.ends)
+        fresh = np.flatnonzero(self.seen[slot] != t.hashes)
         out = self.seen_rows[slot]
-        out[fresh] = self.layer_inputs(self.vectors(self.inputs(part)))
+        out[fresh] = self.gates(t, fresh)
         self.seen[slot[fresh]], self.seen_rows[slot[fresh]] = t.hashes[fresh], out[fresh]
         return out
 
@@ -303,25 +311,37 @@ class Network:
     def logits(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The logit of every window, and the text of each."""
         place, text = windows(t.first)
-        gates = self.remembered_inputs(t) if len(t.hashes) else np.zeros((1, 6 * HIDDEN), np.float32)
+        gates = self.remembered_gates(t) if len(t.hashes) else np.zeros((1, 6 * HIDDEN), np.float32)
         rows = np.where(place >= 0, t.word[place] if len(t.word) else 0, -1)
         out = [self.forward(gates, rows[i : i + 8192]) for i in range(0, len(rows), 8192)]
         return np.concatenate(out), text
 
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of each text: its best window's logit, how many windows look toxic, how many there are, 1."""
+        logit, text = self.logits(read(data, offsets))
+        n = len(offsets) - 1
+        first = np.searchsorted(text, np.arange(n))
+        best = np.maximum.reduceat(logit, first)
+        toxic = np.add.reduceat(_sigmoid(logit.astype(np.float64)), first)
+        count = np.bincount(text, minlength=n)
+        return np.stack([best, np.log(toxic + 0.02), np.log(count), np.ones(n)], axis=1).astype(np.float64)
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The score of each text, from 0 to 1."""
-        t = read(data, offsets, spelled=False)
-        logit, text = self.logits(t)
-        return _sigmoid(_features(logit, text, len(offsets) - 1) @ self.scale)
+        return _sigmoid(self.features(data, offsets) @ self.scale)
 
 
-def _features(logit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Of each text: its best window's logit, how many windows look toxic, how many there are, 1."""
-    first = np.searchsorted(text, np.arange(n))
-    best = np.maximum.reduceat(logit, first)
-    toxic = np.add.reduceat(_sigmoid(logit.astype(np.float64)), first)
-    count = np.bincount(text, minlength=n)
-    return np.stack([best, np.log(toxic + 0.02), np.log(count), np.ones(n)], axis=1).astype(np.float64)
+def _joined(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``limit`` bytes, as bytes and offsets."""
+    first = 0
+    while first < len(texts):
+        end, size = first + 1, len(texts[first])
+        while end < len(texts) and size + len(texts[end]) <= limit:
+            size += len(texts[end])
+            end += 1
+        run = texts[first:end]
+        yield np.frombuffer(b"".join(run), np.uint8), np.cumsum([0, *map(len, run)])
+        first = end
 
 
 class _Adam:
@@ -341,10 +361,7 @@ class _Adam:
 
 def _batches(net: Network, t: Texts, rows: np.ndarray, target: np.ndarray, weight: np.ndarray, rng, adam: _Adam) -> None:
     """One pass of gradient steps over the windows ``rows``."""
-    x = net.inputs(t)
-    by_owner = np.argsort(x["owner"], kind="stable")
-    gram = x["gram"][by_owner]
-    bounds = np.searchsorted(x["owner"][by_owner], np.arange(len(t.hashes) + 1))
+    gram, word, bounds = _spelled(net, t)
     order = rng.permutation(len(rows))
     for i in range(0, len(order), BATCH):
         pick = order[i : i + BATCH]
@@ -354,7 +371,7 @@ def _batches(net: Network, t: Texts, rows: np.ndarray, target: np.ndarray, weigh
         used = used[shift:] if len(used) > shift else np.zeros(1, np.int64)
         size = bounds[used + 1] - bounds[used]
         part = {
-            "word": x["word"][used], "gram": gram[ragged(bounds[used], size)],
+            "word": word[used], "gram": gram[ragged(bounds[used], size)],
             "owner": np.repeat(np.arange(len(used)), size), "count": np.maximum(size, 1).astype(np.float32)[:, None],
         }
         adam.update(net.p, net.gradients(part, local - shift, target[pick], weight[pick])[1])
@@ -374,15 +391,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50)
     return w
 
 
+def _spelled(net: Network, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the n-gram table, word by word; rows of the word table; bounds of the first."""
+    gram, size, word = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    for which in t.some():
+        x = net.inputs(t, which)
+        gram.append(x["gram"][np.argsort(x["owner"], kind="stable")].astype(np.int32))
+        size.append(np.bincount(x["owner"], minlength=len(which)))
+        word.append(x["word"])
+    return np.concatenate(gram), np.concatenate(word), np.cumsum(np.concatenate(size))
+
+
 def _vocabulary(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Words that are in MIN_DOCS texts at least, and n-grams whose words are."""
     n = len(t.hashes)
     text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
     often = np.bincount(np.unique(text * n + t.word) % max(n, 1), minlength=n)
-    order = np.argsort(t.grams)
-    grams, first = np.unique(t.grams[order], return_index=True)
-    spread = np.add.reduceat(often[t.owner[order]], first) if len(first) else first
-    return t.hashes[often >= MIN_DOCS], grams[spread >= MIN_DOCS]
+    grams, spread = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for which in t.some():
+        gram, owner = t.grams(which)
+        kinds, at = np.unique(gram, return_inverse=True)
+        grams.append(kinds)
+        spread.append(np.bincount(at, often[which][owner], len(kinds)).astype(np.int64))
+    kinds, at = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(at, np.concatenate(spread), len(kinds))
+    return t.hashes[often >= MIN_DOCS], kinds[total >= MIN_DOCS]
 
 
 def _chosen(rows: np.ndarray, text: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -419,14 +452,14 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
         for _ in range(passes):
             _batches(net, t, rows, target.astype(np.float32), weight.astype(np.float32), rng, adam)
         if phase < PHASES - 1 and target.any():
-            gates = net.layer_inputs(net.vectors(net.inputs(t)))
+            gates = net.gates(t, np.arange(len(t.hashes)))
             logit = np.concatenate([net.forward(gates, rows[i : i + 8192]) for i in range(0, len(rows), 8192)])
             # a window of a toxic document is toxic if the clean ones' windows rarely look so
             bar = np.quantile(logit[y[owner] == 0], 0.998) if (y == 0).any() else 0.0
             target = ((y[owner] > 0) & (logit > bar)).astype(np.float64)
+    del t, rows
     net.seen[:] = 0  # the parameters have changed
-    logit, text = net.logits(t)
-    net.scale = _logistic(_features(logit, text, len(texts)), y)
+    net.scale = _logistic(np.concatenate([net.features(*run) for run in _joined(texts)]), y)
     return net
 
 

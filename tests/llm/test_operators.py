@@ -255,11 +255,12 @@ def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     texts = [b"you are an idiot and a fool today my friend", b"nice words only here in this text", b"", b"trash talk"]
     t = toxicity.read(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    net = toxicity.Network(t.hashes, np.unique(t.grams))
+    every = np.arange(len(t.hashes))
+    net = toxicity.Network(t.hashes, np.unique(t.grams(every)[0]))
     net.start(rng)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     place, _ = toxicity.windows(t.first)
-    rows, x = np.where(place >= 0, t.word[place], -1), net.inputs(t)
+    rows, x = np.where(place >= 0, t.word[place], -1), net.inputs(t, every)
     y, w = np.array([1, 0, 0, 1.0]), np.array([1, 2, 1, 1.0])
     gradients = net.gradients(x, rows, y, w)[1]
     for k, g in gradients.items():
