@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholarflow.streaming.ingest import work_dir
+
 # bytes of text that one numpy pass holds at a time in a task
 SLICE_BYTES = 2 << 20
 
@@ -19,15 +21,8 @@ _SHIFT = (np.uint64(30), np.uint64(27), np.uint64(31))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every node sees.
-
-    The setting is read from the session; a session without it is refused, since
-    a machine-local folder would tear a staged table apart on a cluster.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A fresh folder below the one that all nodes share (``spark.checkpoint.dir``)."""
+    return f"{work_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
