@@ -12,25 +12,28 @@ from scholarflow.functions.text import (
 
 # --- fixed values -----------------------------------------------------------
 # Tokens of a whole page: comment, script, style, tag, text, stray '<'.
+# What is left of a tag before its end: a > inside a quoted value is no end. A tag
+# with an unclosed quote ends at the first >.
+REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*)"""
 TOKEN_PATTERN = (
     r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-    r"|</?[a-z!?][^>]*>|[^<]+|<"
+    rf"|</?[a-z!?]{REST}>|[^<]+|<"
 )
 # What carries no content; formula scripts stay.
 NOISE_PATTERN = (
     r"(?is)<!--.*?-->|<style\b.*?</style>"
     r"|<script\b(?![^>]*math/tex)[^>]*>.*?</script>"
 )
-TAG_PATTERN = r"(?is)</?[a-z!?][^>]*>"
+TAG_PATTERN = rf"(?is)</?[a-z!?]{REST}>"
 INLINE_TAGS = ("inline-formula", "disp-formula", "a", "i", "b", "sub", "sup", "monospace")
 # Tokens inside one paragraph: a closed inline element is one token.
 INLINE_PATTERN = (
-    "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in INLINE_TAGS)
-    + r"|</?[a-z!?][^>]*>|[^<]+|<"
+    "(?is)" + "|".join(rf"<{t}(?:\s{REST})?>.*?</{t}\s*>" for t in INLINE_TAGS)
+    + rf"|</?[a-z!?]{REST}>|[^<]+|<"
 )
-LINK_PATTERN = r"(?is)<a(?:\s[^>]*)?>.*?</a\s*>"
+LINK_PATTERN = rf"(?is)<a(?:\s{REST})?>.*?</a\s*>"
 XREF_PATTERN = r"(?is)<a(?:\s[^>]*)?\sref-type\s*=[^>]*>.*?</a\s*>"
-HEADING_PATTERN = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"
+HEADING_PATTERN = rf"(?is)<h[1-6](?:\s{REST})?>.*?</h[1-6]\s*>"
 BLOCK_TAGS = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 # Link kinds whose target is the anchor itself, besides fig, table and sec.
 ANCHOR_KINDS = ("bibr", "fn", "disp-formula", "algorithm", "lemma", "theorem", "graphic")
@@ -56,7 +59,7 @@ def clean(x: str) -> str:
 
 
 def _any_tag(tags) -> str:
-    return rf"</?(?:{'|'.join(tags)})(?:\s[^>]*)?/?>"
+    return rf"</?(?:{'|'.join(tags)})(?:\s{REST})?/?>"
 
 
 def split_at(x: str, tags) -> str:
@@ -78,7 +81,7 @@ def attribute(x: str, name: str, *, plain: bool = False) -> str:
 
     ``plain`` values, such as class names, hold no character references.
     """
-    raw = find(x, rf"(?is)^<[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    raw = find(x, rf"(?is)^<[^>\"']*?(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*?)*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
     value = "btrim(a_, '\"\\'')"
     return sql_bind(raw, "a_", f"if(a_ = '', null, {value if plain else unescape_sql(value)})")
 

@@ -151,22 +151,36 @@ def image_url(href: Column, site: str = "https://ieeexplore.ieee.org/") -> Colum
     return F.concat(F.lit(site), href)
 
 
+# HTML reads the numbers 128 to 159 as this code page does, where it has a character
+_WESTERN = "".join(
+    c if (c := bytes([n]).decode("cp1252", "ignore")) else chr(n) for n in range(128, 160)
+)
+
+
 def unescape_sql(x: str, entities: dict[str, int] | None = None) -> str:
-    table = html.entities.name2codepoint if entities is None else entities
-    # one foldable call; as a map constructor it would carry 500 literals
-    pairs = "\x01".join(f"&{k};\x02{chr(v)}" for k, v in table.items())
+    if entities is None:
+        table = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    else:
+        table = {f"{k};": chr(v) for k, v in entities.items()}
+    # one foldable call; as a map constructor it would carry thousands of literals
+    pairs = "\x01".join(f"&{k}\x02{v}" for k, v in table.items())
     named = f"coalesce(str_to_map({sql_text(pairs)}, '\x01', '\x02')[e_], e_)"
-    decimal = r"nullif(regexp_extract(e_, '^&#([0-9]{1,7});$', 1), '')"
-    hexa = r"nullif(regexp_extract(e_, '^&#[xX]([0-9a-fA-F]{1,6});$', 1), '')"
-    number = f"cast(coalesce({decimal}, conv({hexa}, 16, 10)) as bigint)"
+    # digits after leading zeros; more of them than any character has are out of range
+    decimal = r"nullif(regexp_extract(e_, '^&#0*([0-9]+);$', 1), '')"
+    hexa = r"nullif(regexp_extract(e_, '^&#[xX]0*([0-9a-fA-F]+);$', 1), '')"
+    number = (
+        f"coalesce(if(length({decimal}) > 7, 1114112, cast({decimal} as bigint)),"
+        f" if(length({hexa}) > 6, 1114112, cast(conv({hexa}, 16, 10) as bigint)))"
+    )
     legal = "n_ between 1 and 1114111 and n_ not between 55296 and 57343"
-    character = "decode(unhex(lpad(hex(n_), 8, '0')), 'UTF-32')"
-    numeric = sql_bind(number, "n_", f"if({legal}, {character}, e_)")
+    western = f"if(n_ between 128 and 159, substr({sql_text(_WESTERN)}, int(n_ - 127), 1), {{}})"
+    character = western.format("decode(unhex(lpad(hex(n_), 8, '0')), 'UTF-32')")
+    numeric = sql_bind(number, "n_", f"case when n_ is null then e_ when {legal} then {character} else '\ufffd' end")
     resolved = (
         "case when not startswith(e_, '&') then e_ "
         f"when startswith(e_, '&#') then {numeric} else {named} end"
     )
-    pieces = "regexp_extract_all(u_, '&[#0-9A-Za-z]{1,32};|[^&]+|&', 0)"
+    pieces = "regexp_extract_all(u_, '&#?[0-9A-Za-z]+;|[^&]+|&', 0)"
     return sql_bind(
         x, "u_",
         f"if(contains(u_, '&'), array_join(transform({pieces}, e_ -> {resolved}), ''), u_)",

@@ -106,9 +106,10 @@ def transform_chunks(
             for attempt in range(1, attempts + 1):
                 try:
                     answer = apply(text)
+                    long_enough = len(answer) >= min_length
                 except Exception as e:  # noqa: BLE001 - recorded per row
                     return None, "error", attempt, f"{type(e).__name__}: {e}"
-                if len(answer) >= min_length:
+                if long_enough:
                     return answer, "ok", attempt, None
             return answer, "short", attempts, None
 

@@ -186,8 +186,8 @@ def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     stored outline serves both.
     """
     pages = _with_ids(pages)
-    link = H.find("body", r"(?is)<a(?:\s[^>]*)?>(?:.*?</a\s*>)?")
-    image = H.find("link_", r"(?is)<img(?:\s[^>]*)?>")
+    link = H.find("body", rf"(?is)<a(?:\s{H.REST})?>(?:.*?</a\s*>)?")
+    image = H.find("link_", rf"(?is)<img(?:\s{H.REST})?>")
     title = H.first_element("body", "b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?title[\s\"'>]")
     second = X.unescape_sql(f"try_element_at({H.inline_tokens('body')}, 2)")
     heading = (

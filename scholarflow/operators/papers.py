@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ PAYLOAD_SCHEMA = (
     "abstract STRING, citationCount BIGINT, externalIds MAP<STRING, STRING>, "
     "publicationDate STRING"
 )
+CORRUPT = "_corrupt"  # where an unreadable payload is put
 PAPER_COLUMNS = (
     "semantic_id", "title", "date", "authors", "year", "venue", "venue_short",
     "abstract", "citation_count", "external_ids",
@@ -60,25 +63,46 @@ def override_ids(papers: DataFrame, **overrides: Column) -> DataFrame:
     return papers.withColumn("external_ids", F.map_concat(kept, given))
 
 
+def parsed_payloads(raw: DataFrame) -> DataFrame:
+    """(paper_id, payload, p, readable): answers that hold anything, parsed.
+
+    An answer that is no JSON object is not readable; one with a field of an
+    unexpected type is, without that field.
+    """
+    filled = ~F.col("payload").rlike(r"^\s*(\{\s*\}|null)?\s*$")
+    schema = f"{PAYLOAD_SCHEMA}, {CORRUPT} STRING"
+    p = F.from_json("payload", schema, {"columnNameOfCorruptRecord": CORRUPT})
+    rows = raw.where(filled).select("paper_id", "payload", p.alias("p"))
+    fields = [F.col(f"p.{f.name}").isNotNull() for f in rows.schema["p"].dataType if f.name != CORRUPT]
+    some = fields[0]
+    for f in fields[1:]:
+        some = some | f
+    return rows.withColumn("readable", some | F.col(f"p.{CORRUPT}").isNull())
+
+
+def unreadable_answers(raw: DataFrame) -> DataFrame:
+    """(paper_id, payload) of the answers that ``normalise_papers`` leaves out as unreadable."""
+    return parsed_payloads(raw).where(~F.col("readable")).select("paper_id", "payload")
+
+
 def normalise_papers(
     raw: DataFrame, doi_resolved: DataFrame, journals: DataFrame, *, stage: str | None = None
 ) -> DataFrame:
     """API answers (paper_id, payload JSON) to paper rows.
 
-    Answers without any field are dropped. ``doi_resolved`` is (doi, url). With
+    Answers without any field are dropped, and so are unreadable ones (see
+    ``unreadable_answers``). A date that is none becomes NULL. ``doi_resolved`` is (doi, url). With
     ``stage``, a folder on shared storage, the parsed answers are written there,
     so that the payloads are read once and later passes read single columns.
     """
     from scholarflow.operators.ids import resolve_doi
 
-    filled = ~F.col("payload").rlike(r"^\s*(\{\s*\}|null)?\s*$")
     parsed = (
-        raw.where(filled)
-        .select(F.col("paper_id").alias("semantic_id"), F.from_json("payload", PAYLOAD_SCHEMA).alias("p"))
+        parsed_payloads(raw).where("readable")
         .select(
-            "semantic_id",
+            F.col("paper_id").alias("semantic_id"),
             F.col("p.title").alias("title"),
-            F.to_date("p.publicationDate").alias("date"),
+            F.col("p.publicationDate").try_cast("date").alias("date"),
             F.transform("p.authors", lambda a: a["name"]).alias("authors"),
             F.col("p.year").alias("year"),
             F.col("p.venue").alias("venue"),
@@ -230,10 +254,17 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key."""
+def upsert(
+    old: DataFrame, new: DataFrame, keys: list[str], *, written: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of ``new`` replace rows of ``old`` with the same key.
+
+    Of several rows of ``new`` with one key the last stays, by the columns
+    ``written`` (a time or a number of the write); without them, keys must be
+    unique in ``new``.
+    """
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
-    return latest_by(both, keys, ["_gen"]).drop("_gen")
+    return latest_by(both, keys, ["_gen", *written]).drop("_gen")
 
 
 def id_batches(

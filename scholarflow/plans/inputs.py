@@ -41,22 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that is read as fewer splits than there are cores.
-
-    A table of many files or row groups comes back as it is; the number of
-    splits is known from planning alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents", "doc_id", *columns), "doc_id")
+    return table(spark, sf_dir, "documents", "doc_id", *columns)
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages", "page_id", "html"), "page_id")
+    return table(spark, sf_dir, "pages", "page_id", "html")
 
 
 def text_of(name: str) -> Column:

@@ -6,8 +6,6 @@ they check the parsing and not only the parser against itself.
 
 from __future__ import annotations
 
-from scholarflow.functions import html as H
-from scholarflow.functions import text as X
 from scholarflow.plans.inputs import JOURNALS, WEB_PAGE
 
 
@@ -16,8 +14,15 @@ def _q(text: str) -> str:
 
 
 NL = "chr(10)"
-WS = _q(X.WHITESPACE)
-SPACES, WORDS = X.SPACE_CLASS, X.WORD_CLASS
+WS = _q(
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACES, WORDS = r"\t\n\x0b\x0c\r\x1c-\x1f\x85\p{Z}", r"\p{L}\p{N}_"
+HTML_TOKEN = (
+    r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+    r"""|</?[a-z!?](?:[^>"']|"[^"]*"|'[^']*')*>|</?[a-z!?][^>]*>|[^<]+|<"""
+)
 
 
 def strip(x: str) -> str:
@@ -67,7 +72,7 @@ CHAPTERS = f"""chapters as (
 
 
 def tokens(x: str) -> str:
-    return f"len(regexp_extract_all({x}, '{X.TOKEN_PATTERN}'))"
+    return f"len(regexp_extract_all({x}, '[{WORDS}]+|[^{WORDS}{SPACES}]'))"
 
 
 def parts(source: str, keys: str, threshold: int, delimiter: str) -> str:
@@ -119,8 +124,8 @@ URL = r"""regexp_replace(regexp_replace(url, '://[^/]*\.org/[a-z]+/', '://ieeexp
   '://[^/]*\.net/[a-z]+/', '://dl.acm.org/doi/10.1145/', 'g')"""
 PLACES = rf"""places as (
   select page_id, case when contains(u, 'ieee.org') then 'IEEE' when contains(u, 'dl.acm.org') then 'ACM' else 'Other' end as source,
-    case when contains(u, 'ieee.org') then {capture('u', X.URL_RULES[0][2])}
-         when contains(u, 'dl.acm.org') then {capture('u', X.URL_RULES[1][2])} end as document_id
+    case when contains(u, 'ieee.org') then {capture('u', '/document/([0-9]+)')}
+         when contains(u, 'dl.acm.org') then {capture('u', '/doi/(10[.][0-9][0-9][0-9][0-9]+/.+)')} end as document_id
   from (select page_id, {URL} as u from pages))"""
 
 PAPERS = rf"""{JOURNAL_ROWS}, {PLACES},
@@ -207,9 +212,9 @@ WEB = f"""web as (
   from pages, (values (0), (1), (2), (3)) as o(ordinal))"""
 
 _known_tags = sorted(
-    {*WEB_PAGE.cut_tags, *H.BLOCK_TAGS, *H.INLINE_TAGS, "img", "script", "style", "span"}
+    {*WEB_PAGE.cut_tags, "p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "inline-formula", "disp-formula", "a", "i", "b", "sub", "sup", "monospace", "img", "script", "style", "span"}
 )
-_web_tokens = f"select page_id, unnest(regexp_extract_all(html, {_q(H.TOKEN_PATTERN)})) as token from pages"
+_web_tokens = f"select page_id, unnest(regexp_extract_all(html, {_q(HTML_TOKEN)})) as token from pages"
 
 ORACLES: dict[str, str] = {
     "strip_unicode": f"select doc_id, {strip('text')} as stripped from documents",
@@ -284,7 +289,7 @@ union all select cast(o_orderkey as varchar), cast(o_custkey as varchar), null,
 from lineitem where not exists (select 1 from part where p_partkey = l_partkey and p_size > 25)
 group by l_partkey order by n_edges desc, n_influential desc, other_id limit 50""",
     "html_tokens": f"""select page_id, cast(generate_subscripts(l, 1) - 1 as int) as pos, unnest(l) as token
-from (select page_id, regexp_extract_all(html, {_q(H.TOKEN_PATTERN)}) as l from pages)""",
+from (select page_id, regexp_extract_all(html, {_q(HTML_TOKEN)}) as l from pages)""",
     "html_headings": f"with {WEB} select page_id, ordinal, parent_ordinal, level, title, section_id from web",
     "html_sections": f"with {WEB} select page_id, ordinal, parent_ordinal, level, title, content, section_id from web",
     "html_markdown": f"""with {WEB} select page_id, string_agg(

@@ -560,7 +560,8 @@ def incremental_ids(spark, sf):
     store, checkpoint = f"{folder}/ids", f"{folder}/checkpoint"
     schema = table(spark, sf, "events").schema.simpleString()[len("struct<"):-1].replace(":", " ")
     for _ in range(2):
-        stream = ingest.id_stream(spark, sf, schema, "user_id", glob="events.parquet")
+        # a pattern matches the table, be it a file or a directory of part files
+        stream = ingest.id_stream(spark, f"{sf}/events.parque[t]", schema, "user_id")
         ingest.ingest_new_ids(stream, store, checkpoint)
     return spark.read.parquet(store).select("id")
 

@@ -51,9 +51,14 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
-    """(journal, name_short, ordinal) in the order of the CSV file."""
-    rows = spark.read.csv(path, header=True, schema="journal string, name_short string")
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    """(journal, name_short, ordinal) of CSV files, by column name.
+
+    ``ordinal`` orders rows by file name and then by their order in the file.
+    Doubled quotes inside a quoted name stand for one.
+    """
+    rows = spark.read.csv(path, header=True, escape='"')
+    place = F.struct(file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("journal", "name_short", place.alias("ordinal"))
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

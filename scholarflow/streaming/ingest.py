@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from scholarflow.functions import text as X
 
@@ -14,14 +15,15 @@ from scholarflow.functions import text as X
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a local folder is taken and set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    session whose tasks run inside the driver gets a temporary folder; any other
+    one is refused, since a folder of one machine would tear staged tables apart.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    import tempfile
-
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     folder = tempfile.mkdtemp(prefix="scholarflow-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -44,36 +46,22 @@ def ingest_new_ids(
 ) -> None:
     """Append what is new in ``stream`` to the parquet ``table``, then stop.
 
-    Each micro-batch is made distinct and anti-joined to what other batches
-    stored, so no state grows with the number of ids. A batch owns the
-    directory batch=<n> and overwrites it, so a replay after a failure writes
-    the same rows again and not twice. ``fetch`` turns new ids into the rows to
-    store (they keep the column ``id``).
+    Which ids are known is the stream's state, kept under ``checkpoint`` and split
+    by a hash of the id: a batch touches the state of its own ids only, and
+    stored rows are not read again. (With the RocksDB state store the state need
+    not fit in memory.) A batch owns the directory batch=<n> and overwrites
+    it, so a replay after a failure writes the same rows again and not twice.
+    ``fetch`` turns new ids into the rows to store (they keep the column ``id``).
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ids = batch.where(F.coalesce("id", F.lit("")) != "").distinct()
-        known = _stored(spark, table)
-        if known is not None:
-            others = known.where(F.col("batch") != batch_id).select("id")
-            ids = ids.join(others, "id", "left_anti")
-        fetch(ids).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        fetch(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
+    new = stream.where(F.coalesce("id", F.lit("")) != "").dropDuplicates(["id"])
     query = (
-        stream.writeStream.foreachBatch(store)
+        new.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-
-
-def _stored(spark: SparkSession, table: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table)
-    except AnalysisException as e:
-        # nothing stored before the first batch
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
