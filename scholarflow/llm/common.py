@@ -14,6 +14,7 @@ from scholarflow.streaming.ingest import work_dir
 
 # bytes of text that one numpy pass holds at a time in a task
 SLICE_BYTES = 2 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 # 64-bit constants of the mixing function below (fixed values)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -25,16 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{work_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, batch_bytes: str | None = None) -> DataFrame:
     """``df`` through a Parquet table in the shared folder.
 
     It is computed once however often it is read, and survives lost executors.
     The folder belongs to the application, like a checkpoint: whoever owns
     ``spark.checkpoint.dir`` clears it when the application ends.
+
+    ``batch_bytes`` bounds, for this table, what goes to a Python worker at a
+    time; rows with several texts fill batches of the usual size with too much.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH_BYTES)
+    if batch_bytes:
+        spark.conf.set(_BATCH_BYTES, batch_bytes)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH_BYTES, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 

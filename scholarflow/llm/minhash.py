@@ -31,6 +31,7 @@ COORDINATES = BANDS * ROWS
 # similarity that is sought are no candidates (chance of a loss below 1e-9)
 DEVIATIONS = 6.0
 BLOCK = 1000
+BATCH_BYTES = "8m"
 _SCATTER = np.uint64(0xD1B54A32D192ED03)
 _SECOND = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -232,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
     The banding misses a pair of similarity 0.8 with a chance of 5e-8.
     """
-    found = staged(_described(docs, shingle))
+    found = staged(_described(docs, shingle), BATCH_BYTES)
     named = found.where("n_shingles > 0 and doc_id is not null")
     classes = staged(
         named.groupBy("key_a", "key_b").agg(
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     )
     buckets = staged(members.join(stars, "bucket"))
     pairs = buckets.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(_verified(_sketched(pairs, nodes, percent), docs, shingle, percent))
+    links = staged(_verified(_sketched(pairs, nodes, percent), docs, shingle, percent), BATCH_BYTES)
     # rows of one id with different sets are one document: their classes meet here
     same_id = named.groupBy("doc_id").agg(F.min("key_a").alias("lo"), F.max("key_a").alias("hi")).where("lo <> hi").select("doc_id")
     torn = (
@@ -257,7 +258,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     )
     links = links.union(torn)
     labels = components(links)
-    further = staged(_verified(_across(buckets.select("bucket", "node"), labels, nodes, percent), docs, shingle, percent))
+    across = _across(buckets.select("bucket", "node"), labels, nodes, percent)
+    further = staged(_verified(across, docs, shingle, percent), BATCH_BYTES)
     if not further.isEmpty():
         labels = components(links.union(further))
     roots = staged(
