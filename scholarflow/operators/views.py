@@ -9,14 +9,33 @@ from scholarflow.functions import text as X
 
 # --- fixed values -----------------------------------------------------------
 REVIEW_SLOTS = ("graphical_abstract", "review", "bibliography")
+REVIEW_TEMPLATE = """
+-------
 
+<!-- graphical abstract -->
 
-def _marked(slot: str) -> str:
-    title = slot.replace("_", " ")
-    return f"\n-------\n\n<!-- {title} -->\n\n$({slot})\n\n<!-- {title} -->\n"
+$(graphical_abstract)
 
+<!-- graphical abstract -->
 
-REVIEW_TEMPLATE = "".join(_marked(s) for s in REVIEW_SLOTS) + "\n-------\n"
+-------
+
+<!-- review -->
+
+$(review)
+
+<!-- review -->
+
+-------
+
+<!-- bibliography -->
+
+$(bibliography)
+
+<!-- bibliography -->
+
+-------
+"""
 # ----------------------------------------------------------------------------
 
 

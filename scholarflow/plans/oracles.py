@@ -281,6 +281,14 @@ from asked left join own using (k) left join dois using (k) left join local usin
   'P' || length(x) as other_id, x as title, cast(1990 + i as int) as year, source as venue,
   lang || ',background' as intents, length(x) > 80 as is_influential, cast(i as int) as ordinal
 from lines where n > 1 and lang <> 'de'""",
+    "edges_written": f"""with {LINES} select cast(doc_id as varchar) as paper_id, 'reference' as direction,
+  'P' || length(x) as other_id, x as title, cast(1990 + i as int) as year, source as venue,
+  lang || ',background' as intents, length(x) > 80 as is_influential, cast(i as int) as ordinal
+from lines where n > 1 and lang <> 'de'""",
+    "drop_extension": """select doc_id, source || '.' || lang || '.v' || doc_id as stem, '.' || source as hidden
+from documents""",
+    "contains_ignore_case": """select doc_id, contains(lower(text), 'the ') as article,
+  contains(lower(text), lang || 'e') as by_lang from documents""",
     "bibliography": """select cast(l_orderkey as varchar) as paper_id, cast(l_partkey as varchar) as other_id,
   l_quantity > 25 as is_influential, 'citation' as direction from lineitem
 union all select cast(o_orderkey as varchar), cast(o_custkey as varchar), null, 'reference' from orders""",

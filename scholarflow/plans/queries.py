@@ -17,6 +17,7 @@ from scholarflow.operators import papers as A
 from scholarflow.operators import views as V
 from scholarflow.plans import corpus, inputs
 from scholarflow.plans.inputs import documents, table, text_of
+from scholarflow.sources import sinks as K
 from scholarflow.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,23 @@ def escape_citation(spark, sf):
     )
 
 
+@query
+def drop_extension(spark, sf):
+    name = F.concat("source", F.lit("."), "lang", F.lit(".v"), "doc_id", F.lit(".md"))
+    return documents(spark, sf, "lang", "source").select(
+        "doc_id", X.drop_extension(name).alias("stem"),
+        X.drop_extension(F.concat(F.lit("."), "source")).alias("hidden"),
+    )
+
+
+@query
+def contains_ignore_case(spark, sf):
+    return documents(spark, sf, "lang", "text").select(
+        "doc_id", X.contains_ignore_case("text", F.lit("THE ")).alias("article"),
+        X.contains_ignore_case("text", F.concat("lang", F.lit("e"))).alias("by_lang"),
+    )
+
+
 @query
 def front_matter(spark, sf):
     docs = inputs.markdown_docs(spark, sf).select("doc_id", X.front_matter("markdown").alias("s"))
@@ -295,6 +313,14 @@ def edges_flat(spark, sf):
     return edges.withColumn("intents", F.array_join("intents", ","))
 
 
+@query
+def edges_written(spark, sf):
+    """Edges through their table, which has a directory per direction."""
+    path = f"{ingest.work_dir(spark)}/edges-{uuid.uuid4().hex}"
+    K.write_edges(edges_flat(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @query
 def bibliography(spark, sf):
     cited = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_quantity").select(
