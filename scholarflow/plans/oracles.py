@@ -227,7 +227,8 @@ ORACLES: dict[str, str] = {
   abstract, citation_count, id_semantic, id_ieee, id_acm, id_doi, id_corpusid from papers""",
     "papers_display": f"""with {PAPERS} select semantic_id, coalesce(title, 'Unknown Title') as title, date,
   case when year = 1901 then 'Unknown Year' else cast(year as varchar) end as year,
-  coalesce(venue_short, 'Unknown Venue') as venue_short, cast(citation_count as varchar) as citation_count from papers""",
+  coalesce(venue, 'Unknown Venue') as venue, coalesce(venue_short, 'Unknown Venue') as venue_short,
+  coalesce(abstract, 'No abstract available.') as abstract, cast(citation_count as varchar) as citation_count from papers""",
     "override_ids": """select doc_id, cast(doc_id as varchar) as semantic,
   case when lang <> 'en' then lang else source end as ieee_id, case when lang = 'fr' then source end as acm_id from documents""",
     "venue_short": f"""with {JOURNAL_ROWS},
@@ -359,10 +360,12 @@ left join by_ieee e on '/document/' || e.ieee = page_link""",
 select s.page_id, sid as semantic_id, count(*) as n_sections, count(*) // 2 as n_figures, count(*) // 2 as n_references,
   length({MARKDOWN}) as n_chars
 from sections s join resolved r on r.doc_id = s.page_id group by s.page_id, sid""",
-    "crawl_records": f"""with {KNOWN}
+    "crawl_records": f"""with {KNOWN}, {LINES},
+images as (select doc_id, string_agg('ieee_' || doc_id || '_fig' || i || '.gif', ',' order by i) as images
+  from lines group by doc_id)
 select doc_id as page_id, cast(doc_id as varchar) as ieee_paper_id, sid as semantic_id, 'out/' || sid || '_original.md' as output_md_path,
   'img/' || sid || '_img' as final_img_dir, 'info/' || sid || '_original.json' as paper_info_path,
-  '1.' as first_reference, 'ieee_' || doc_id || '_fig0.gif' as first_image, 'sec0' as first_section from resolved""",
+  '1.' as first_reference, images, 'sec0' as first_section from resolved left join images using (doc_id)""",
     "chapters": f"with {CHAPTERS} select doc_id, cast(chapter_no as int) as chapter_no, t as text from chapters",
     "chunk_plan": f"""select doc_id, cast(k as int) as n_tokens, cast(case when k > 200 then k // 200 + 1 else 1 end as int) as n_parts
 from (select doc_id, {tokens('text')} as k from documents)""",
@@ -387,9 +390,9 @@ counted as (
   from documents d join result r on d.doc_id = r.doc_id)
 select doc_id, cast(source_chapters as int) as source_chapters, cast(output_chapters as int) as output_chapters,
   source_chapters = output_chapters as same from counted""",
-    "overview": f"""select cast(doc_id as varchar) as key, string_split(text, {NL})[1] || '<sup>' || n_chars || '</sup><br>' || lang
+    "overview": f"""select cast(doc_id as varchar) as key, replace(text, {NL}, ' ') || '<sup>' || n_chars || '</sup><br>' || lang
   || '<br><br>' || case when lang <> 'es' then source else '' end as "Overview" from documents""",
-    "links_view": f"""select cast(doc_id as varchar) as key, string_split(text, {NL})[1] as title,
+    "links_view": f"""select cast(doc_id as varchar) as key, replace(text, {NL}, ' ') as title,
   '[[reader/' || lang || '-' || source || '/zh|kr]]' as "KR", '[[reader/' || lang || '-' || source || '/en|en]]' as "EN",
   '[doi.org](https://doi.org/10.5555/' || source || ')' as "Link",
   '[slide](http://localhost/slides/' || doc_id || '.md)' as "Slide" from documents""",

@@ -114,7 +114,9 @@ def papers_display(spark, sf):
         inputs.raw_papers(spark, sf), inputs.resolved_dois(spark, sf), inputs.journals(spark)
     )
     shown = A.papers_display(papers.withColumn("year", F.nullif("year", F.lit(1901))))
-    return shown.select("semantic_id", "title", "date", "year", "venue_short", "citation_count")
+    return shown.select(
+        "semantic_id", "title", "date", "year", "venue", "venue_short", "abstract", "citation_count"
+    )
 
 
 @query
@@ -282,8 +284,9 @@ def resolve_ieee(spark, sf):
     asked = table(spark, sf, "events", "event_id", "user_id").select(
         "event_id", text_of("user_id").alias("ieee_id")
     )
-    dois = table(spark, sf, "documents", "doc_id", "lang").where(F.col("lang") != "fr").select(
-        text_of("doc_id").alias("ieee_id"), F.concat(F.lit("10.5555/d"), "doc_id").alias("doi")
+    doi = F.when(F.col("lang") != "fr", F.concat(F.lit("10.5555/d"), "doc_id"))
+    dois = table(spark, sf, "documents", "doc_id", "lang").select(
+        text_of("doc_id").alias("ieee_id"), doi.alias("doi")
     )
     index = I.semantic_index_of_ieee(
         inputs.numbered_papers(spark, sf), dois, inputs.numbered_answers(spark, sf)
@@ -471,7 +474,9 @@ def crawl_records(spark, sf):
         field("$.final_img_dir").alias("final_img_dir"),
         field("$.paper_info_path").alias("paper_info_path"),
         field("$.reference_info[0].number").alias("first_reference"),
-        field("$.img_info[0].img_file_name").alias("first_image"),
+        F.array_join(
+            F.from_json("record", "img_info array<struct<img_file_name string>>")["img_info"]["img_file_name"], ","
+        ).alias("images"),
         field("$.section_info[0].section_id").alias("first_section"),
     )
 
@@ -546,7 +551,7 @@ def compare_structure(spark, sf):
 def _view_docs(spark, sf):
     return documents(spark, sf, "lang", "source", "text", "n_chars").select(
         text_of("doc_id").alias("key"),
-        inputs.lines()[0].alias("title"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("title"),
         F.col("n_chars").alias("total_citation"),
         F.col("lang").alias("subtitle"),
         F.when(F.col("lang") != "es", F.col("source")).alias("tldr"),
