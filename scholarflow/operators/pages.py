@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from scholarflow.functions import html as H
 from scholarflow.functions import text as X
-from scholarflow.operators.scale import HOT_ROWS, staged
+from scholarflow.operators.scale import staged
 
 LIST_TAGS = ("ul", "ol")
 
@@ -539,7 +539,6 @@ def references(
     from scholarflow.operators.ids import with_reference_ids
 
     entries = staged(reference_links(pages), stage and f"{stage}/references")
-    hot_rows = None if stage is None else HOT_ROWS
     # of equal texts the last one stays, as in a dictionary
     links = (
         "map_from_entries(filter(found, (x, i) -> x.text <> '' and coalesce(x.href, '') <> '' "
@@ -548,7 +547,7 @@ def references(
     )
     named = entries.selectExpr("page_id", "ordinal", "number", "title", "found", links)
     return with_reference_ids(
-        named, doi_index, ieee_index, spread=["page_id", "ordinal"], hot_rows=hot_rows
+        named, doi_index, ieee_index, spread=["page_id", "ordinal"]
     ).select("page_id", "ordinal", "number", "title", "links", "semantic_id")
 
 

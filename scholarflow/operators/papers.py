@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarflow.functions import text as X
-from scholarflow.operators.scale import HOT_ROWS, anti_lookup, lookup_join, number_rows, staged
+from scholarflow.operators.scale import anti_lookup, lookup_join, number_rows, staged
 
 # --- fixed values -----------------------------------------------------------
 PAYLOAD_SCHEMA = (
@@ -112,11 +112,9 @@ def normalise_papers(
             F.col("p.externalIds")["DOI"].alias("doi"),
         )
     )
-    hot_rows = None if stage is None else HOT_ROWS
     parsed = staged(parsed, stage and f"{stage}/parsed")
-    named = with_venue_short(parsed, journals, spread=["semantic_id"], hot_rows=hot_rows)
-    # a DOI names one paper, so only its absence is frequent
-    named = resolve_doi(named, doi_resolved, spread=["semantic_id"], hot_rows=None)
+    named = with_venue_short(parsed, journals, spread=["semantic_id"])
+    named = resolve_doi(named, doi_resolved, spread=["semantic_id"])
     ids = external_ids(
         F.col("semantic_id"), F.col("given_ids"), F.col("source"), F.col("document_id")
     )
@@ -179,12 +177,12 @@ def venue_names(venues: DataFrame, journals: DataFrame) -> DataFrame:
 
 
 def with_venue_short(
-    papers: DataFrame, journals: DataFrame, *, spread: list[str] | None = None, hot_rows: int | None = HOT_ROWS
+    papers: DataFrame, journals: DataFrame, *, spread: list[str] | None = None
 ) -> DataFrame:
     """Add ``venue_short``; NULL where no journal name occurs in the venue."""
     venues = papers.where(F.col("venue").isNotNull()).select("venue").distinct()
     named = venue_names(venues, journals)
-    joined = lookup_join(papers, named, ["venue"], spread=spread, hit="_v", hot_rows=hot_rows)
+    joined = lookup_join(papers, named, ["venue"], spread=spread, hit="_v")
     return joined.withColumn("venue_short", F.col("_v.venue_short")).drop("_v")
 
 
@@ -217,7 +215,6 @@ def papers_to_fetch(
     mode: str = "missing",
     key: str = "paper_id",
     spread: list[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Papers whose edges are to be fetched: all, or those not in ``fetched``.
 
@@ -226,7 +223,7 @@ def papers_to_fetch(
     """
     if _mode(mode) == "all":
         return papers
-    return anti_lookup(papers, fetched, [key], spread=spread, hot_rows=hot_rows)
+    return anti_lookup(papers, fetched, [key], spread=spread)
 
 
 def pending_downloads(papers: DataFrame, downloaded: DataFrame, key: str = "IEEE") -> DataFrame:

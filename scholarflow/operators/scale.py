@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# A key is hot from this many fact rows on. There are at most
-# (fact rows / HOT_ROWS) hot keys, which bounds what lookup_join broadcasts:
-# 10^12 fact rows give at most 200,000 keys.
-HOT_ROWS = 5_000_000
-
 
 def lookup_join(
     facts: DataFrame,
@@ -21,70 +16,30 @@ def lookup_join(
     *,
     spread: Sequence[str] | None = None,
     hit: str = "hit",
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Left join of ``facts`` to ``dim``, which holds each key at most once.
 
     The other columns of ``dim`` arrive as one struct column ``hit`` (NULL where
     nothing matched). Every fact row comes back exactly once.
 
-    Hot keys are found by a map-side-combined count and joined by a broadcast
-    whose row count is bounded (see ``HOT_ROWS``). In the shuffled join that
-    serves the other keys, rows that need no match any more (hot, or NULL key)
-    carry a hash of the ``spread`` columns, so they spread evenly and do not
-    pile up in one task. Columns that tell rows apart serve best; the default
-    is all that can be hashed.
-
-    The count reads the key columns of ``facts`` once more, which is cheap for a
-    stored table. Where ``facts`` is the result of costly parsing that is not
-    stored, ``hot_rows=None`` leaves that pass out, and a hot key is split by
-    adaptive execution when the shuffle shows it.
+    A hot key makes one large partition of facts against one row of ``dim``, which
+    adaptive execution splits by the sizes it sees in the shuffle
+    (``spark.sql.adaptive.skewJoin``); the facts are read once. Rows with a NULL
+    key need no match and carry a hash of the ``spread`` columns instead of the
+    key's, so they go to every task alike. Columns that tell rows apart serve
+    best; the default is all that can be hashed.
     """
     keys = list(keys)
     values = [c for c in dim.columns if c not in keys]
     # equal keys must have equal hashes, so both sides get the same types
-    typed = [F.col(k).cast(facts.schema[k].dataType).alias(k) for k in keys]
-    dim = dim.select(*typed, F.struct(F.lit(True).alias("found"), *values).alias("_hit"))
-    complete = _all_set(keys)
+    typed = [F.col(k).cast(facts.schema[k].dataType).alias(f"_c_{k}") for k in keys]
+    found = F.struct(F.lit(True).alias("found"), *values).alias(hit)
+    dim = dim.select(*typed, found).withColumn("_c_lead", F.xxhash64(*[f"_c_{k}" for k in keys]))
     spread = list(spread or [c for c, t in facts.dtypes if "map<" not in t and "variant" not in t])
-    if hot_rows is None:
-        marked, settled = facts, ~complete
-        found = F.col("_cold_hit")
-    else:
-        hot = _hot_rows(facts.where(complete), dim, keys, hot_rows)
-        on_hot = _all([F.col(k) == F.col(f"_h_{k}") for k in keys])
-        marked = facts.join(F.broadcast(hot), on_hot, "left").drop(*[f"_h_{k}" for k in keys])
-        settled = F.coalesce(F.col("_hot"), F.lit(False)) | ~complete
-        found = F.coalesce("_hot_hit", "_cold_hit")
-    # the join key is led by a hash: of the key where a match is wanted, of the
-    # row where it is not, so that those rows go to every task alike
-    marked = marked.withColumn(
-        "_lead", F.when(settled, F.xxhash64(*spread)).otherwise(F.xxhash64(*keys))
-    )
-    cold = dim.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        F.xxhash64(*keys).alias("_c_lead"),
-        F.col("_hit").alias("_cold_hit"),
-    )
-    on_cold = _all(
-        [F.col("_lead") == F.col("_c_lead")]
-        + [F.col(k) == F.col(f"_c_{k}") for k in keys]
-    )
-    joined = marked.join(cold, on_cold, "left")
-    return joined.select(*facts.columns, found.alias(hit))
-
-
-def _hot_rows(facts: DataFrame, dim: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Every hot key once, with its dimension row or NULL."""
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = counts.where(F.col("_n") >= hot_rows).select(*keys)
-    return (
-        dim.join(F.broadcast(hot_keys), keys)
-        .unionByName(hot_keys, allowMissingColumns=True)
-        .groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
-        .agg(F.first("_hit", ignorenulls=True).alias("_hot_hit"))
-        .withColumn("_hot", F.lit(True))
-    )
+    lead = F.when(_all_set(keys), F.xxhash64(*keys)).otherwise(F.xxhash64(*spread))
+    on = _all([F.col("_lead") == F.col("_c_lead")] + [F.col(k) == F.col(f"_c_{k}") for k in keys])
+    joined = facts.withColumn("_lead", lead).join(dim, on, "left")
+    return joined.select(*facts.columns, hit)
 
 
 def staged(df: DataFrame, path: str | None) -> DataFrame:
@@ -103,11 +58,10 @@ def anti_lookup(
     keys: Sequence[str],
     *,
     spread: Sequence[str] | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Fact rows whose key is not in ``present``; duplicates are kept."""
     known = present.select(*keys).distinct()
-    joined = lookup_join(facts, known, keys, spread=spread, hit="_known", hot_rows=hot_rows)
+    joined = lookup_join(facts, known, keys, spread=spread, hit="_known")
     return joined.where(F.col("_known").isNull()).drop("_known")
 
 

@@ -107,35 +107,40 @@ def test_id_batches_equal_slices(spark):
             assert sorted(r.e for r in got if r.u == u and r.batch_no == i // 4) == items[i:i + 4]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1, 5, 1000])
-def test_lookup_join_equals_left_join(spark, hot_rows):
+def test_lookup_join_equals_left_join(spark):
     facts = spark.range(200).selectExpr(
         "id", "case when id < 90 then 'hot' when id < 120 then null when id < 140 then 'gone' "
         "else cast(id % 7 as string) end as k"
     )
     dim = spark.createDataFrame([("hot", 1, "x"), ("3", 2, "y"), ("never", 3, "z")], "k string, v int, w string")
-    got = S.lookup_join(facts, dim, ["k"], spread=["id"], hot_rows=hot_rows)
+    got = S.lookup_join(facts, dim, ["k"], spread=["id"])
     want = facts.join(dim, "k", "left").select("id", "k", "v", "w")
     flat = got.select("id", "k", "hit.v", "hit.w")
     assert sorted(map(repr, flat.collect())) == sorted(map(repr, want.collect()))
 
 
-def test_lookup_join_spreads_rows_without_a_match_to_make(spark):
-    """Hot and NULL keys do not meet in one task of the shuffled join."""
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
-    old = {n: spark.conf.get(n) for n in names}
-    spark.conf.set(names[0], "-1")
-    spark.conf.set(names[1], "false")
+@pytest.mark.parametrize("share", ["null", "'hot'"])
+def test_lookup_join_spreads_frequent_keys(spark, share):
+    """A key that half of all rows have, or their missing key, does not meet in one task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
     try:
-        facts = spark.range(8000).selectExpr("id", "if(id < 4000, null, 'hot') as k")
-        dim = spark.createDataFrame([("hot", 1), ("x", 2)], "k string, v int")
-        got = S.lookup_join(facts, dim, ["k"], spread=["id"], hot_rows=100)
-        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
-        assert len(sizes) == 8 and max(sizes) < 1500
-        assert got.where("hit.v = 1").count() == 4000
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        facts = spark.range(0, 80_000, 1, 16).selectExpr("id", f"if(id % 2 = 0, {share}, 'k' || id) as k", "sha2(string(id), 512) as pad")
+        dim = spark.range(1, 80_000, 2).selectExpr("'k' || id as k", "id as v").union(spark.sql("select 'hot', -1L"))
+        got = S.lookup_join(facts, dim, ["k"], spread=["id"])
+        counted = got.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n"), F.max(F.length("pad")))
+        sizes = [r["n"] for r in counted.collect()]
+        assert sum(sizes) == 80_000 and max(sizes) < 2 * 80_000 / 8
+        assert got.where("hit.v = -1").count() == (0 if share == "null" else 40_000)
     finally:
-        for n, v in old.items():
-            spark.conf.set(n, v)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_lookup_join_of_unlike_types(spark):
@@ -148,7 +153,7 @@ def test_lookup_join_of_unlike_types(spark):
 def test_anti_lookup_with_hot_keys(spark):
     facts = spark.range(100).selectExpr("id", "if(id < 60, 1, id) as k")
     present = spark.range(1, 80, 2).selectExpr("id as k")
-    got = S.anti_lookup(facts, present, ["k"], spread=["id"], hot_rows=10)
+    got = S.anti_lookup(facts, present, ["k"], spread=["id"])
     want = facts.join(present, "k", "left_anti")
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
 
