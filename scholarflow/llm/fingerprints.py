@@ -123,7 +123,7 @@ def in_runs(docs: DataFrame, rows_per_run: int = 500, most_runs: int = 20_000) -
     order of a hash of their text, and repeated rows are interchangeable.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     runs = max(1, min(docs.select("doc_id").count() // rows_per_run, most_runs))
     points = F.array(*[F.lit(i / runs) for i in range(1, runs)] or [F.lit(0.5)])
     quantiles = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), points, 100 * runs)).first()[0]

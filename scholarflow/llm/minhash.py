@@ -5,9 +5,10 @@ scatters a shingle's hash, and coordinate k is the smallest value that the secon
 one gives to the scattered hashes shifted circularly by k. Bands of coordinates
 name buckets. Texts with equal shingle sets are one class, and only its
 representative goes on. In each bucket all members are held against its smallest
-member (a star), not against each other; where that leaves a bucket in several
-components, its remaining pairs across components follow, in blocks. Every link
-rests on the full shingle sets.
+member (a star), not against each other. Where that leaves a bucket in several
+components, its members are compared across components, in blocks, by a product of
+their full sets, and only links that join components come out. Every link rests on
+the full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ COORDINATES = BANDS * ROWS
 # two sketches whose agreement lies this many standard deviations below the
 # similarity that is sought are no candidates (chance of a loss below 1e-9)
 DEVIATIONS = 6.0
-BLOCK = 1000
+# a block has so many documents, or shingles, in the mean
+BLOCK, BLOCK_SHINGLES = 1000, 400_000
+COLUMNS = 4096
 BATCH_BYTES = "8m"
 _SCATTER = np.uint64(0xD1B54A32D192ED03)
 _SECOND = np.uint64(0x8CB92BA72F3D8DD7)
@@ -73,7 +76,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _described(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, key_a, key_b (of the set), bands, sketch of every row."""
-    given = docs.select("doc_id", "text")
+    given = docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sketch binary"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) of documents whose full shingle sets reach the similarity."""
     pairs = staged(pairs)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    # shuffled at every size: how many documents have pairs depends on the data alone
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
@@ -177,47 +181,99 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that the stars have left in different components.
+def _common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by a matrix
+    product over the shingles, some columns at a time."""
+    sets = left + right
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    kinds, column, often = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    place = np.cumsum(often > 1) - 1
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    n = int((often > 1).sum())
+    for first in range(0, n, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        dense = np.zeros((len(sets), min(COLUMNS, n - first)), np.float32)
+        dense[row[lo:hi], column[lo:hi] - first] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _joining(links: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between rows those that join components, one after another."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
 
-    Members of such buckets are dealt into blocks, each pair of blocks meets in
-    one group of at most two blocks, and only pairs across components whose sizes
-    and sketches allow the similarity come out.
+    out = []
+    for x, y in links.tolist():
+        a, b = find(int(component[x])), find(int(component[y]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that the stars left in different
+    components.
+
+    Buckets of several components go by the component that most of their members
+    have, so that a document with many buckets is mostly in one group. Members of
+    a group are dealt into blocks, each pair of blocks meets in one task, which
+    holds two blocks of texts and gives fewer links than it has members.
     """
-    named = buckets.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+    named = staged(
+        buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     )
+    per_component = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
-        named.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("size > 2 and lo < hi")
-        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        per_component.groupBy("bucket")
+        .agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", -F.col("component"))).alias("most"))
+        .where("size > 2 and kinds > 1")
+        .select("bucket", (-F.col("most")[F.lit("col2")]).alias("root"))
     )
-    dealt = named.join(staged(mixed), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    spread = dealt.select(
-        "bucket", "node", "component", "own",
+    members = staged(
+        named.join(staged(mixed), "bucket").select("root", "node", "component").distinct().join(nodes.select("node", "n_shingles"), "node")
+    )
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    groups = staged(members.groupBy("root").agg(blocks.alias("blocks")))
+    dealt = members.join(groups, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(
+        members.select("node").distinct().hint("merge"), "node", "left_semi"
+    )
+    spread = dealt.join(texts.hint("merge"), "node").select(
+        "root", "node", "component", "own", "text",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
-        F.col("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own",
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own", "text",
     )
-    rows = spread.join(nodes.select("node", "n_shingles", "sketch"), "node")
-    need = _agreement_needed(percent)
 
     def meet(group: pa.Table) -> pa.Table:
-        node, component, n, own = (
-            group.column(c).to_numpy() for c in ("node", "component", "n_shingles", "own")
-        )
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        node, component, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
+        raw = [(t or "").encode() for t in group.column("text").to_pylist()]
+        sets: list[np.ndarray] = []
+        for first in range(0, len(raw), 100):
+            run = raw[first : first + 100]
+            sets += shingle_sets(np.frombuffer(b"".join(run), np.uint8), np.cumsum([0, *map(len, run)]), k)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out: list[tuple[int, int]] = []
-        for x in left:
-            y = right[(component[right] != component[x]) & _alike(n[right], n[x], percent)]
-            y = y[(sketch[y] == sketch[x]).sum(1) >= need]
-            out.extend((min(node[x], node[z]), max(node[x], node[z])) for z in y)
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+        both = _common_shingles([sets[x] for x in left], [sets[x] for x in right])
+        size = np.array([len(x) for x in sets], np.int64)
+        either = size[left][:, None] + size[right][None] - both
+        linked = (100 * both >= percent * either) & (both > 0) & (component[left][:, None] != component[right][None])
+        x, y = np.nonzero(linked)
+        links = _joining(np.stack([left[x], right[y]], axis=1), component)
+        ends = [sorted((int(node[x]), int(node[y]))) for x, y in links]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return spread.groupBy("root", "i", "j").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -258,8 +314,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     )
     links = links.union(torn)
     labels = components(links)
-    across = _across(buckets.select("bucket", "node"), labels, nodes, percent)
-    further = staged(_verified(across, docs, shingle, percent), BATCH_BYTES)
+    across = _across(buckets.select("bucket", "node"), labels, nodes, docs, shingle, percent)
+    further = staged(across, BATCH_BYTES)
     if not further.isEmpty():
         labels = components(links.union(further))
     roots = staged(
