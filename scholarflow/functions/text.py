@@ -139,14 +139,6 @@ def hashes(level: Column | str) -> Column:
     return F.repeat(F.lit("#"), col(level))
 
 
-def markdown_link(text: Column, target: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit("]("), target, F.lit(")"))
-
-
-def image_name(document_id: Column, anchor: Column) -> Column:
-    return F.concat(F.lit("ieee_"), document_id, F.lit("_"), anchor, F.lit(".gif"))
-
-
 def image_url(href: Column, site: str = "https://ieeexplore.ieee.org/") -> Column:
     return F.concat(F.lit(site), href)
 

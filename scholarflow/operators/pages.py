@@ -261,11 +261,6 @@ def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     )
 
 
-def image_dir(semantic_id: Column) -> Column:
-    """Image folder of a paper, as its Markdown refers to it."""
-    return F.concat(F.lit("../img/"), F.coalesce(semantic_id, F.lit(X.UNKNOWN)), F.lit("_img"))
-
-
 def _with_ids(pages: DataFrame) -> DataFrame:
     """The page columns this module works on; unknown paper ids are NULL."""
     optional = [

@@ -69,7 +69,9 @@ def test_markdown_files(spark, tmp_path):
     path = put(tmp_path / "md", one__md="# A\n\n## B", two__md="x")
     docs = R.read_markdown(spark, path)
     assert {r.doc_id: r.markdown for r in docs.collect()} == {"one": "# A\n\n## B", "two": "x"}
-    K.write_markdown_files(docs, str(tmp_path / "out"))
+    K.write_markdown_files(docs, str(tmp_path / "table"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table")).collect())) == sorted(map(tuple, docs.collect()))
+    K.write_markdown_files(docs, str(tmp_path / "out"), one_file_each=True)
     files = list((tmp_path / "out" / "doc_id=one").glob("*.txt"))
     assert [f.read_text(encoding="utf-8").rstrip("\n") for f in files] == ["# A\n\n## B"]
 
