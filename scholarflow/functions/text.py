@@ -156,7 +156,13 @@ def unescape_sql(x: str, entities: dict[str, int] | None = None) -> str:
         table = {f"{k};": chr(v) for k, v in entities.items()}
     # one foldable call; as a map constructor it would carry thousands of literals
     pairs = "\x01".join(f"&{k}\x02{v}" for k, v in table.items())
+    # most references are one of a few; a map is searched from end to end
+    common = " ".join(
+        f"when {sql_text('&' + k)} then {sql_text(table[k])}"
+        for k in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;") if k in table
+    )
     named = f"coalesce(str_to_map({sql_text(pairs)}, '\x01', '\x02')[e_], e_)"
+    named = f"case e_ {common} else {named} end" if common else named
     # digits after leading zeros; more of them than any character has are out of range
     decimal = r"nullif(regexp_extract(e_, '^&#0*([0-9]+);$', 1), '')"
     hexa = r"nullif(regexp_extract(e_, '^&#[xX]0*([0-9a-fA-F]+);$', 1), '')"
