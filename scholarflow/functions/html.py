@@ -175,7 +175,7 @@ def render_piece(body: str, slot: str, targets: str) -> str:
         f"struct(if(startswith(lead_, '</'), '', {tag_name('lead_')}) as tag, "
         "substr(b_, length(lead_) + 1) as text)",
     )
-    blocks = f"transform({split_at(body, BLOCK_TAGS)}, b_ -> {block})"
+    blocks = f"transform({split_at('y_', BLOCK_TAGS)}, b_ -> {block})"
     # an item shows its first child only: a text, an element, or a paragraph
     mode = (
         f"case when {slot}.list_tag is null then case p_.tag when 'p' then 'p' when '' then 'loose' "
@@ -196,4 +196,7 @@ def render_piece(body: str, slot: str, targets: str) -> str:
     )
     written = sql_bind(mode, "m_", f"if(m_ = '', '', {line})")
     joined = sql_bind(blocks, "ps_", f"array_join(transform(ps_, (p_, i_) -> {written}), '')")
-    return f"concat(if({slot}.ends_list, '\n\n', ''), {joined})"
+    # most pieces hold no mark-up: one text outside any paragraph
+    bare = sql_bind(unescape_sql("y_"), "z_", f"if({strip_sql('z_')} = '', '', z_)")
+    either = f"case when contains(y_, '<') then {joined} when {slot}.list_tag is null then {bare} else '' end"
+    return f"concat(if({slot}.ends_list, '\n\n', ''), {sql_bind(body, 'y_', either)})"
