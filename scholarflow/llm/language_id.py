@@ -176,9 +176,12 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
     Repeated rows are scored one by one.
     """
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    # a text that is kept travels once
+    columns = [F.col(f"`{c}`") for c in keep if c != text]
     given = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep], F.col(doc_id).alias("_doc_id")).alias("row"),
-        F.when(letters, F.col(text)).alias("text"),
+        F.struct(*columns, F.col(doc_id).alias("_doc_id")).alias("row"),
+        letters.alias("letters"),
+        F.col(text).alias("text"),
     )
     languages = model.languages if model else ()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,17 +198,23 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
                 best[lo:hi] = bits.argmin(1)
                 odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0))
                 sure[lo:hi] = 1.0 / odds.sum(1)
-            valid = np.asarray(batch.column("text").is_valid()) & (frozen is not None)
+            known = frozen is not None
+            valid = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool) & known
             named = np.array([*languages, UNDETERMINED], dtype=object)[np.where(valid, best, len(languages))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(named, pa.string()), pa.array(np.where(valid, sure, 0.0))],
-                names=["row", "lang_pred", "score"],
+                [
+                    batch.column("row"), pa.array(named, pa.string()), pa.array(np.where(valid, sure, 0.0)),
+                    *([batch.column("text")] if text in keep else []),
+                ],
+                names=["row", "lang_pred", "score", *(["text"] if text in keep else [])],
             )
 
     schema = given.select("row").schema.add("lang_pred", "string").add("score", "double")
+    if text in keep:
+        schema = schema.add("text", "string")
     out = given.mapInArrow(score, schema)
     return out.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in keep],
+        *[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in keep],
         F.col("row._doc_id").alias(doc_id),
         "lang_pred",
         "score",
