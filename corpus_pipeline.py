@@ -29,10 +29,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that their source repeats on its pages.
 
-    A document of which only empty lines are left goes.
+    Copies of a text count as one page of the source, and a document that would
+    lose all its lines stays whole: which of a group of copies goes is decided by
+    the next stage, that keeps one.
     """
-    cleaned = line_dedup.line_dedup(docs, host="source")
-    return _documents(cleaned.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", "")) != "")))
+    return _documents(line_dedup.line_dedup(docs, host="source", copies=False, spare=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,23 +26,30 @@ def boilerplate(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    copies: bool = True,
 ) -> DataFrame:
     """One row per host that has boilerplate: (host, keys of its boilerplate lines).
 
-    Every row counts as a page, repeated rows too; a line counts once a page. A
+    Every row counts as a page, repeated rows too; a line counts once a page.
+    Without ``copies``, rows of a host with equal texts (by a 64-bit key) count as
+    one page, so that a group of copies does not make its own text boilerplate. A
     NULL host is a host of its own. Lines that are empty or only spaces never
     count. Lines meet by a 64-bit key. Since each boilerplate line is on more
     than ``max_ratio`` of the host's pages, a host has at most (distinct lines of
     its mean page) / ``max_ratio`` of them, however many pages there are.
     """
     given = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = given.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    page = F.xxhash64("text").alias("page")
+    seen = given if copies else given.select("host", page).distinct()
+    totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     keys = F.transform(
         F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), _line_key
     )
+    lines = given.select("host", page, F.explode_outer(F.array_distinct(keys)).alias("line")).where(
+        F.col("line").isNotNull()
+    )
     counts = (
-        given.select("host", F.explode_outer(F.array_distinct(keys)).alias("line"))
-        .where(F.col("line").isNotNull())
+        (lines if copies else lines.distinct())
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= min_pages)
@@ -63,19 +70,23 @@ def line_dedup(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    copies: bool = True,
+    spare: bool = False,
 ) -> DataFrame:
     """``pages`` without their hosts' boilerplate lines.
 
     All columns come back; ``text`` holds the kept lines, joined by line feeds,
     and ``n_lines`` and ``n_removed`` (long) are added, in place of input columns
     of these names. A NULL text stays NULL with 0 lines; an empty text is one
-    empty line. Repeated rows come back as often as they came.
+    empty line. Repeated rows come back as often as they came. ``copies`` is as for
+    ``boilerplate``. With ``spare``, a page of which nothing but empty lines would
+    be left stays as it is.
 
     The table of boilerplate lines is small against the pages; Spark broadcasts
     it if its size allows, else the join is by host and splits a hot host.
     """
     lines = staged(
-        boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages)
+        boilerplate(pages, host=host, text=text, max_ratio=max_ratio, min_pages=min_pages, copies=copies)
     )
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"))
     joined = rows.join(lines, F.col(f"row.{host}").eqNullSafe(F.col("host")), "left")
@@ -84,9 +95,12 @@ def line_dedup(
         all_lines,
         lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("lines"), _line_key(x)),
     )
+    cut = F.col("lines").isNotNull()
+    if spare:
+        cut = cut & F.exists(kept, lambda x: F.trim(x) != "")
     marked = joined.select(
         "row",
-        F.when(F.col("lines").isNotNull(), kept).otherwise(all_lines).alias("kept"),
+        F.when(cut, kept).otherwise(all_lines).alias("kept"),
         F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"),
     )
     plain = [c for c in pages.columns if c not in (text, "n_lines", "n_removed")]

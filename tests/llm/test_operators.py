@@ -386,6 +386,23 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
         assert rows.count() >= 0
 
 
+def test_pipeline_keeps_one_of_each_group_of_copies(spark):
+    """Groups of copies above 5 % of a source: exact ones, of one line and of several, and near ones without a line of their own."""
+    words = lambda n, seed: " ".join(random.Random(f"{n} {seed}").sample([f"w{i}" for i in range(900)], 30))
+    rows = [(i, f"menu of the site\n{words(i, 'own')}\n{words(i, 'more')}") for i in range(60)]
+    rows += [(100 + i, words(0, "single")) for i in range(12)]
+    rows += [(200 + i, f"{words(0, 'first')}\n{words(0, 'second')}\n\n{words(0, 'third')}") for i in range(12)]
+    near = [words(k, "near") for k in range(12)]
+    rows += [(300 + i, "\n".join(near[i:] + near[:i])) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = corpus_pipeline.drop_boilerplate(spark, docs, SF)
+    texts, given = {r["doc_id"]: r["text"] for r in cleaned.collect()}, dict(rows)
+    assert all(texts[i] == given[i].split("\n", 1)[1] for i in range(60))
+    assert all(texts[i] == given[i] for i in given if i >= 100)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, cleaned, SF).collect()}
+    assert kept == {*range(60), 100, 200, 300}
+
+
 def test_rest_works_without_this_package():
     code = (
         "import sys, json\n"
