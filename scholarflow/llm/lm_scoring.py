@@ -4,11 +4,13 @@ A window network predicts every token from the two tokens on its left and the
 two on its right: their vectors make a hidden layer, and a softmax over classes
 names the masked one. A document's score is the sum of the log-probabilities of
 its tokens. The most frequent words of the corpus are classes of their own;
-other words share classes by their hash, and inside a class a word has its share
-of the class's count in the corpus.
+other words share classes with words of about their frequency, classes of about
+equal counts, and inside a class a word has its own share of the class's count in
+the corpus. The number of classes grows with the cube root of the vocabulary.
 
-All statistics cover the whole corpus: words are counted by a shuffled aggregate,
-and every document trains the network, in rounds. In a round each task starts
+All statistics cover the whole corpus: texts are cut into blocks with their
+distinct words, whose counts are a Spark table that the blocks' words are joined
+with, and every document trains the network, in rounds. In a round each task starts
 from the common parameters, takes gradient steps over its documents of that
 round, and the parameters are averaged, weighted by tokens.
 """
@@ -22,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .common import LOWER, byte_values, prefix_hashes, slices, span_hashes, staged, words
 
-FREQUENT, SHARED = 48, 16
-CLASSES = FREQUENT + SHARED
-# hashed words are counted in so many cells
-CELLS = 1 << 17
+# the least number of classes; three quarters of the classes are single words
+CLASSES = 64
+# a row is a block of texts, so few rows go to a Python worker at a time
+BATCH_BYTES = "8m"
 SIDE, SIZE, HIDDEN = 2, 8, 16
 BORDER = CLASSES  # the token beyond a text's ends
 ROUNDS, BATCH, RATE = 2, 4096, 1.5
@@ -41,54 +44,162 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(prefix_hashes(byte_values(data)), starts, ends), first
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each word, by its hash, occurs in the corpus."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """Runs of rows: (doc_id, draw, first, token, word, n), each an array.
+
+    ``word`` has the hashes of the block's distinct words and ``n`` their counts
+    in it; ``token`` has the place in ``word`` of each of its tokens, and ``first``
+    the first token of each row; ``draw`` is a hash of its text.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch, "text"):
-                word, n = np.unique(word_hashes(data, offsets)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+            for lo, hi, data, offsets in slices(batch, "text"):
+                hashes, first = word_hashes(data, offsets)
+                word, token, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                ids, draw = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "draw"))
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays(
+                    [one(pa.concat_arrays([ids])), one(pa.concat_arrays([draw])), one(pa.array(first.astype(np.int32))), one(pa.array(token.astype(np.int32))),
+                     one(pa.array(word.view(np.int64))), one(pa.array(n.astype(np.int64)))],
+                    names=["doc_id", "draw", "first", "token", "word", "n"],
+                )
+
+    given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("draw"))
+    schema = given.select("doc_id").schema
+    schema[0].dataType = ArrayType(schema[0].dataType)
+    for name, kind in (("draw", LongType()), ("first", IntegerType()), ("token", IntegerType()), ("word", LongType()), ("n", LongType())):
+        schema = schema.add(name, ArrayType(kind))
+    return given.mapInArrow(cut, schema)
+
 
-    found = docs.select("text").mapInArrow(count, "word long, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+def block_counts(cut: DataFrame) -> DataFrame:
+    """(word, n) over all blocks."""
+    pairs = cut.select(F.explode(F.arrays_zip("word", "n")).alias("x")).select("x.word", "x.n")
+    return pairs.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word, by its hash, occurs in the corpus."""
+    return block_counts(blocks(docs))
 
 
 @dataclass
 class Vocabulary:
-    """The frequent words, and log-shares of cells in their shared classes."""
+    """Which class a word is in, by its hash and its count, and the classes' counts.
 
-    frequent: np.ndarray  # sorted hashes
-    share: np.ndarray
+    Words that are no class of their own lie on a line by falling count, each as
+    long as its count, and equal counts by hash; the line is cut into ``shared``
+    equal parts.
+    """
 
-    def classes(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The class of each word, and its log-share in the class."""
-        cell = (word >> np.uint64(47)).astype(np.int64)
-        out, share = FREQUENT + cell % SHARED, self.share[cell]
+    frequent: np.ndarray  # sorted hashes
+    count: np.ndarray  # distinct counts of the other words, rising
+    before: np.ndarray  # tokens of the words with a higher count
+    mass: np.ndarray  # tokens of the words with that count
+    shared: int
+    used: np.ndarray | None = None  # classes that hold words
+    total: np.ndarray | None = None  # their tokens
+
+    @property
+    def size(self) -> int:
+        return max(len(self.used), 1)
+
+    def places(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The class of each word, before classes without words are left out."""
+        out = np.zeros(len(word), np.int64)
+        if len(self.count):
+            at = np.minimum(np.searchsorted(self.count, n), len(self.count) - 1)
+            where = (self.before[at] + self.mass[at] * (word / 2.0**64)) / self.mass.sum()
+            out = len(self.frequent) + np.minimum((where * self.shared).astype(np.int64), self.shared - 1)
         if len(self.frequent):
             at = np.minimum(np.searchsorted(self.frequent, word), len(self.frequent) - 1)
-            hit = self.frequent[at] == word
-            out, share = np.where(hit, at, out), np.where(hit, 0.0, share)
-        return out, share
+            out = np.where(self.frequent[at] == word, at, out)
+        return out
+
+    def classes(self, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word, and its log-share in the class."""
+        out = np.searchsorted(self.used, self.places(word, n))
+        return out, np.log(n / self.total[out])
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
-    """The most frequent words (ties by hash), and the cells' shares by add-one counts."""
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    """Classes for the words: single ones by count (ties by hash), the others by parts.
+
+    The driver gets one row per class and one per distinct count, of which a
+    corpus of T tokens has fewer than sqrt(2 T).
+    """
+    classes = max(CLASSES, int(np.ceil(counted.count() ** (1 / 3))))
+    top = counted.orderBy(F.desc("n"), "word").limit(classes * 3 // 4).collect()
     frequent = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
-    rare = counted.where(~F.col("word").isin([r["word"] for r in top]))
-    cells = rare.groupBy(F.shiftrightunsigned("word", 47).alias("cell")).agg(F.sum("n").alias("n")).toPandas()
-    n = np.ones(CELLS)
-    n[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float64)
-    total = np.bincount(np.arange(CELLS) % SHARED, n)
-    return Vocabulary(frequent, np.log(n) - np.log(total)[np.arange(CELLS) % SHARED])
+    levels = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("n")
+    count, held = levels["n"].to_numpy(np.int64), levels["words"].to_numpy(np.int64)
+    single, times = np.unique(np.array([r["n"] for r in top], np.int64), return_counts=True)
+    held[np.searchsorted(count, single)] -= times
+    count, held = count[held > 0], held[held > 0]
+    mass = (count * held).astype(np.float64)
+    known = Vocabulary(frequent, count, mass.sum() - np.cumsum(mass), mass, classes - classes * 3 // 4)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            at, where = np.unique(known.places(batch.column("word").to_numpy().view(np.uint64), n), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(where, n, len(at)))], names=["place", "n"])
 
+    placed = counted.select("word", "n").mapInArrow(place, "place long, n double").groupBy("place").agg(F.sum("n").alias("n"))
+    found = placed.toPandas().sort_values("place")
+    known.used, known.total = found["place"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    return known
 
-def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+
+def encoded(cut: DataFrame, counted: DataFrame, known: Vocabulary) -> DataFrame:
+    """(doc_id, draw, token, share) of every row: its tokens' classes, two bytes each, and
+    the sum of their log-shares.
+
+    Each block's distinct words meet their counts by a shuffled join on the word.
+    """
+    pairs = cut.select("block", F.posexplode("word").alias("at", "word"))
+    found = pairs.join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    joined = cut.select("block", "doc_id", "draw", "first", "token", "word").join(
+        found.select("block", F.col("found.at").alias("at"), F.col("found.n").alias("total")), "block", "left"
+    )
+    given = joined.select("doc_id", "draw", "first", "token", "word", "at", "total")
+    shared = cut.sparkSession.sparkContext.broadcast(known)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, draw = (batch.column(c).slice(i, 1).flatten() for c in ("doc_id", "draw"))
+                first, token, word, at, total = (
+                    batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("first", "token", "word", "at", "total")
+                )
+                n = np.empty(len(word), np.int64)
+                n[at] = total
+                group, share = shared.value.classes(word.view(np.uint64), n)
+                each = np.concatenate([[0.0], np.cumsum(share[token])])
+                values = pa.py_buffer(group.astype("<i2")[token].tobytes())
+                offsets = pa.py_buffer((2 * first.astype(np.int32)).tobytes())
+                texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, values])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, draw, texts, pa.array(np.diff(each[first]))], names=["doc_id", "draw", "token", "share"]
+                )
+
+    schema = cut.select("doc_id").schema
+    schema[0].dataType = schema[0].dataType.elementType
+    return given.mapInArrow(encode, schema.add("draw", "long").add("token", "binary").add("share", "double"))
+
+
+def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of an encoded table: (first row, end row, tokens, first token of each row)."""
+    for lo, hi, data, offsets in slices(batch, "token", 1 << 20):
+        yield lo, hi, np.frombuffer(data.tobytes(), "<i2").astype(np.int64), offsets // 2
+
+
+def contexts(token: np.ndarray, first: np.ndarray, border: int = BORDER) -> np.ndarray:
     """The tokens around each token, from left to right: (tokens, 2 * SIDE)."""
     lengths = np.diff(first)
     at = np.arange(len(token)) + SIDE * (2 * np.repeat(np.arange(len(lengths)), lengths) + 1)
-    padded = np.full(len(token) + 2 * SIDE * len(lengths), BORDER)
+    padded = np.full(len(token) + 2 * SIDE * len(lengths), border)
     padded[at] = token
     return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
 
@@ -96,25 +207,27 @@ def contexts(token: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Network:
     """One hidden layer between the vectors of a context and the class in its middle."""
 
-    SHAPES = {
-        "E": (CLASSES + 1, SIZE), "W": (2 * SIDE * SIZE, HIDDEN), "b": (HIDDEN,), "O": (HIDDEN, CLASSES), "c": (CLASSES,),
-    }
+    @staticmethod
+    def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+        return {
+            "E": (classes + 1, SIZE), "W": (2 * SIDE * SIZE, HIDDEN), "b": (HIDDEN,), "O": (HIDDEN, classes), "c": (classes,),
+        }
 
-    def __init__(self, flat: np.ndarray):
-        self.p, at = {}, 0
-        for name, shape in self.SHAPES.items():
+    def __init__(self, flat: np.ndarray, classes: int = CLASSES):
+        self.p, self.classes, at = {}, classes, 0
+        for name, shape in self.shapes(classes).items():
             n = int(np.prod(shape))
             self.p[name] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
 
     @classmethod
-    def initial(cls, seed: int = 11) -> np.ndarray:
+    def initial(cls, classes: int = CLASSES, seed: int = 11) -> np.ndarray:
         rng = np.random.default_rng(seed)
         scale = {"E": 0.3, "W": (2 * SIDE * SIZE) ** -0.5, "b": 0.0, "O": HIDDEN**-0.5, "c": 0.0}
-        return np.concatenate([scale[k] * rng.standard_normal(int(np.prod(s))) for k, s in cls.SHAPES.items()])
+        return np.concatenate([scale[k] * rng.standard_normal(int(np.prod(s))) for k, s in cls.shapes(classes).items()])
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.SHAPES]).astype(np.float64)
+        return np.concatenate([self.p[k].ravel() for k in self.p]).astype(np.float64)
 
     def _run(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = self.p["E"][context].reshape(len(context), -1)
@@ -144,7 +257,7 @@ class Network:
         dh = (prob @ self.p["O"].T) * (1 - h * h)
         dx = (dh @ self.p["W"].T).reshape(-1, SIZE)
         where = context.ravel()
-        dE = np.stack([np.bincount(where, dx[:, k], CLASSES + 1) for k in range(SIZE)], axis=1)
+        dE = np.stack([np.bincount(where, dx[:, k], self.classes + 1) for k in range(SIZE)], axis=1)
         return loss, {"E": dE, "W": x.T @ dh, "b": dh.sum(0), "O": h.T @ prob, "c": prob.sum(0)}
 
     def learn(self, context: np.ndarray, token: np.ndarray, memory: dict[str, np.ndarray]) -> None:
@@ -155,7 +268,7 @@ class Network:
             v -= (0.1 * RATE * g[k] / (np.sqrt(memory[k]) + 1e-8)).astype(np.float32)
 
 
-def _round(docs: DataFrame, known, start: np.ndarray) -> np.ndarray:
+def _round(docs: DataFrame, classes: int, start: np.ndarray) -> np.ndarray:
     """The average of the tasks' parameters after one pass over ``docs``.
 
     Each task gives one row per parameter block; sums are aggregated by Spark, so
@@ -165,12 +278,10 @@ def _round(docs: DataFrame, known, start: np.ndarray) -> np.ndarray:
     shared = spark.sparkContext.broadcast(start)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, memory, seen = Network(shared.value), {}, 0
+        net, memory, seen = Network(shared.value, classes), {}, 0
         for batch in batches:
-            for _, _, data, offsets in slices(batch, "text"):
-                hashes, first = word_hashes(data, offsets)
-                token = known.value.classes(hashes)[0]
-                around = contexts(token, first)
+            for _, _, token, first in _tokens(batch):
+                around = contexts(token, first, classes)
                 order = np.random.default_rng(len(token)).permutation(len(token))
                 for i in range(0, len(order), BATCH):
                     pick = order[i : i + BATCH]
@@ -182,23 +293,25 @@ def _round(docs: DataFrame, known, start: np.ndarray) -> np.ndarray:
                 [pa.array(np.arange(len(values) + 1)), pa.array(np.append(values, seen))], names=["at", "value"]
             )
 
-    sums = docs.select("text").mapInArrow(local, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    sums = docs.select("token").mapInArrow(local, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
     rows = sums.toPandas().sort_values("at")["value"].to_numpy()
     return rows[:-1] / rows[-1] if len(rows) else start
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and parameters from all texts of ``docs``.
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary, np.ndarray]:
+    """The encoded rows of ``docs``, the vocabulary and the parameters from all of them.
 
     A document takes part in the round that a hash of its text names.
     """
-    known = vocabulary(staged(counts(docs)))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    params = Network.initial()
+    cut = staged(blocks(docs).withColumn("block", F.monotonically_increasing_id()))
+    counted = staged(block_counts(cut))
+    known = vocabulary(counted)
+    rows = staged(encoded(cut, counted, known), BATCH_BYTES)
+    params = Network.initial(known.size)
     for k in range(rounds):
-        turn = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(rounds)) == k)
-        params = _round(turn, shared, params)
-    return known, params
+        turn = rows.where(F.pmod("draw", F.lit(rounds)) == k)
+        params = _round(turn, known.size, params)
+    return rows, known, params
 
 
 def lm_scores(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
@@ -210,24 +323,22 @@ def lm_scores(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     tokens and 0 in both. Repeated rows are scored one by one, and count as often
     as they come. Other columns are not read.
     """
-    known, params = fit(docs, rounds)
-    given = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast((known, params))
+    rows, known, params = fit(docs, rounds)
+    classes = known.size
+    shared = docs.sparkSession.sparkContext.broadcast(params)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_known, flat = shared.value
-        net = Network(flat)
+        net = Network(shared.value, classes)
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in slices(batch, "text"):
-                hashes, first = word_hashes(data, offsets)
-                token, share = words_known.classes(hashes)
-                each = np.concatenate([[0.0], np.cumsum(net.log_probabilities(contexts(token, first), token) + share)])
-                n[lo:hi], total[lo:hi] = np.diff(first), np.diff(each[first])
+            n, total = np.zeros(batch.num_rows, np.int64), batch.column("share").to_numpy().copy()
+            for lo, hi, token, first in _tokens(batch):
+                each = np.concatenate([[0.0], np.cumsum(net.log_probabilities(contexts(token, first, classes), token))])
+                n[lo:hi] = np.diff(first)
+                total[lo:hi] += np.diff(each[first])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))],
                 names=["doc_id", "n_tokens", "log_likelihood", "per_token"],
             )
 
-    schema = given.select("doc_id").schema.add("n_tokens", "long").add("log_likelihood", "double").add("per_token", "double")
-    return given.mapInArrow(score, schema)
+    schema = rows.select("doc_id").schema.add("n_tokens", "long").add("log_likelihood", "double").add("per_token", "double")
+    return rows.mapInArrow(score, schema)

@@ -332,6 +332,15 @@ def test_word_counts(spark):
     assert sorted(r["n"] for r in lm_scoring.counts(docs).collect()) == [2, 3]
 
 
+def test_probabilities_of_all_words_sum_to_one(spark):
+    """One-word texts share their (empty) context, and the corpus has no other words."""
+    rows = [(10 * i + k, f"w{i}") for i in range(3000) for k in range(1 + (i % 7 == 0) + 6 * (i % 100 == 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.lm_scores(docs).collect()}
+    assert len(found) == len(rows)
+    assert sum(np.exp(found[10 * i]) for i in range(3000)) == pytest.approx(1, abs=1e-3)
+
+
 # the pipeline
 
 
