@@ -1,11 +1,9 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
-
-Suffixes of the documents' word sequences are split by prefix into groups of
-bounded size; a prefix that too many different suffixes share is lengthened, up
-to the whole window. Each group's suffixes are sorted; neighbours that agree in
-``window`` words hang below one deep internal node of the group's tree, a
-repeat, and the node knows the smallest document among its leaves. ``repeats``
-deals the suffixes out.
+"""Substring dedup by anchored windows of words.
+
+No suffix tree is built. ``repeats`` names each window by an anchor gram and
+brings windows that may be equal into groups of bounded size. In a group,
+windows get ranks that are equal where all ``window`` words agree; a rank of
+several windows is a repeat, and its smallest document keeps it.
 """
 
 from __future__ import annotations

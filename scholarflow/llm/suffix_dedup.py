@@ -1,14 +1,13 @@
-"""Removing repeated byte strings by longest-previous-factor arrays.
+"""Removing repeated byte strings by anchored windows of bytes.
 
-In suffix order, suffixes that share a prefix are neighbours. Of a run of
-suffixes that agree in ``window`` bytes, the one before, in order of position,
-is the previous smaller position: the suffix has an earlier match of that length
-(its longest previous factor reaches the window), and the one after it tells of
-a later match. A byte goes if a window that covers it has an earlier match, or,
-where no copy is to stay, a match at all.
+No array of longest previous factors is built. Windows get ranks that are equal
+where all ``window`` bytes agree; an equal rank before a window, in order of
+position, is an earlier match, and one after it a later match. A byte goes if a
+window that covers it has an earlier match, or, where no copy is to stay, a match
+at all.
 
-Suffixes are sorted in groups of bounded size; ``repeats`` deals them out so that
-windows of equal content always meet.
+Ranks are taken in groups of bounded size; ``repeats`` deals the windows out so
+that windows of equal content always meet.
 """
 
 from __future__ import annotations
