@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, fingerprints, language_id, line_dedup, lm_scoring, minhash, packing, substring_dedup, suffix_dedup,
-    toxicity,
+    conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, minhash, packing,
+    substring_dedup, suffix_dedup, toxicity,
 )
+from .common import staged
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = conversation_repair.damaged(given)
+    found = staged(conversation_repair.repairs(rows)).withColumnRenamed("conv_id", "_id")
+    hashes = conversation_repair.digests(conversation_repair.repaired_rows(rows, found.withColumnRenamed("_id", "conv_id")))
+    hashes = hashes.withColumnRenamed("conv_id", "_hash_id")
+    every = given.select("conv_id").distinct()
+    every = every.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left").join(
+        hashes, F.col("conv_id").eqNullSafe(F.col("_hash_id")), "left"
+    )
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -79,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -190,5 +210,80 @@ SELECT doc_id, item_id, max(common::DOUBLE / (2 * length - common)::DOUBLE) AS s
        arg_max(s, (common * 1000000000 - s)) AS start, arg_max(m, (common * 1000000000 - s)) AS n_words
 FROM scored WHERE 100 * common >= 80 * (2 * length - common)
 GROUP BY doc_id, item_id
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+),
+coded AS (
+  SELECT *, xor(list_reduce(
+           list_concat([4294967295::BIGINT], [unicode(c)::BIGINT for c in string_split(name, '')]),
+           lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                    lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS code
+  FROM named
+),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM coded WHERE code <> 0
+),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM rows
+),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS initial, i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS later,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM ordered
+),
+follow(q, x) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+name_of(x, n) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+moves AS (
+  SELECT q, q AS r, 'D' AS edit FROM (VALUES (''), ('s'), ('u'), ('a')) t(q)
+  UNION ALL SELECT q, x, 'K' FROM follow
+  UNION ALL SELECT q, x, 'R' FROM follow WHERE x <> 's'
+),
+inserted AS (
+  SELECT q, q AS r, 0 AS k, []::VARCHAR[] AS lines FROM (VALUES (''), ('s'), ('u'), ('a')) t(q)
+  UNION ALL
+  SELECT i.q, f.x, k + 1, list_append(lines, n || ':')
+  FROM inserted i JOIN follow f ON i.r = f.q JOIN name_of o ON o.x = f.x WHERE k < 2
+),
+best AS (
+  SELECT c.conv_id, 0::BIGINT AS i, r AS q, {'cost': 3 * k::BIGINT, 'audit': repeat('I', k), 'lines': lines} AS least
+  FROM (SELECT DISTINCT conv_id FROM conversations) c, inserted WHERE q = ''
+  UNION ALL
+  SELECT b.conv_id, p.i, n.r, min({
+    'cost': b.least.cost + 3 * n.k + CASE edit WHEN 'D' THEN 4 ELSE (edit = 'R')::INT * 3 + cut::INT * 3 END,
+    'audit': b.least.audit || edit || repeat('I', n.k),
+    'lines': list_concat(b.least.lines, CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+                         ELSE [o.n || ':' || text] END, n.lines)})
+  FROM best b JOIN placed p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.i = b.i + 1
+  JOIN moves m ON m.q = b.q AND (edit = 'D' OR (NOT blank AND NOT later AND (edit = 'R' OR m.r = initial)))
+  JOIN inserted n ON n.q = m.r LEFT JOIN name_of o ON o.x = m.r
+  GROUP BY b.conv_id, p.i, n.r
+),
+counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND later) AS duplicate,
+         count(*) FILTER (NOT blank AND NOT later AND cut) AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed)
+  GROUP BY conv_id
+),
+ends AS (
+  SELECT b.conv_id, min(least) AS least
+  FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+  WHERE b.i = coalesce(c.n, 0) AND b.q IN ('', 'a') GROUP BY b.conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, least.cost::BIGINT AS cost, least.audit AS audit,
+       sha256(array_to_string(least.lines, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """,
 }
