@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, minhash, packing,
-    substring_dedup, suffix_dedup, toxicity,
+    source_audit, substring_dedup, suffix_dedup, toxicity,
 )
 from .common import staged
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(_documents(spark, sf_dir), min_docs=3, top=200)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = conversation_repair.damaged(given)
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -210,6 +215,47 @@ SELECT doc_id, item_id, max(common::DOUBLE / (2 * length - common)::DOUBLE) AS s
        arg_max(s, (common * 1000000000 - s)) AS start, arg_max(m, (common * 1000000000 - s)) AS n_words
 FROM scored WHERE 100 * common >= 80 * (2 * length - common)
 GROUP BY doc_id, item_id
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+),
+token AS (SELECT lang, source, row, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS c FROM token GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+held AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM token GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c, k.c AS lang_c
+  FROM grp g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+),
+size AS (SELECT lang, source, sum(c) AS n, count(*) AS v, sum(lang_c) AS lang_n FROM cell GROUP BY lang, source),
+share AS (
+  SELECT lang, source, term, c, 1 + (1000000000 * (c + 1)) // (n + v) AS p,
+         1 + (1000000000 * (lang_c + 1)) // (lang_n + v) AS q
+  FROM cell JOIN size USING (lang, source)
+),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM share WHERE c > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
     "op13_conversation_repair": r"""
 WITH RECURSIVE named AS (
