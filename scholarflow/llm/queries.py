@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    conversation_repair, decontaminate, fingerprints, language_id, line_dedup, lm_scoring, minhash, packing,
-    source_audit, substring_dedup, suffix_dedup, toxicity,
+    conversation_repair, decontaminate, embedding_join, fingerprints, language_id, line_dedup, lm_scoring, minhash,
+    packing, source_audit, substring_dedup, suffix_dedup, toxicity,
 )
 from .common import staged
 
@@ -73,6 +73,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.divergences(_documents(spark, sf_dir), min_docs=3, top=200)
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = conversation_repair.damaged(given)
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
     "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -256,6 +261,27 @@ ranked AS (
 )
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_embedding_near_dedup": """
+WITH RECURSIVE given AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+usable AS (
+  SELECT * FROM given
+  WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(x, lambda v: v <> 0)) > 0
+),
+pairs AS (
+  SELECT a.row AS a, b.row AS b FROM usable a JOIN usable b ON a.row <> b.row AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.9::DOUBLE
+),
+reach AS (
+  SELECT row AS a, row AS b FROM given
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+least_id AS (SELECT r.a, min(g.vec_id) AS component_id FROM reach r JOIN given g ON r.b = g.row GROUP BY r.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM given LEFT JOIN counts ON counts.a = given.row JOIN least_id ON least_id.a = given.row
 """,
     "op13_conversation_repair": r"""
 WITH RECURSIVE named AS (
