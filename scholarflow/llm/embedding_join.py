@@ -166,14 +166,12 @@ class _Meeting:
         self.at, self.copies = group.column("at").to_numpy(), group.column("copies").to_numpy()
         side = group.column("side").to_numpy()
         self.label, self.links = np.arange(len(side)), np.zeros(len(side), np.int64)
+        one_block = not side.any()
         for rows, raw, units in _units(group.column("vector").combine_chunks()):
             self.raw, self.units, self.rows = raw, units, rows
             self.coordinates = _projected(units, axes)
             one, two = np.flatnonzero(side[rows] == 0), np.flatnonzero(side[rows] == 1)
-            if len(two):
-                self._join(one, two)
-            else:
-                self._join(one, one)
+            self._join(one, one if one_block else two)
 
     def _far(self, one: np.ndarray, two: np.ndarray) -> bool:
         x, y = self.coordinates[one], self.coordinates[two]
