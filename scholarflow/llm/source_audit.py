@@ -205,10 +205,8 @@ def share(n: np.ndarray, total: np.ndarray, terms: np.ndarray) -> np.ndarray:
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """``share`` as a column; NULL where there are no terms and no counts."""
     whole = F.nullif(total + terms, F.lit(0))
-    q, r = _div(n + 1, whole), (n + 1) % whole
-    for _ in range(3):
-        q, r = q * 1000 + _div(r * 1000, whole), (r * 1000) % whole
-    return q + 1
+    large = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
+    return F.when(n < SCALE, _div((n + 1) * SCALE, whole)).otherwise(_div(large, whole.cast("decimal(20,0)"))) + 1
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -221,6 +221,13 @@ def test_shares_beyond_64_bits():
     assert source_audit.share(n, total, terms)[0] == 1 + 10**9 * (4 * 10**14 + 1) // (9 * 10**14 + 10**9)
 
 
+def test_shares_as_columns(spark):
+    rows = [(0, 5, 7), (10**9 - 1, 10**10, 3), (10**9, 10**10, 3), (4 * 10**14, 9 * 10**14, 10**9), (0, 0, 0)]
+    df = spark.createDataFrame(rows, "n long, total long, terms long")
+    got = [r[0] for r in df.select(source_audit._share(*map(df.__getitem__, df.columns))).collect()]
+    assert got == [1 + 10**9 * (n + 1) // (t + v) if t + v else None for n, t, v in rows]
+
+
 def test_large_chunks_are_halved(monkeypatch):
     monkeypatch.setattr(source_audit, "WORDS", 40)
     rng = np.random.default_rng(1)
