@@ -189,7 +189,7 @@ def unescape_html(c: Column | str, entities: dict[str, int] | None = None) -> Co
     """Resolve named and numeric character references in one pass.
 
     ``entities`` maps names to code points; the default is the standard
-    library's HTML 4 table. Unknown names stay as they are.
+    library's HTML 5 table. Unknown names stay as they are.
     """
     return on(c, lambda x: unescape_sql(x, entities))
 

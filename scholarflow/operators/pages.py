@@ -1,10 +1,10 @@
 """Publisher pages to tables: sections, figures, links, references, Markdown.
 
-A page is cut at its container tags (``div`` and the like) into pieces. Windows
-over one small row per piece rebuild the nesting; the text itself takes no part
-in them. A second look at the pages attributes every piece of text to its
-container by array position and renders it, with all link targets of the page
-at hand, so links that point forward need no second conversion.
+A page is cut at its container tags (``div`` and the like) into pieces, and a pass
+over them with a stack of open containers rebuilds the nesting inside the page's
+row; it sees one whole number per piece. Every piece of text is then rendered in place, with all link targets of the
+page at hand, so links that point forward need no second conversion. Only
+reference lists, whose entries are small, are nested by windows over rows.
 
 ``page_id`` must be unique: all rows of one page come from one input row, so no
 group is larger than a page.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,10 @@ class PageLayout:
     def tags(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(t for b in self.boxes for t in b.tags))
 
+    @property
+    def kinds(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys(b.kind for b in self.boxes))
+
     @property
     def cut_tags(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(self.tags + LIST_TAGS))
@@ -72,9 +77,16 @@ REFERENCES = PageLayout(
     )
 )
 PARSE_FAILURE = "Figure could not be parsed."
+# kinds of boxes with a meaning of their own: section, header box, figure, its image and caption
+FIXED_KINDS = ("section", "header", "figure", "img-wrap", "figcaption")
 # ----------------------------------------------------------------------------
 
 
+# what a piece's code is made of: places of cut tags, and kinds of boxes, are below these
+PLACES, KINDS = 64, 32
+BOX = ("at", "kind", "no", "parent", "best", "image", "caption", "asked")
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
     """(page_id, pos, token): every character of a page in exactly one token."""
     tokens = H.find_all("html", H.TOKEN_PATTERN)
@@ -175,87 +187,182 @@ def _nesting(tagged: DataFrame, layout: PageLayout) -> DataFrame:
     )
 
 
-def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
-    """One row per piece with its nesting, and, on the rows that open a section
-    or a figure, what the mark-up says about it.
-
-    The mark-up is reduced to headings, image and caption fields before the
-    shuffle. No joins: a heading, image or caption is repeated for every
-    container around it and reaches the opening row through windows clustered
-    by page. Sections and figures accept the result as ``outlined``, so that a
-    stored outline serves both.
-    """
-    pages = _with_ids(pages)
-    link = H.find("body", rf"(?is)<a(?:\s{H.REST})?>(?:.*?</a\s*>)?")
-    image = H.find("link_", rf"(?is)<img(?:\s{H.REST})?>")
-    title = H.first_element("body", "b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?title[\s\"'>]")
-    second = X.unescape_sql(f"try_element_at({H.inline_tokens('body')}, 2)")
+def _marks(layout: PageLayout) -> str:
+    """Struct of what nesting needs of the piece ``piece_``: ``code``, which ``nest`` reads,
+    and the heading, image, caption and id that a container takes from it. Of
+    the piece's headings the first of the lowest level counts."""
+    kinds = []
+    for box in layout.boxes:
+        match = f"tag_ in ({H.listed(box.tags)})"
+        if box.classes:
+            match += f" and arrays_overlap(classes_, array({H.listed(box.classes)}))"
+        kinds.append(f"when {match} then {X.sql_text(box.kind)}")
+    classes = f"split(coalesce({H.attribute('head_', 'class', plain=True)}, ''), '\\\\s+')"
+    kind = X.sql_bind(classes, "classes_", f"case {' '.join(kinds)} end")
+    move = "case when head_ = '' or endswith(head_, '/>') then 0 when startswith(head_, '</') then -1 else 1 end"
+    low, high = layout.heading_levels
+    first, last = layout.trigger_levels
     heading = (
         "struct(cast(substr(g_, 3, 1) as int) as level, "
         f"{X.strip_sql(H.plain_text('g_'))} as title, "
         f"{H.has_class(H.attribute('g_', 'class', plain=True), 'header')} as marked)"
     )
-    reduced = _tagged(
-        _pieces(pages, layout), layout,
-        f"if(body rlike '(?i)<h[1-6][\\\\s>]', transform({H.find_all('body', H.HEADING_PATTERN)}, "
-        f"g_ -> {heading}), null) as headings",
-        "if(kind = 'img-wrap', "
-        + X.sql_bind(link, "link_", X.sql_bind(image, "img_", (
-            f"struct(coalesce({H.attribute('link_', 'href')}, '') as href, img_ <> '' as has_image, "
-            f"if(img_ = '', '', replace(coalesce({H.attribute('img_', 'alt')}, 'Image'), '\n', '')) as alt)"
-        ))) + ", null) as image",
-        "if(kind = 'figcaption', "
+    headings = f"if(body_ rlike '(?i)<h[1-6][\\\\s>]', transform({H.find_all('body_', H.HEADING_PATTERN)}, g_ -> {heading}), null)"
+    best = (
+        f"array_min(transform(filter(headings_, h_ -> h_.level between {low} and {high}), "
+        "(h_, i_) -> struct(h_.level as level, i_ as i, h_.title as title)))"
+    )
+    asks = f"exists(headings_, h_ -> h_.marked or h_.level between {first} and {last})"
+    link = H.find("body_", rf"(?is)<a(?:\s{H.REST})?>(?:.*?</a\s*>)?")
+    image = X.sql_bind(link, "link_", X.sql_bind(H.find("link_", rf"(?is)<img(?:\s{H.REST})?>"), "img_", (
+        f"struct(coalesce({H.attribute('link_', 'href')}, '') as href, img_ <> '' as has_image, "
+        f"if(img_ = '', '', replace(coalesce({H.attribute('img_', 'alt')}, 'Image'), '\n', '')) as alt)"
+    )))
+    title = H.first_element("body_", "b", r"class\s*=\s*[\"']?(?:[^\"'>]*\s)?title[\s\"'>]")
+    second = X.unescape_sql(f"try_element_at({H.inline_tokens('body_')}, 2)")
+    caption = (
         f"struct(coalesce({H.compact_text(title)}, '') as title, "
-        f"coalesce({H.compact_text(H.first_element('body', 'p'))}, {second}, '') as text), null) as caption",
-        f"if(kind is null, null, {H.attribute('head', 'id')}) as id",
-    )
-    low, high = layout.heading_levels
-    first, last = layout.trigger_levels
-    asks = (
-        "case when level_no = box_depth and box.kind = 'section' and box.depth = depth then "
-        f"coalesce(exists(headings, h_ -> h_.marked or h_.level between {first} and {last}), false) "
-        "when level_no = box_depth - 1 and kind = 'header' and up.kind = 'section' "
-        "then up.depth + 1 = depth else false end"
-    )
-    inside = "over (partition by page_id, level_no, around)"
-    in_figure = "up.kind = 'figure' and level_no = box_depth - 1"
-    return (
-        _nesting(reduced, layout)
-        .selectExpr(
-            "*",
-            "explode(if(box_depth > 0 and (kind is not null or headings is not null), "
-            "sequence(1, box_depth), array(box_depth))) as level_no",
-        )
-        # the container that is open at this level
-        .selectExpr(
-            "*",
-            "last(if(kind is not null and level_no = box_depth, seg, null)) ignore nulls over "
-            "(partition by page_id, level_no order by seg) as around",
-        )
-        .selectExpr(
-            "*",
-            f"min(array_min(transform(filter(headings, h_ -> h_.level between {low} and {high}), "
-            f"(h_, i_) -> struct(h_.level, seg, i_, h_.title)))) {inside} as best",
-            f"max({asks}) {inside} as asked",
-            f"min(if({in_figure} and image is not null, struct(seg, image), null)) {inside} as img",
-            f"min(if({in_figure} and caption is not null, struct(seg, caption), null)) {inside} as cap",
-        )
-        .where("level_no = box_depth")
-        .drop("headings", "image", "caption", "level_no", "around", "tag", "move")
-        .selectExpr(
-            "* except (best, asked, img, cap, id)",
-            "if(kind = 'section', struct(box.no - 1 as ordinal, if(up.kind = 'section', up.no - 1, null) "
-            "as parent_ordinal, if(asked, best.level, null) as level, "
-            "if(asked, coalesce(best.title, ''), '') as title, "
-            "if(asked and best is not null, coalesce(id, ''), '') as section_id), null) as head",
-            "if(kind = 'figure' and img is not null and cap is not null, struct(img.image.href, "
-            "img.image.alt, cap.caption.title, cap.caption.text, "
-            "if(img.image.has_image, id, '') as data_fig_id), null) as fig",
+        f"coalesce({H.compact_text(H.first_element('body_', 'p'))}, {second}, '') as text)"
+    )
+    kind_no = f"cast(array_position(array({H.listed(layout.kinds)}), kind_) as int)"
+    code = (
+        f"place_ + {PLACES} * (move_ + 1 + 3 * (coalesce({kind_no}, 0) + {KINDS} * ("
+        "coalesce(best_.level, 0) + 8 * cast(coalesce(asks_, false) as int))))"
+    )
+    fields = X.sql_bind(headings, "headings_", X.sql_bind(best, "best_", X.sql_bind(asks, "asks_", (
+        f"struct({code} as code, best_.level as level, best_.title as title, if(kind_ = 'img-wrap', {image}, null) as image, "
+        f"if(kind_ = 'figcaption', {caption}, null) as caption, if(kind_ is null, null, {H.attribute('head_', 'id')}) as id)"
+    ))))
+    place = f"coalesce(cast(array_position(array({H.listed(layout.cut_tags)}), tag_) as int), 0)"
+    out = X.sql_bind(f"if(move_ = 1, {kind}, null)", "kind_", fields)
+    for value, name in (
+        ("substr(piece_, length(head_) + 1)", "body_"), (move, "move_"), (place, "place_"), (H.tag_name("head_"), "tag_"),
+        (H.leading_tag("piece_", layout.cut_tags), "head_"),
+    ):
+        out = X.sql_bind(value, name, out)
+    return out
+
+
+def nest(codes: list[int], layout: PageLayout) -> tuple[list[int], list[int], list[tuple[int, ...]]]:
+    """(owner, place) of each piece and all containers, by a stack of the open ones.
+
+    A closing tag closes the last open element of its name; if that is a
+    container, the innermost one leaves the stack. owner is the piece that opens
+    the section which the text belongs to, -1 for none. place is the number of the outermost
+    open list's tag, plus 4 if the piece ends that list, plus 8 times the number
+    of the figure that the piece opens. A container is (piece, kind, number,
+    number of the section right around it, pieces of its best heading, image and
+    caption, asked); numbers count from 1 per kind, 0 and -1 stand for none.
+    """
+    kinds = layout.kinds
+    section, header, figure, wrap, caption = (kinds.index(k) + 1 if k in kinds else -1 for k in FIXED_KINDS)
+    lists = {layout.cut_tags.index(t) + 1: i for i, t in enumerate(LIST_TAGS, 1)}
+    owners, places, boxes = [], [], []
+    stack: list[list[int]] = []  # kind, piece, number, depth, index among boxes, level of the best heading
+    opened: list[list[bool]] = [[] for _ in range(PLACES)]
+    numbers = [0] * (KINDS + 1)
+    depth = list_depth = list_open = 0
+    for at, code in enumerate(codes):
+        code, place = divmod(code, PLACES)
+        code, move = divmod(code, 3)
+        code, kind = divmod(code, KINDS)
+        asks, level = divmod(code, 8)
+        move -= 1
+        ends = 0
+        depth += move
+        if place in lists and list_depth + move >= 0:  # a stray end of a list is none
+            list_depth += move
+            if move == 1 and list_depth == 1:
+                list_open = lists[place]
+            ends = 4 if move == -1 and list_depth == 0 else 0
+        up = stack[-1] if stack else None
+        if move == 1:
+            opened[place].append(kind > 0)
+        elif move == -1 and opened[place] and opened[place].pop() and stack:
+            stack.pop()
+        if kind:
+            numbers[kind] += 1
+            parent = up[2] if up and up[0] == section else 0
+            stack.append([kind, at, numbers[kind], depth, len(boxes), 8])
+            boxes.append([at, kind, numbers[kind], parent, -1, -1, -1, 0])
+            if up and up[0] == section and kind == header and up[3] + 1 == depth:
+                boxes[up[4]][7] = 1  # a header box right below
+            for what, slot in ((wrap, 5), (caption, 6)):
+                if up and up[0] == figure and kind == what and boxes[up[4]][slot] < 0:
+                    boxes[up[4]][slot] = at
+        top = stack[-1] if stack else None
+        if level:
+            for box in stack:
+                if level < box[5]:
+                    box[5], boxes[box[4]][4] = level, at
+        if asks and top and top[0] == section and top[3] == depth:
+            boxes[top[4]][7] = 1
+        opens = kind == figure and kind > 0
+        owner = top if top and top[0] == section else up if opens and up and up[0] == section else None
+        owners.append(owner[1] if owner else -1)
+        places.append((list_open if list_depth > 0 else 0) + ends + (8 * numbers[kind] if opens else 0))
+    return owners, places, [tuple(b) for b in boxes]
+
+
+_NESTED = (
+    "owners array<int>, places array<int>, boxes array<struct<at:int,kind:int,no:int,parent:int,best:int,image:int,"
+    "caption:int,asked:int>>"
+)
+
+
+def _nesting_udf(layout: PageLayout):
+    """``nest`` over a column of codes: whole numbers go to Python, no text."""
+
+    @F.arrow_udf(_NESTED)
+    def nested(codes: pa.Array) -> pa.Array:
+        owners, places, boxes = [], [], []
+        for page in codes.to_pylist():
+            found = nest(page, layout) if page is not None else (None, None, None)
+            owners.append(found[0])
+            places.append(found[1])
+            boxes.append(found[2] and [dict(zip(BOX, b)) for b in found[2]])
+        ints = pa.list_(pa.int32())
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in BOX]))
+        return pa.StructArray.from_arrays(
+            [pa.array(owners, ints), pa.array(places, ints), pa.array(boxes, kind)], names=["owners", "places", "boxes"]
         )
+
+    return nested
+
+
+def outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
+    """One row per page: its ids, the pieces, a slot for each piece, its sections and figures.
+
+    ``cut`` is the page cut before its container tags; ``owners`` and ``places`` tell of each
+    piece what ``nest`` says. ``heads`` are the
+    sections and ``figs`` the figures in page order, with what the mark-up says
+    about them; a figure without image or caption has no data. All of it stays
+    in the page's row: no shuffle, no sort of rows. Sections and figures accept the
+    result as ``outlined``, so that a stored outline serves both.
+    """
+    cut = H.split_at(H.clean("html"), layout.cut_tags)
+    head = (
+        "struct(b_.at as seg, b_.no - 1 as ordinal, if(b_.parent > 0, b_.parent - 1, null) as parent_ordinal, "
+        "if(b_.asked = 1 and b_.best >= 0, marks[b_.best].level, null) as level, "
+        "if(b_.asked = 1 and b_.best >= 0, coalesce(marks[b_.best].title, ''), '') as title, "
+        "if(b_.asked = 1 and b_.best >= 0, coalesce(marks[b_.at].id, ''), '') as section_id)"
+    )
+    anchor = "if(i_.has_image, marks[b_.at].id, '')"
+    data = X.sql_bind("marks[b_.image].image", "i_", X.sql_bind("marks[b_.caption].caption", "c_", (
+        f"struct(i_.href as href, i_.alt as alt, c_.title as title, c_.text as text, {anchor} as data_fig_id, "
+        f"concat('ieee_', coalesce(document_id, 'Unknown'), '_', coalesce({anchor}, 'None'), '.gif') as img_file_name)"
+    )))
+    figure = f"struct(b_.at as seg, if(b_.image < 0 or b_.caption < 0, null, {data}) as data)"
+    section, _, figures_, *_ = (layout.kinds.index(k) + 1 if k in layout.kinds else -1 for k in FIXED_KINDS)
+    return (
+        _with_ids(pages)
+        .selectExpr("page_id", "document_id", "semantic_id", f"{cut} as cut")
+        .selectExpr("*", f"transform(cut, (piece_, at_) -> {_marks(layout)}) as marks")
+        .withColumn("nested", _nesting_udf(layout)(F.expr("transform(marks, m_ -> m_.code)")))
         .selectExpr(
-            "*",
-            "if(fig is null, null, concat('ieee_', coalesce(document_id, 'Unknown'), '_', "
-            "coalesce(fig.data_fig_id, 'None'), '.gif')) as img_file_name",
+            "* except (marks, nested)", "nested.owners", "nested.places",
+            f"transform(filter(nested.boxes, b_ -> b_.kind = {section}), b_ -> {head}) as heads",
+            f"transform(filter(nested.boxes, b_ -> b_.kind = {figures_}), b_ -> {figure}) as figs",
             "concat('../img/', coalesce(semantic_id, 'Unknown'), '_img') as image_dir",
         )
     )
@@ -274,16 +381,13 @@ def figures(
     pages: DataFrame, layout: PageLayout = ARTICLE, *, outlined: DataFrame | None = None
 ) -> DataFrame:
     """Figure and table images of each page, in page order."""
-    rows = (outline(pages, layout) if outlined is None else outlined).where("fig is not null")
-    return rows.select(
-        "page_id",
-        F.expr("row_number() over (partition by page_id order by seg) - 1").alias("ordinal"),
-        X.image_url(F.col("fig.href")).alias("image_href"),
-        "img_file_name",
-        "fig.data_fig_id",
-        "fig.alt",
-        F.col("fig.title").alias("caption_title"),
-        F.col("fig.text").alias("caption_text"),
+    rows = outline(pages, layout) if outlined is None else outlined
+    return rows.selectExpr(
+        "page_id", "posexplode_outer(filter(figs, f_ -> f_.data is not null)) as (ordinal, fig)"
+    ).where("ordinal is not null").select(
+        "page_id", "ordinal", X.image_url(F.col("fig.data.href")).alias("image_href"), "fig.data.img_file_name",
+        "fig.data.data_fig_id", "fig.data.alt", F.col("fig.data.title").alias("caption_title"),
+        F.col("fig.data.text").alias("caption_text"),
     )
 
 
@@ -300,61 +404,33 @@ def image_manifest(figure_rows: DataFrame, directory: Column) -> DataFrame:
 
 def section_outline(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
     """Sections without their text: (page_id, ordinal, parent_ordinal, level,
-    title, section_id). Past the scan it moves tags and headings only."""
-    rows = outline(pages, layout).where("kind = 'section'")
-    return rows.selectExpr(
-        "page_id", "head.ordinal", "head.parent_ordinal", "head.level", "head.title",
-        "head.section_id",
-    )
+    title, section_id)."""
+    return outline(pages, layout).selectExpr("page_id", "inline_outer(heads)").where("seg is not null").drop("seg")
 
 
-def _page_facts(outlined: DataFrame) -> DataFrame:
-    """One row per page with a section: what rendering needs besides mark-up.
-
-    ``slots[seg]`` tells for each piece which section its text belongs to, the
-    list it stands in, the heading it opens and the figure it shows;
-    ``targets`` maps link anchors, the first use of an anchor deciding. Sizes
-    are bounded by the page.
-    """
-    slug = "concat('#', replace(lower(regexp_replace(head.title, " + X.sql_text(
+def _with_targets(outlined: DataFrame) -> DataFrame:
+    """The outlined pages with ``targets``: where links to figures
+    ('fig:<anchor>') and sections ('sec:<anchor>') lead, the first use of an
+    anchor deciding; NULL for a page without a section."""
+    slug = "concat('#', replace(lower(regexp_replace(s_.title, " + X.sql_text(
         rf"[^{X.WORD_CLASS}{X.SPACE_CLASS}-]"
     ) + ", '')), ' ', '%20'))"
-    shown = (
-        "concat('\n![', fig.alt, '](', image_dir, '/', img_file_name, ')\n\n**', fig.title, '** ', "
-        f"fig.text, '\n\n')"
-    )
-    rows = (
-        outlined.selectExpr(
-            "page_id", "seg", "kind", "list_tag", "ends_list", "head",
-            "case when box.kind = 'section' then box.seg "
-            "when kind = 'figure' and up.kind = 'section' then up.seg end as owner",
-            f"if(kind = 'figure', coalesce({shown}, {X.sql_text(chr(10) + PARSE_FAILURE + chr(10))}), null) as shown",
-            "case when fig is not null then 'fig:' || fig.data_fig_id "
-            "when kind = 'section' then 'sec:' || head.section_id end as key",
-            f"case when fig is not null then concat(image_dir, '/', img_file_name) "
-            f"when kind = 'section' then {slug} end as target",
-        )
+    links = (
+        "array_sort(filter(concat("
+        "transform(figs, f_ -> struct('fig:' || f_.data.data_fig_id as key, f_.seg as seg, "
+        "concat(image_dir, '/', f_.data.img_file_name) as target)), "
+        f"transform(heads, s_ -> struct('sec:' || s_.section_id as key, s_.seg as seg, {slug} as target))), "
+        "l_ -> l_.key is not null))"
     )
     first = "filter(links, (x, i) -> i = 0 or links[greatest(i - 1, 0)].key <> x.key)"
-    return (
-        rows.groupBy("page_id")
-        .agg(
-            F.expr("sort_array(collect_list(struct(seg, owner, list_tag, ends_list, head, shown)))").alias("slots"),
-            F.expr("sort_array(collect_list(if(key is null, null, struct(key, seg, target))))").alias("links"),
-            F.expr("bool_or(kind = 'section')").alias("has_section"),
-        )
-        .where("has_section")
-        .selectExpr(
-            "page_id", "slots",
-            f"map_from_entries(transform({first}, x -> struct(x.key, x.target))) as targets",
-        )
-    )
+    targets = X.sql_bind(links, "links", f"map_from_entries(transform({first}, x -> struct(x.key, x.target)))")
+    return outlined.selectExpr("*", f"if(size(heads) > 0, {targets}, null) as targets")
 
 
 def link_targets(pages: DataFrame, layout: PageLayout = ARTICLE) -> DataFrame:
-    """(page_id, targets): for each page with a section, where its links to
-    figures ('fig:<anchor>') and sections ('sec:<anchor>') lead."""
-    return _page_facts(outline(pages, layout)).select("page_id", "targets")
+    """(page_id, targets): where a page's links to figures ('fig:<anchor>') and
+    sections ('sec:<anchor>') lead; NULL for a page without a section."""
+    return _with_targets(outline(pages, layout)).select("page_id", "targets")
 
 
 def sections(
@@ -363,36 +439,43 @@ def sections(
     """Sections in page order with their Markdown content.
 
     (page_id, ordinal, parent_ordinal, level, title, content, section_id).
-    The page text is shuffled once, one row per page, and rendered inside that
-    row; everything after that stays in the page's partition.
+    Nothing is shuffled: a page is outlined, rendered and dealt to its sections
+    inside its row.
     """
     outlined = outline(pages, layout) if outlined is None else outlined
-    joined = pages.select("page_id", "html").join(_page_facts(outlined), "page_id")
     body = f"substr(piece_, length({H.leading_tag('piece_', layout.cut_tags)}) + 1)"
-    text = (
-        "case when slot_.owner is null then null when slot_.shown is not null then slot_.shown "
-        f"else {H.render_piece(body, 'slot_', 'targets')} end"
-    )
+    shown = X.sql_bind("figs_[slot_.figure - 1].data", "d_", (
+        "if(d_ is null, " + X.sql_text(chr(10) + PARSE_FAILURE + chr(10)) + ", "
+        "concat('\n![', d_.alt, '](', dir_, '/', d_.img_file_name, ')\n\n**', d_.title, '** ', d_.text, '\n\n'))"
+    ))
+    text = f"case when slot_.figure is not null then {shown} else {H.render_piece(body, 'slot_', 'targets_')} end"
+    tags = " ".join(f"when {i} then {X.sql_text(t)}" for i, t in enumerate(LIST_TAGS, 1))
     piece = X.sql_bind(
-        "slots[at_]", "slot_",
-        f"struct(at_ as seg, slot_.owner as owner, slot_.head as head, {text} as text)",
-    )
-    cut = H.split_at(H.clean("html"), layout.cut_tags)
-    return (
-        joined.selectExpr(
-            "page_id",
-            f"inline(filter(transform({cut}, (piece_, at_) -> {piece}), r_ -> r_.owner is not null))",
-        )
-        .groupBy("page_id", "owner")
-        .agg(
-            F.expr("array_join(transform(sort_array(collect_list(struct(seg, text))), x -> x.text), '')").alias("content"),
-            # the piece that opens the section carries its heading
-            F.max("head").alias("h"),
-        )
-        .selectExpr(
-            "page_id", "h.ordinal", "h.parent_ordinal", "h.level", "h.title", "content", "h.section_id"
-        )
-    )
+        "struct(owners_[at_] as owner, places_[at_] as place)", "at_place_",
+        X.sql_bind(
+            f"struct(at_place_.owner as owner, case at_place_.place & 3 {tags} end as list_tag, "
+            "(at_place_.place & 4) > 0 as ends_list, nullif(shiftright(at_place_.place, 3), 0) as figure)",
+            "slot_", f"if(slot_.owner < 0, null, struct(slot_.owner as owner, at_ as seg, {text} as text))",
+        ),
+    )
+    owned = f"array_sort(filter(transform(cut, (piece_, at_) -> {piece}), t_ -> t_ is not null))"
+    # every section owns its opening piece, so the runs of owners are the sections in order
+    starts = (
+        "filter(transform(owned_, (t_, i_) -> if(i_ > 0 and owned_[greatest(i_ - 1, 0)].owner = t_.owner, null, i_)), "
+        "i_ -> i_ is not null)"
+    )
+    run = "slice(owned_, starts_[i_] + 1, coalesce(get(starts_, i_ + 1), size(owned_)) - starts_[i_])"
+    row = (
+        "struct(s_.ordinal as ordinal, s_.parent_ordinal as parent_ordinal, s_.level as level, s_.title as title, "
+        f"array_join(transform({run}, t_ -> t_.text), '') as content, s_.section_id as section_id)"
+    )
+    rows = f"transform(heads, (s_, i_) -> {row})"
+    for value, name in (
+        (starts, "starts_"), (owned, "owned_"), ("owners", "owners_"), ("places", "places_"), ("targets", "targets_"), ("figs", "figs_"), ("image_dir", "dir_"),
+    ):
+        rows = X.sql_bind(value, name, rows)
+    # outer, since a filter on empty arrays would compute them once more
+    return _with_targets(outlined).selectExpr("page_id", f"inline_outer({rows})").where("ordinal is not null")
 
 
 def assemble_markdown(section_rows: DataFrame) -> DataFrame:
@@ -528,8 +611,7 @@ def references(
     """Reference lists: (page_id, ordinal, number, title, links, semantic_id).
 
     The indexes lead from DOIs and publisher ids to own ids (see ``ids``). An entry with an unusable link is kept, without an id. With ``stage``, a
-    folder on shared storage, the parsed entries are written there first, and
-    works that very many papers cite are looked up by broadcast.
+    folder on shared storage, the parsed entries are written there first.
     """
     from scholarflow.operators.ids import with_reference_ids
 
