@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -14,6 +14,18 @@ PAYLOAD_SCHEMA = (
 # ----------------------------------------------------------------------------
 
 
+def _listed() -> Column:
+    """The edges of a payload: listed under ``data``, or the payload itself."""
+    bare = F.startswith(F.ltrim("payload"), F.lit("["))
+    text = F.when(bare, F.concat(F.lit('{"data":'), "payload", F.lit("}"))).otherwise(F.col("payload"))
+    return F.from_json(text, PAYLOAD_SCHEMA)["data"]
+
+
+def asked_papers(raw: DataFrame) -> DataFrame:
+    """(paper_id, direction, n_edges) of every answer, also of those without any edge."""
+    return raw.select("paper_id", "direction", F.coalesce(F.size(_listed()), F.lit(0)).alias("n_edges"))
+
+
 def flatten_edges(raw: DataFrame) -> DataFrame:
     """Edge rows from (paper_id, direction, payload JSON).
 
@@ -21,12 +33,7 @@ def flatten_edges(raw: DataFrame) -> DataFrame:
     nested or flat, or is that list itself, as edge files hold it. A paper with
     an empty or absent list gives no row. ``ordinal`` is the place in the list.
     """
-    bare = F.startswith(F.ltrim("payload"), F.lit("["))
-    text = F.when(bare, F.concat(F.lit('{"data":'), "payload", F.lit("}"))).otherwise(F.col("payload"))
-    listed = raw.select(
-        "paper_id", "direction",
-        F.posexplode(F.from_json(text, PAYLOAD_SCHEMA)["data"]).alias("ordinal", "e"),
-    )
+    listed = raw.select("paper_id", "direction", F.posexplode(_listed()).alias("ordinal", "e"))
 
     def field(name: str):
         nested = F.when(

@@ -246,6 +246,15 @@ where org is not null and not exists (select 1 from labels where cast(doc_id as
   select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1""",
     "papers_upsert": """select d.doc_id, coalesce('q' || quality, source) as value
 from documents d left join labels l on d.doc_id = l.doc_id""",
+    "bucket_upsert": """select d.doc_id, coalesce('q' || quality, source) as value
+from documents d left join labels l on d.doc_id = l.doc_id""",
+    "latest_ingested": """select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type
+from events group by user_id""",
+    "fetch_log": f"""with {LINES}, asked as (select doc_id from documents semi join labels using (doc_id))
+select cast(doc_id as varchar) as paper_id,
+  cast(max(case when n > 1 and lang <> 'de' then n else 0 end) as int) as n_edges
+from lines semi join asked using (doc_id) group by doc_id
+union all select cast(doc_id as varchar), null from documents anti join asked using (doc_id)""",
     "id_batches": """select user_id, event_id,
   cast((row_number() over (partition by user_id order by event_id) - 1) // 25 as bigint) as batch_no from events""",
     "run_counts": f"""with {CHAPTERS},
@@ -267,6 +276,8 @@ firsts as (select * from (select *, row_number() over (partition by ieee order b
 select doc_id, cast(doc_id as varchar) as value, sid as semantic_id, org
 from documents left join firsts on ieee = cast(doc_id as varchar)""",
     "semantic_to_ieee": """select event_id, 'S' || user_id as semantic_id,
+  case when quality = 1 then cast(doc_id as varchar) end as ieee_id from events left join labels on doc_id = user_id""",
+    "stored_lookup": """select event_id, 'S' || user_id as semantic_id,
   case when quality = 1 then cast(doc_id as varchar) end as ieee_id from events left join labels on doc_id = user_id""",
     "resolve_cascade": f"{DOI_FOUND} select event_id, doi, semantic_id, is_new from found",
     "fetched_new_papers": f"{DOI_FOUND} select distinct semantic_id, doi from found where is_new",

@@ -18,6 +18,7 @@ from scholarflow.operators import views as V
 from scholarflow.plans import corpus, inputs
 from scholarflow.plans.inputs import documents, table, text_of
 from scholarflow.sources import sinks as K
+from scholarflow.sources.stores import BucketStore, FetchLog, IdIndex
 from scholarflow.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +187,24 @@ def papers_upsert(spark, sf):
     return A.upsert(old, new, ["doc_id"])
 
 
+def _folder(spark, name: str) -> str:
+    return f"{ingest.work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def bucket_upsert(spark, sf):
+    """The upsert through a table in hash buckets, which each write rewrites in part."""
+    folder = _folder(spark, "papers")
+    store = BucketStore(spark, f"{folder}/table", ("doc_id",), 16)
+    old = table(spark, sf, "documents", "doc_id", "source").withColumnRenamed("source", "value")
+    new = table(spark, sf, "labels", "doc_id", "quality").select(
+        "doc_id", F.concat(F.lit("q"), "quality").alias("value")
+    )
+    store.upsert(old, stage=f"{folder}/first")
+    store.upsert(new, stage=f"{folder}/second")
+    return store.read().select("doc_id", "value")
+
+
 @query
 def id_batches(spark, sf):
     events = table(spark, sf, "events", "user_id", "event_id")
@@ -258,6 +277,17 @@ def semantic_to_ieee(spark, sf):
     return I.semantic_to_ieee(asked, inputs.numbered_papers(spark, sf), spread=["event_id"])
 
 
+@query
+def stored_lookup(spark, sf):
+    """Own id to publisher id through a stored index, whose side is not shuffled."""
+    asked = table(spark, sf, "events", "event_id", "user_id").select(
+        "event_id", F.concat(F.lit("S"), "user_id").alias("semantic_id")
+    )
+    pairs = I.id_index(inputs.numbered_papers(spark, sf), "SEMANTIC", "IEEE")
+    name = f"ids_{uuid.uuid4().hex}"
+    return IdIndex.write(pairs, name, _folder(spark, "ids"), buckets=8).lookup(asked, "semantic_id", "ieee_id")
+
+
 def _doi_requests(spark, sf):
     return table(spark, sf, "events", "event_id", "props").select(
         "event_id", F.concat(F.lit("10.5555/d"), F.get_json_object("props", "$.k")).alias("doi")
@@ -324,6 +354,19 @@ def edges_written(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def fetch_log(spark, sf):
+    """The labelled papers are asked first; what is logged of them, and who is still to be asked."""
+    folder = _folder(spark, "fetched")
+    log = FetchLog(spark, f"{folder}/log")
+    labelled = table(spark, sf, "labels", "doc_id").select(text_of("doc_id").alias("paper_id"))
+    raw = inputs.raw_edges(spark, sf).join(labelled, "paper_id", "left_semi")
+    K.write_fetched(raw, f"{folder}/edges", log, run="1", fetched_at="2024-01-01")
+    papers = table(spark, sf, "documents", "doc_id").select(text_of("doc_id").alias("paper_id"))
+    due = A.papers_to_fetch(papers, log.asked("reference"), spread=["paper_id"])
+    return log.read().select("paper_id", "n_edges").unionByName(due, allowMissingColumns=True)
+
+
 @query
 def bibliography(spark, sf):
     cited = table(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_quantity").select(
@@ -584,6 +627,18 @@ def review_page(spark, sf):
 # --- incremental ------------------------------------------------------------------
 
 
+@query
+def latest_ingested(spark, sf):
+    """The last event of each user, by state across two runs; the second adds nothing."""
+    folder = _folder(spark, "latest")
+    store = BucketStore(spark, f"{folder}/table", ("user_id",), 8, ("event_id",))
+    schema = table(spark, sf, "events").schema
+    for n in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select("user_id", "event_id", "event_type")
+        ingest.ingest_latest(stream, store, f"{folder}/checkpoint", stage=f"{folder}/stage{n}")
+    return store.read().select("user_id", "event_id", "event_type")
+
+
 @query
 def incremental_ids(spark, sf):
     """Ids of an event stream, each stored once; a second run adds nothing."""
