@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scholarflow.functions import text as X
+from scholarflow.operators.scale import lookup_join
 
 THRESHOLD = 2000
 HEADER_NO = 0  # chapter number of the row that holds the front matter
@@ -128,6 +134,77 @@ def transform_chunks(
     return spread.mapInPandas(run, out)
 
 
+_ANSWER = "chunk string, output string, status string, tries int, error string"
+
+
+@dataclass(frozen=True)
+class AnswerStore:
+    """Answers to chunks below ``path``, by a hash of instruction and chunk.
+
+    ``instruction`` names all that decides an answer besides the chunk: the prompt, the
+    model and its settings. Stores of several instructions can share a path.
+    """
+
+    spark: SparkSession
+    path: str
+    instruction: str
+
+    def key(self, text: str) -> Column:
+        return F.sha2(F.concat(F.lit(f"{self.instruction}\0"), F.col(text)), 256)
+
+    def read(self) -> DataFrame:
+        """(chunk, output, status, tries, error), each chunk once; an answer goes before an error."""
+        try:
+            rows = self.spark.read.schema(_ANSWER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], _ANSWER)
+        rest = F.struct("output", "status", "tries", "error")
+        # the least of several answers, so that every reader sees the same
+        best = F.min_by(rest, F.struct(F.col("output").isNull(), "status", "output", "tries"))
+        return rows.groupBy("chunk").agg(best.alias("_a")).select("chunk", "_a.*")
+
+
+def transform_resumable(
+    chunks: DataFrame, make: Callable[[], Callable[[str], str]], store: AnswerStore, *,
+    min_length: int = 100, attempts: int = 3, tasks: int | None = None, waves: int = 8,
+) -> DataFrame:
+    """``transform_chunks`` that asks for nothing twice: not for equal chunks, and not after a restart.
+
+    Chunks without a stored answer are asked for in ``waves`` by their hash, and
+    each wave is stored when it ends: a run that is killed loses its unfinished
+    wave only, and the next one asks for what is missing. Errors are asked for
+    again by the next run, short answers are not. Blank chunks and front matter
+    pass unchanged and are not stored. One run at a time writes to a store.
+    """
+    is_text = F.col("text").rlike(r"\S")
+    if "chapter_no" in chunks.columns:
+        is_text &= F.col("chapter_no") != HEADER_NO
+    keyed = chunks.withColumn("chunk", F.when(is_text, store.key("text")))
+    wanted = keyed.where("chunk is not null").groupBy("chunk").agg(F.first("text").alias("text"))
+    known = store.read().where("output is not null").select("chunk")
+    wave = F.pmod(F.xxhash64("chunk"), F.lit(waves)).alias("wave")
+    todo = f"{store.path.rstrip('/')}-todo/{uuid.uuid4().hex}"
+    wanted.join(known, "chunk", "left_anti").select("chunk", "text", wave).write.partitionBy("wave").parquet(todo)
+    missing = store.spark.read.schema("chunk string, text string, wave int").parquet(todo)
+    for n in range(waves):
+        asked = transform_chunks(
+            missing.where(F.col("wave") == n).select("chunk", "text"), make, keys=["chunk"],
+            min_length=min_length, attempts=attempts, tasks=tasks,
+        )
+        asked.drop("text").write.mode("append").parquet(store.path)
+    found = lookup_join(keyed, store.read(), ["chunk"], hit="_a")
+    passed = F.col("chunk").isNull()
+    return found.select(
+        *chunks.columns,
+        F.when(passed, F.col("text")).otherwise(F.col("_a.output")).alias("output"),
+        F.when(passed, F.lit("blank")).otherwise(F.col("_a.status")).alias("status"),
+        F.when(passed, F.lit(0)).otherwise(F.col("_a.tries")).alias("tries"),
+        F.col("_a.error").alias("error"),
+    )
+
+
 def assemble(
     chunks: DataFrame, *, doc_id: str = "doc_id", text: str = "output"
 ) -> DataFrame:
@@ -207,3 +284,90 @@ def compare_structure(
     return left.join(right, doc_id, "left").withColumn(
         "same", F.coalesce(F.col("source_chapters") == F.col("output_chapters"), F.lit(False))
     )
+
+
+def common_sequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) of a longest common subsequence of two lists.
+
+    Only places of equal values are looked at, and equal ends are set aside
+    first, so the work follows the number of matches between them.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        places.setdefault(b[j], []).append(j)
+    ends: list[int] = []  # the smallest last place in b of a common subsequence of each length
+    last: list[tuple] = []
+    for i in range(head, len(a) - tail):
+        for j in places.get(a[i], ()):
+            k = bisect_left(ends, j)
+            node = (i, j, last[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                last.append(node)
+            else:
+                ends[k], last[k] = j, node
+    middle, node = [], last[-1] if last else None
+    while node:
+        middle.append((node[0], node[1]))
+        node = node[2]
+    ending = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    return [(k, k) for k in range(head)] + middle[::-1] + ending
+
+
+def align(source: list[str], output: list[str]) -> list[tuple[str, int | None, int | None]]:
+    """(status, source place, output place) of every heading of the two lists.
+
+    kept headings are a longest common subsequence. One that is left on both
+    sides has moved; else it is missing or extra.
+    """
+    kept = common_sequence(source, output)
+    mine, theirs = {i for i, _ in kept}, {j for _, j in kept}
+    spare: dict[str, list[int]] = {}
+    for j in range(len(output) - 1, -1, -1):
+        if j not in theirs:
+            spare.setdefault(output[j], []).append(j)
+    rows: list[tuple[str, int | None, int | None]] = [("kept", i, j) for i, j in kept]
+    for i in range(len(source)):
+        if i not in mine:
+            rows.append(("moved", i, spare[source[i]].pop()) if spare.get(source[i]) else ("missing", i, None))
+    rows += [("extra", None, j) for places in spare.values() for j in places]
+    return rows
+
+
+_ALIGNED = "array<struct<status:string,source_no:int,output_no:int>>"
+
+
+def align_headings(
+    source: DataFrame, output: DataFrame, *, doc_id: str = "doc_id", text: str = "markdown"
+) -> DataFrame:
+    """(doc_id, status, source_no, output_no, heading): how a transform treated the '## ' headings of a text.
+
+    kept headings are a longest common sequence of both texts; the others are
+    moved, missing or extra. Places count from 0. A source without output has all
+    its headings missing; outputs without source are left out, and so are
+    texts that are NULL. Ids are taken as unique.
+    """
+    @F.arrow_udf(_ALIGNED)
+    def aligned(a: pa.Array, b: pa.Array) -> pa.Array:
+        names = ("status", "source_no", "output_no")
+        rows = [[dict(zip(names, r)) for r in align(x or [], y or [])] for x, y in zip(a.to_pylist(), b.to_pylist())]
+        kind = pa.struct([("status", pa.string()), ("source_no", pa.int32()), ("output_no", pa.int32())])
+        return pa.array(rows, pa.list_(kind))
+
+    def headed(df: DataFrame, name: str) -> DataFrame:
+        marked = F.filter(X.chapters(X.front_matter(text)["body"]), lambda c: F.startswith(c, F.lit("##")))
+        titles = F.transform(marked, lambda c: X.strip(F.regexp_extract(c, "^##([^\n]*)", 1)))
+        return df.where(F.col(text).isNotNull()).select(doc_id, titles.alias(name))
+
+    both = headed(source, "_mine").join(headed(output, "_theirs"), doc_id, "left")
+    rows = both.select("*", aligned("_mine", "_theirs").alias("_rows"))
+    heading = F.coalesce(F.expr("get(_mine, r.source_no)"), F.expr("get(_theirs, r.output_no)"))
+    return rows.select(doc_id, "_mine", "_theirs", F.explode("_rows").alias("r")).select(
+        doc_id, "r.status", "r.source_no", "r.output_no", heading.alias("heading")
+    )

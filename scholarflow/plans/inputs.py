@@ -68,12 +68,12 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
-def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, markdown): front matter, a title, and a chapter per text line."""
+def markdown_docs(spark: SparkSession, sf_dir: str, chapters: Column | None = None) -> DataFrame:
+    """(doc_id, markdown): front matter, a title, and a chapter per text line, or per given line."""
     md = fill(
         "---\nlang: {{lang}}\nsource: {{source}}\n---\n\n# {{source}}\n\n{{body}}",
         lang=F.col("lang"), source=F.col("source"),
-        body=F.replace("text", F.lit("\n"), F.lit("\n\n## ")),
+        body=F.array_join(lines() if chapters is None else chapters, "\n\n## "),
     )
     return documents(spark, sf_dir, "lang", "source", "text").select("doc_id", md.alias("markdown"))
 

@@ -394,6 +394,11 @@ marked as (
 select doc_id, status, count(*) as n,
   cast(sum(case status when 'ok' then 1 when 'short' then 3 else 0 end) as bigint) as tries
 from marked group by doc_id, status""",
+    "transform_resumed": f"{ROUNDTRIP} select doc_id, n_chunks, markdown from result",
+    "heading_alignment": f"""with {LINES}, heads as (select doc_id, i, {strip('x')} as heading from lines where i > 0)
+select doc_id, 'kept' as status, heading, count(*) as n from heads where i <> 2 group by all
+union all select doc_id, 'missing', heading, 1 from heads where i = 2
+union all select doc_id, 'extra', 'added ' || lang, 1 from documents""",
     "compare_structure": f"""{ROUNDTRIP},
 counted as (
   select d.doc_id, len({chapter_list(BODY)}) as source_chapters,

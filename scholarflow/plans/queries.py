@@ -16,7 +16,7 @@ from scholarflow.operators import pages as P
 from scholarflow.operators import papers as A
 from scholarflow.operators import views as V
 from scholarflow.plans import corpus, inputs
-from scholarflow.plans.inputs import documents, table, text_of
+from scholarflow.plans.inputs import documents, lines, table, text_of
 from scholarflow.sources import sinks as K
 from scholarflow.sources.stores import BucketStore, FetchLog, IdIndex
 from scholarflow.streaming import ingest
@@ -582,6 +582,26 @@ def transform_retries(spark, sf):
     )
 
 
+@query
+def transform_resumed(spark, sf):
+    """The flagship with stored answers: labelled documents first, then all of them."""
+    store = C.AnswerStore(spark, f"{_folder(spark, 'answers')}/answers", "lower case")
+    docs = inputs.markdown_docs(spark, sf)
+    options = dict(threshold=PART_TOKENS, delimiter=". ", pattern=None, min_length=1, answers=store)
+    labelled = docs.join(table(spark, sf, "labels", "doc_id"), "doc_id", "left_semi")
+    corpus.transform_markdown(labelled, lambda: str.lower, **options)
+    return corpus.transform_markdown(docs, lambda: str.lower, **options)
+
+
+@query
+def heading_alignment(spark, sf):
+    """What became of the headings of texts that lost their third line and got a new last one."""
+    new = F.array(F.concat(F.lit("added "), "lang"))
+    changed = F.concat(F.slice(lines(), 1, 2), F.filter(lines(), lambda x, i: i > 2), new)
+    found = C.align_headings(inputs.markdown_docs(spark, sf), inputs.markdown_docs(spark, sf, changed))
+    return found.groupBy("doc_id", "status", "heading").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def compare_structure(spark, sf):
     docs = inputs.markdown_docs(spark, sf)
