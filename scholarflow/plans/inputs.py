@@ -109,6 +109,31 @@ def publisher_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LINK_KINDS = ("bibr", "fn", "disp-formula", "algorithm", "lemma", "theorem", "graphic", "fig", "table", "sec", "odd")
+RICH = (
+    '<div class="section" id="sec{{i}}"><div class="header"><h2>Part {{next}}</h2></div><p>{{text}}<sup>{{i}}</sup> '
+    "<monospace>m{{i}}</monospace>"
+    + "".join(
+        f' <a ref-type="{k}" anchor="{k}{{{{{"next" if k == "sec" else "i"}}}}}">{k} {{{{i}}}}</a>' for k in LINK_KINDS
+    )
+    + ' <disp-formula><span class="tex tex2jax_ignore">P_{{i}}=\nq</span></disp-formula></p>'
+    '<disp-formula><span class="tex tex2jax_ignore">E_{{i}}=\nmc</span></disp-formula>'
+    "<ol><li>one {{i}}</li><li>two<b>x</b></li></ol>"
+    '<div class="figure" id="fig{{i}}"><div class="img-wrap"><a href="/m/{{i}}.gif"><img alt="A"></a></div></div>'
+    '<div class="table" id="table{{i}}"><div class="img-wrap"><a href="/t/{{i}}.gif"><img alt="T {{i}}"></a></div>'
+    '<div class="figcaption"><b class="title">Table {{i}}</b><p>of {{doc}}</p></div></div></div>'
+)
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with numbered lists, display formulas, all kinds of links, and figures of which one has no caption."""
+    section = F.transform(lines(), lambda x, i: fill(RICH, i=i, next=i + 1, text=X.escape_html(x), doc=F.col("doc_id")))
+    return documents(spark, sf_dir, "text").select(
+        F.col("doc_id").alias("page_id"), text_of("doc_id").alias("document_id"),
+        F.concat(F.lit("S"), "doc_id").alias("semantic_id"), F.array_join(section, "").alias("html"),
+    )
+
+
 REFERENCE = (
     '<div class="reference-container"><div class="row"><div class="number col-auto"><b>{{next}}.'
     '</b></div><div class="col"><div>{{text}}</div><div class="ref-links-container">{{links}}'
@@ -283,3 +308,23 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_of("doc_id").alias("paper_id"), F.lit("reference").alias("direction"),
         payload.alias("payload"),
     )
+
+
+def raw_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper_id, direction, payload): a citation per text line. English documents nest the citing
+    paper, French ones are the bare list of flat edges, others list flat edges."""
+    paper = lambda x, i: [
+        F.concat(F.lit("P"), F.length(x)).alias("paperId"), x.alias("title"), (i + 1990).alias("year"), F.col("source").alias("venue"),
+    ]
+    told = lambda x: [
+        F.array(F.col("lang")).alias("intents"), (F.length(x) > 80).alias("isInfluential"),
+    ]
+    nested = F.transform(lines(), lambda x, i: F.struct(*told(x), F.struct(*paper(x, i)).alias("citingPaper")))
+    flat = F.transform(lines(), lambda x, i: F.struct(*told(x), *paper(x, i)))
+    payload = (
+        F.when(F.col("lang") == "en", F.to_json(F.struct(nested.alias("data"))))
+        .when(F.col("lang") == "fr", F.to_json(flat)).otherwise(F.to_json(F.struct(flat.alias("data"))))
+    )
+    return documents(spark, sf_dir, "lang", "source", "text").select(
+        text_of("doc_id").alias("paper_id"), F.lit("citation").alias("direction"), payload.alias("payload")
+    )

@@ -161,8 +161,8 @@ found as (
 # --- publisher pages ------------------------------------------------------------
 
 
-def sections_of(sid: str) -> str:
-    """Relations ``titled`` and ``sections`` (page_id, ordinal, ..) of the pages."""
+def sections_of(sid: str, rows: str = "lines") -> str:
+    """Relations ``titled`` and ``sections`` (page_id, ordinal, ..) of the pages, from lines (and their ``sid``)."""
     path = f"'../img/' || {sid} || '_img/ieee_' || doc_id || '_fig' || i || '.gif'"
     nxt = f"coalesce({slug('next_title')}, '#none')"
     main = (
@@ -177,7 +177,7 @@ def sections_of(sid: str) -> str:
     return f"""{LINES},
 titled as (
   select *, lead(title) over (partition by doc_id order by i) as next_title from (
-    select *, source || ' – ' || lang || ' (' || (i + 1) || ')' as title from lines)),
+    select *, source || ' – ' || lang || ' (' || (i + 1) || ')' as title from {rows})),
 sections as (
   select doc_id as page_id, cast(2 * i as int) as ordinal, cast(null as int) as parent_ordinal, 2 as level, title,
     {main} as content, 'sec' || i as section_id from titled
@@ -188,12 +188,23 @@ sections as (
 MARKDOWN = f"string_agg(repeat('#', level) || ' ' || title || {NL} || {NL} || content || {NL} || {NL}, '' order by ordinal)"
 OWN_SECTIONS = sections_of("'S' || doc_id")
 
+RICH_KINDS = ("bibr", "fn", "disp-formula", "algorithm", "lemma", "theorem", "graphic", "fig", "table", "sec", "odd")
+RICH_LINKS = f"""{LINES},
+each as (select doc_id, i, n, x, k, kind, '../img/S' || doc_id || '_img/ieee_' || doc_id || '_table' || i || '.gif' as path
+  from lines, (select generate_subscripts(l, 1) as k, unnest(l) as kind from (select [{', '.join(map(_q, RICH_KINDS))}] as l))),
+linked as (select doc_id, i, n, x, path, string_agg(' ' || case kind when 'odd' then 'odd ' || i else
+    '[' || kind || ' ' || i || '](' || case kind when 'fig' then 'none' when 'table' then path
+      when 'sec' then case when i + 1 < n then '#part%20' || (i + 2) else '#none' end else kind || i end || ')' end, '' order by k) as links
+  from each group by doc_id, i, n, x, path)"""
+
 KNOWN = f"""{CASCADE},
 resolved as (
   select d.doc_id, coalesce(local, fetched) as sid from documents d
   left join local l on l.k = cast(d.doc_id as varchar) left join fetched f on f.k = cast(d.doc_id as varchar)
   where coalesce(local, fetched) is not null)"""
 
+KNOWN_SECTIONS = sections_of("sid", "lines join resolved using (doc_id)")
+
 # --- web pages --------------------------------------------------------------------
 
 _nav = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a[^>]*>(.*?)</a>', 1)"
@@ -293,6 +304,9 @@ from asked left join own using (k) left join dois using (k) left join local usin
   'P' || length(x) as other_id, x as title, cast(1990 + i as int) as year, source as venue,
   lang || ',background' as intents, length(x) > 80 as is_influential, cast(i as int) as ordinal
 from lines where n > 1 and lang <> 'de'""",
+    "citations_flat": f"""with {LINES} select cast(doc_id as varchar) as paper_id, 'citation' as direction,
+  'P' || length(x) as other_id, x as title, cast(1990 + i as int) as year, source as venue,
+  lang as intents, length(x) > 80 as is_influential, cast(i as int) as ordinal from lines""",
     "edges_written": f"""with {LINES} select cast(doc_id as varchar) as paper_id, 'reference' as direction,
   'P' || length(x) as other_id, x as title, cast(1990 + i as int) as year, source as venue,
   lang || ',background' as intents, length(x) > 80 as is_influential, cast(i as int) as ordinal
@@ -328,9 +342,20 @@ counted as (select page_id, name, count(*) filter (move >= 0) as opened, sum(mov
 select page_id, 'tag' as kind, name, opened as n from counted where opened > 0 and name not in ({', '.join(map(_q, _known_tags))})
 union all select page_id, 'unbalanced', name, cast(open as bigint) from counted where open <> 0 and name in ({', '.join(map(_q, WEB_PAGE.tags))})""",
     "page_sections": f"with {OWN_SECTIONS} select * from sections",
-    "html_lists": f"""with {LINES} select doc_id as page_id, cast(2 * i + 1 as int) as ordinal, item_no,
-  case item_no when 0 then '- chars ' || length(x) else '- words <sub>' || i || '</sub>' end as item
-from lines, (values (0), (1)) as v(item_no)""",
+    "html_lists": f"""with {OWN_SECTIONS},
+items as (select page_id, ordinal, list_filter(string_split(content, {NL}), lambda l: starts_with(l, '- ')) as items from sections)
+select page_id, ordinal, cast(generate_subscripts(items, 1) - 1 as int) as item_no, unnest(items) as item from items""",
+    "rich_sections": f"""with {RICH_LINKS} select doc_id as page_id, cast(i as int) as ordinal, cast(null as int) as parent_ordinal,
+  2 as level, 'Part ' || (i + 1) as title, 'sec' || i as section_id,
+  x || '<sup>' || i || '</sup> `m' || i || '`' || links || ' ' || {NL} || {NL} || '$$' || {NL} || 'P_' || i || '=q' || {NL} || '$$'
+  || repeat({NL}, 4) || {NL} || {NL} || '$$' || {NL} || 'E_' || i || '=' || {NL} || 'mc' || {NL} || '$$' || {NL} || {NL}
+  || '1. one ' || i || {NL} || '1. two' || {NL} || {NL} || {NL} || {NL} || 'Figure could not be parsed.' || {NL}
+  || {NL} || '![T ' || i || '](' || path || ')' || {NL} || {NL} || '**Table ' || i || '** of ' || doc_id || {NL} || {NL} as content
+from linked""",
+    "rich_xrefs": f"""with {RICH_LINKS} select doc_id as page_id, cast(11 * i + k - 1 as int) as pos, kind as ref_type,
+  kind || (case when kind = 'sec' then i + 1 else i end) as anchor, kind || ' ' || i as text, target, target is not null as resolved
+from (select *, case kind when 'odd' then null when 'fig' then null when 'table' then path
+  when 'sec' then case when i + 1 < n then '#part%20' || (i + 2) end else kind || i end as target from each)""",
     "html_figures": f"""with {LINES} select doc_id as page_id, cast(i as int) as ordinal,
   'https://ieeexplore.ieee.org//mediastore/' || doc_id || '-' || i || '.gif' as image_href,
   'ieee_' || doc_id || '_fig' || i || '.gif' as img_file_name, 'fig' || i as data_fig_id, 'Fig' || i as alt,
@@ -367,16 +392,20 @@ select a.doc_id as page_id, cast(i as int) as ordinal, (i + 1) || '.' as number,
   case when page_last then e.semantic_id else o.semantic_id end as semantic_id
 from asked a left join by_doi o on 'https://doi.org/' || o.doi = doi_link
 left join by_ieee e on '/document/' || e.ieee = page_link""",
-    "corpus_summary": f"""with {KNOWN}, {sections_of("'S' || doc_id")}
+    "corpus_summary": f"""with {KNOWN}, {KNOWN_SECTIONS}
 select s.page_id, sid as semantic_id, count(*) as n_sections, count(*) // 2 as n_figures, count(*) // 2 as n_references,
-  length({MARKDOWN}) as n_chars
+  length({MARKDOWN}) as n_chars, md5({MARKDOWN}) as markdown_md5
 from sections s join resolved r on r.doc_id = s.page_id group by s.page_id, sid""",
-    "crawl_records": f"""with {KNOWN}, {LINES},
-images as (select doc_id, string_agg('ieee_' || doc_id || '_fig' || i || '.gif', ',' order by i) as images
-  from lines group by doc_id)
+    "crawl_records": f"""with {KNOWN}, {KNOWN_SECTIONS},
+images as (select doc_id, string_agg('ieee_' || doc_id || '_fig' || i || '.gif', {NL} order by i) as img_info from lines group by doc_id),
+told as (select page_id as doc_id, string_agg(level || '|' || section_id || '|' || title || '|' || content, {NL} order by ordinal) as section_info
+  from sections group by page_id),
+refs as (select l.doc_id, string_agg((i + 1) || '.|' || coalesce(r.sid, '-') || '|' || {strip('x')}, {NL} order by i) as reference_info
+  from lines l left join resolved r on i > 0 and contains(x, ',') and r.doc_id = length(x) group by l.doc_id)
 select doc_id as page_id, cast(doc_id as varchar) as ieee_paper_id, sid as semantic_id, 'out/' || sid || '_original.md' as output_md_path,
   'img/' || sid || '_img' as final_img_dir, 'info/' || sid || '_original.json' as paper_info_path,
-  '1.' as first_reference, images, 'sec0' as first_section from resolved left join images using (doc_id)""",
+  reference_info, img_info, section_info
+from resolved left join images using (doc_id) left join told using (doc_id) left join refs using (doc_id)""",
     "chapters": f"with {CHAPTERS} select doc_id, cast(chapter_no as int) as chapter_no, t as text from chapters",
     "chunk_plan": f"""select doc_id, cast(k as int) as n_tokens, cast(case when k > 200 then k // 200 + 1 else 1 end as int) as n_parts
 from (select doc_id, {tokens('text')} as k from documents)""",

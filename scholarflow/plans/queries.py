@@ -346,6 +346,13 @@ def edges_flat(spark, sf):
     return edges.withColumn("intents", F.array_join("intents", ","))
 
 
+@query
+def citations_flat(spark, sf):
+    """The other direction, with nested, flat and bare payloads."""
+    edges = E.flatten_edges(inputs.raw_citations(spark, sf))
+    return edges.withColumn("intents", F.array_join("intents", ","))
+
+
 @query
 def edges_written(spark, sf):
     """Edges through their table, which has a directory per direction."""
@@ -432,10 +439,23 @@ def page_sections(spark, sf):
 
 @query
 def html_lists(spark, sf):
-    """Sections whose text holds a list, with the list lines only."""
-    sections = P.sections(inputs.publisher_pages(spark, sf)).where(F.col("level") == 3)
+    """The list lines of all sections."""
     items = F.filter(F.split("content", "\n", -1), lambda x: F.startswith(x, F.lit("- ")))
-    return sections.select("page_id", "ordinal", F.posexplode(items).alias("item_no", "item"))
+    return P.sections(inputs.publisher_pages(spark, sf)).select(
+        "page_id", "ordinal", F.posexplode(items).alias("item_no", "item")
+    )
+
+
+@query
+def rich_sections(spark, sf):
+    """Numbered lists, display formulas, every kind of link, a figure that cannot be parsed."""
+    return P.sections(inputs.rich_pages(spark, sf))
+
+
+@query
+def rich_xrefs(spark, sf):
+    pages = inputs.rich_pages(spark, sf)
+    return P.resolve_xrefs(P.xrefs(pages), P.link_targets(pages))
 
 
 @query
@@ -500,7 +520,9 @@ def corpus_summary(spark, sf):
         .join(counted(built.sections, "n_sections"), "page_id")
         .join(counted(built.figures, "n_figures"), "page_id")
         .join(counted(built.references, "n_references"), "page_id")
-        .join(built.markdown.select("page_id", F.length("markdown").alias("n_chars")), "page_id")
+        .join(built.markdown.select(
+            "page_id", F.length("markdown").alias("n_chars"), F.md5("markdown").alias("markdown_md5")
+        ), "page_id")
     )
 
 
@@ -509,18 +531,26 @@ def crawl_records(spark, sf):
     """The nested record of each page, read back from its JSON."""
     records = _corpus(spark, sf).records(output_dir="out", image_dir="img", info_dir="info")
     field = lambda p: F.get_json_object("record", p)
-    return records.select(
+    parsed = F.from_json("record", (
+        "reference_info array<struct<number string,title string,semantic string>>, img_info array<struct<img_file_name string>>, "
+        "section_info array<struct<level int,title string,content string,section_id string>>"
+    ))
+
+    def listed(name: str, *fields: str) -> Column:
+        """All elements, one per line, with their fields."""
+        shown = lambda x: F.concat_ws("|", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])
+        return F.array_join(F.transform(F.col("parsed")[name], shown), "\n").alias(name)
+
+    return records.withColumn("parsed", parsed).select(
         "page_id",
         field("$.ieee_paper_id").alias("ieee_paper_id"),
         field("$.semantic_id").alias("semantic_id"),
         field("$.output_md_path").alias("output_md_path"),
         field("$.final_img_dir").alias("final_img_dir"),
         field("$.paper_info_path").alias("paper_info_path"),
-        field("$.reference_info[0].number").alias("first_reference"),
-        F.array_join(
-            F.from_json("record", "img_info array<struct<img_file_name string>>")["img_info"]["img_file_name"], ","
-        ).alias("images"),
-        field("$.section_info[0].section_id").alias("first_section"),
+        listed("reference_info", "number", "semantic", "title"),
+        listed("img_info", "img_file_name"),
+        listed("section_info", "level", "section_id", "title", "content"),
     )
 
 
