@@ -145,32 +145,46 @@ def first_journals(journals: DataFrame) -> DataFrame:
     )
 
 
+# characters of the grams that journal names are found by
+GRAM = 4
+
+
 def venue_names(venues: DataFrame, journals: DataFrame) -> DataFrame:
     """(venue, venue_short) for distinct venues.
 
     The first journal in list order whose name occurs in the venue, ignoring
-    case, gives the short name. A name occurs in a venue when it equals one of
-    the venue's substrings, so the test is an equi-join: the venue is expanded
-    to its substrings of the lengths that journal names have.
+    case, gives the short name. Each name is filed under its gram of ``GRAM``
+    characters that the fewest names have (a shorter name under itself). A venue is
+    expanded to its grams, as many rows as it has characters, once for
+    each length of at most ``GRAM``, however long and many the names are; where
+    a name is filed under a gram, the whole name is compared in place.
     """
     names = first_journals(journals).select(
         F.lower("journal").alias("_name"), "name_short", "ordinal"
-    )
+    ).where(F.col("_name").isNotNull())
     names = names.groupBy("_name").agg(
         F.min_by("name_short", "ordinal").alias("name_short"), F.min("ordinal").alias("ordinal")
     )
-    lengths = names.agg(F.collect_set(F.length("_name")).alias("lengths")).scalar()
+    width = F.least(F.length("_name"), F.lit(GRAM))
+    grams = names.select("*", width.alias("_len"), F.explode(
+        F.sequence(F.lit(0), F.length("_name") - width)
+    ).alias("_off")).withColumn("_gram", F.substr("_name", F.col("_off") + 1, F.col("_len")))
+    often = grams.groupBy("_gram").agg(F.count_distinct("_name").alias("_often"))
+    filed = grams.join(often, "_gram").groupBy("_name").agg(
+        F.min_by(F.struct("_gram", "_off", "name_short", "ordinal"), F.struct("_often", "_gram", "_off")).alias("_f")
+    ).select("_name", "_f.*")
+    lengths = names.agg(F.collect_set(width).alias("lengths")).scalar()
     size = F.length("_low")
     spots = (
         venues.select("venue", F.lower("venue").alias("_low"), F.explode(lengths).alias("_len"))
         .where(F.col("_len") <= size)
-        .select("venue", "_low", "_len", F.explode(
-            F.sequence(F.lit(1), F.greatest(size - F.col("_len") + 1, F.lit(1)))
-        ).alias("_pos"))
-        .select("venue", F.substr("_low", F.col("_pos"), F.col("_len")).alias("_name"))
+        .select("venue", "_low", "_len", F.explode(F.sequence(F.lit(0), size - F.col("_len"))).alias("_pos"))
+        .select("venue", "_low", "_pos", F.substr("_low", F.col("_pos") + 1, F.col("_len")).alias("_gram"))
     )
+    start = F.col("_pos") - F.col("_off")
     return (
-        spots.join(names, "_name")
+        spots.join(filed, "_gram")
+        .where((start >= 0) & (F.substr("_low", start + 1, F.length("_name")) == F.col("_name")))
         .groupBy("venue")
         .agg(F.min_by("name_short", "ordinal").alias("venue_short"))
     )
@@ -265,10 +279,12 @@ def upsert(
 
 
 def id_batches(
-    df: DataFrame, *, within: list[str], order: list[str], bucket: Column, size: int
+    df: DataFrame, *, within: list[str], order: list[str], size: int, stage: str
 ) -> DataFrame:
-    """Add ``batch_no`` (from 0): consecutive rows of a group in batches of ``size``."""
-    numbered = number_rows(df, within=within, order=order, bucket=bucket, name="_no")
-    return numbered.withColumn(
-        "batch_no", F.floor((F.col("_no") - 1) / size).cast("bigint")
-    ).drop("_no")
+    """Add ``batch_no`` (from 0): consecutive rows of a group in batches of ``size``.
+
+    Columns of any type; one group may hold most rows. ``stage`` is a folder on
+    shared storage for the sorted rows.
+    """
+    numbered = number_rows(df, within=within, order=order, stage=stage, name="_no")
+    return numbered.withColumn("batch_no", F.expr(f"(_no - 1) div {int(size)}")).drop("_no")

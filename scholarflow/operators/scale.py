@@ -66,39 +66,29 @@ def anti_lookup(
 
 
 def number_rows(
-    df: DataFrame,
-    *,
-    within: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    name: str = "row_no",
+    df: DataFrame, *, within: Sequence[str], order: Sequence[str], stage: str, name: str = "row_no"
 ) -> DataFrame:
     """Number the rows of each group 1, 2, ... in ``order``, also in huge groups.
 
-    ``bucket`` maps a row to a block of the order (rows of a lower block come
-    first) and bounds how many rows one task sorts: rows are numbered inside
-    their block, and blocks are offset by the counts of the blocks before.
-    ``order`` must be a total order inside a block.
+    Rows are dealt by ranges of (group, order) whose bounds Spark samples, so
+    columns of any type serve and a huge group lies in as many tasks as its size asks
+    for. The sorted rows are staged in the folder ``stage``, which fixes their
+    places; a group's share of a task is a run of places, and the runs are offset
+    by the counts of the runs before. NULLs come first. ``order`` must be a total
+    order for the numbers to be the same every time.
     """
-    blocked = df.withColumn("_block", bucket)
-    sizes = blocked.groupBy(*within, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*within).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.select(
-        *[F.col(k).alias(f"_o_{k}") for k in within],
-        F.col("_block").alias("_o_block"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in within]
-    on.append(F.col("_block").eqNullSafe(F.col("_o_block")))
-    inside = Window.partitionBy(*within, "_block").orderBy(*order)
-    return (
-        blocked.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, _all(on))
-        .withColumn(name, F.col("_rank") + F.col("_offset"))
-        .select(*df.columns, name)
+    by = [F.asc_nulls_first(c) for c in (*within, *order)]
+    rows = staged(
+        df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), stage
+    ).withColumn("_task", F.shiftright("_at", 33))
+    runs = rows.groupBy(*within, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*within).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(
+        *[F.col(k).alias(f"_o_{k}") for k in within], F.col("_task").alias("_o_task"),
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
     )
+    on = [F.col("_task") == F.col("_o_task")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in within]
+    return rows.join(offsets, _all(on)).withColumn(name, F.col("_at") + F.col("_offset")).select(*df.columns, name)
 
 
 def _all(conditions: list[Column]) -> Column:

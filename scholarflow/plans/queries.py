@@ -208,8 +208,9 @@ def bucket_upsert(spark, sf):
 @query
 def id_batches(spark, sf):
     events = table(spark, sf, "events", "user_id", "event_id")
-    block = F.floor(F.col("event_id") / 65536)
-    return A.id_batches(events, within=["user_id"], order=["event_id"], bucket=block, size=25)
+    return A.id_batches(
+        events, within=["user_id"], order=["event_id"], size=25, stage=f"{_folder(spark, 'batches')}/sorted"
+    )
 
 
 @query

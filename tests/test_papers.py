@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,14 +98,71 @@ def test_pending_and_latest(spark):
     assert merged == {"a": {"DOI": "a"}, "b": {"IEEE": None}, "c": {"DOI": "c"}}
 
 
-def test_id_batches_equal_slices(spark):
-    rows = [(u, e) for u in "ab" for e in range(0, 95 if u == "a" else 7, 1)]
-    df = spark.createDataFrame(rows, "u string, e int")
-    got = A.id_batches(df, within=["u"], order=["e"], bucket=F.floor(F.col("e") / 10), size=4).collect()
-    for u in "ab":
-        items = [e for v, e in rows if v == u]
+def test_id_batches_equal_slices(spark, tmp_path):
+    """Text ids, a group of nearly all rows, missing keys; rows over several tasks."""
+    rows = [(u, f"id{e:03d}") for u, n in (("hot", 295), ("b", 7), (None, 9)) for e in range(n)] + [("b", None)]
+    df = spark.createDataFrame(rows, "u string, e string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = A.id_batches(df, within=["u"], order=["e"], size=4, stage=str(tmp_path / "sorted"))
+        got = numbered.collect()
+        tasks = spark.read.parquet(str(tmp_path / "sorted")).where("u = 'hot'").selectExpr("shiftright(_at, 33)").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 3 and len(got) == len(rows)
+    for u in ("hot", "b", None):
+        items = sorted((e for v, e in rows if v == u), key=lambda e: (e is not None, e))
         for i in range(0, len(items), 4):
-            assert sorted(r.e for r in got if r.u == u and r.batch_no == i // 4) == items[i:i + 4]
+            mine = [r.e for r in got if r.u == u and r.batch_no == i // 4]
+            assert sorted(mine, key=lambda e: (e is not None, e)) == items[i:i + 4]
+
+
+def test_venue_names_equal_a_search(spark):
+    """Random names and venues of few letters, so that grams are shared; empty, short and long names."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abA ") for _ in range(n))
+    names = [(word(rng.randrange(1, 12)), f"s{i}", i) for i in range(60)] + [("é ü ß longer than any", "s60", 60)]
+    venues = [word(rng.randrange(0, 40)) for _ in range(200)] + ["x É Ü ß LONGER than any y", "", "%"]
+    df = spark.createDataFrame([(v,) for v in dict.fromkeys(venues)], "venue string")
+
+    def check(names):
+        journals = spark.createDataFrame(names, "journal string, name_short string, ordinal int")
+        got = {r.venue: r.venue_short for r in A.venue_names(df, journals).collect()}
+        first, last = {}, {}
+        for j, s, i in names:
+            first.setdefault(j, i)
+            last[j] = s
+        want = {}
+        for v in venues:
+            found = [(i, last[j]) for j, i in first.items() if j.lower() in v.lower()]
+            if found:
+                want[v] = min(found)[1]
+        assert got == want
+
+    check(names)
+    check(names + [("", "any", 61)])
+    check([])
+
+
+def test_venue_rows_grow_with_the_venue_only(spark):
+    """Long names of many lengths leave as many rows as the venue has places."""
+    journals = spark.createDataFrame([("x" * n + "name", f"s{n}", n) for n in range(1, 80)], "journal string, name_short string, ordinal int")
+    venues = spark.createDataFrame([("a" * 100 + "xxxname",)], "venue string")
+    seen = A.venue_names(venues, journals)
+    assert seen.first().venue_short == "s1"
+    plan = seen._jdf.queryExecution().executedPlan()
+
+    def walk(node):
+        yield node
+        name = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        children = node.children()
+        for x in below + [children.apply(i) for i in range(children.size())]:
+            yield from walk(x)
+
+    seen.collect()
+    made = [n.metrics().get("numOutputRows").get().value() for n in walk(plan) if n.getClass().getSimpleName() == "GenerateExec"]
+    assert made and max(m for m in made if m) <= 79 * 80  # the names' own grams; the venue has 104
 
 
 def test_lookup_join_equals_left_join(spark):
