@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
 from .common import LOWER, byte_values, prefix_hashes, slices, span_hashes, staged, words
 
@@ -32,6 +32,8 @@ from .common import LOWER, byte_values, prefix_hashes, slices, span_hashes, stag
 CLASSES = 64
 # a row is a block of texts, so few rows go to a Python worker at a time
 BATCH_BYTES = "8m"
+# bytes of text of a block: larger ones have fewer distinct words in all
+BLOCK_BYTES = 4 << 20
 SIDE, SIZE, HIDDEN = 2, 8, 16
 BORDER = CLASSES  # the token beyond a text's ends
 ROUNDS, BATCH, RATE = 2, 4096, 1.5
@@ -44,33 +46,60 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(prefix_hashes(byte_values(data)), starts, ends), first
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 to 2^28 - 1 in one to four bytes each, seven bits a byte, the last one below 128."""
+    size = 1 + (values >= 1 << 7) + (values >= 1 << 14) + (values >= 1 << 21)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(4):
+        there = size > k
+        more = (size[there] > k + 1).astype(np.uint8) << 7
+        out[at[there] + k] = ((values[there] >> 7 * k) & 127).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The numbers of ``packed``."""
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1] + 1])
+    out = np.zeros(len(ends), np.int64)
+    for k in range(4):
+        there = np.flatnonzero(ends - starts >= k)
+        out[there] |= (data[starts[there] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """Runs of rows: (doc_id, draw, first, token, word, n), each an array.
+    """Runs of rows: (doc_id, draw, first, token, word, n), arrays but for ``token``.
 
-    ``word`` has the hashes of the block's distinct words and ``n`` their counts
-    in it; ``token`` has the place in ``word`` of each of its tokens, and ``first``
-    the first token of each row; ``draw`` is a hash of its text.
+    ``word`` has the hashes of the block's distinct words, the frequent ones first, and
+    ``n`` their counts in it; ``token`` has the places in ``word`` of its tokens,
+    ``packed``, and ``first`` the first token of each row; ``draw`` is a hash of its text.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch, "text"):
+            for lo, hi, data, offsets in slices(batch, "text", BLOCK_BYTES):
                 hashes, first = word_hashes(data, offsets)
                 word, token, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
                 ids, draw = (batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "draw"))
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays(
-                    [one(pa.concat_arrays([ids])), one(pa.concat_arrays([draw])), one(pa.array(first.astype(np.int32))), one(pa.array(token.astype(np.int32))),
-                     one(pa.array(word.view(np.int64))), one(pa.array(n.astype(np.int64)))],
+                    [one(pa.concat_arrays([ids])), one(pa.concat_arrays([draw])), one(pa.array(first.astype(np.int32))),
+                     pa.array([packed(rank[token])], pa.binary()),
+                     one(pa.array(word[order].view(np.int64))), one(pa.array(n[order].astype(np.int64)))],
                     names=["doc_id", "draw", "first", "token", "word", "n"],
                 )
 
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("draw"))
     schema = given.select("doc_id").schema
     schema[0].dataType = ArrayType(schema[0].dataType)
-    for name, kind in (("draw", LongType()), ("first", IntegerType()), ("token", IntegerType()), ("word", LongType()), ("n", LongType())):
-        schema = schema.add(name, ArrayType(kind))
-    return given.mapInArrow(cut, schema)
+    schema = schema.add("draw", ArrayType(LongType())).add("first", ArrayType(IntegerType())).add("token", BinaryType())
+    return given.mapInArrow(cut, schema.add("word", ArrayType(LongType())).add("n", ArrayType(LongType())))
 
 
 def block_counts(cut: DataFrame) -> DataFrame:
@@ -156,28 +185,36 @@ def encoded(cut: DataFrame, counted: DataFrame, known: Vocabulary) -> DataFrame:
     """(doc_id, draw, token, share) of every row: its tokens' classes, two bytes each, and
     the sum of their log-shares.
 
-    Each block's distinct words meet their counts by a shuffled join on the word.
+    Each block's distinct words meet their counts by a shuffled join on the word, and
+    go back to the block as classes; the words themselves travel once.
     """
-    pairs = cut.select("block", F.posexplode("word").alias("at", "word"))
-    found = pairs.join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    joined = cut.select("block", "doc_id", "draw", "first", "token", "word").join(
-        found.select("block", F.col("found.at").alias("at"), F.col("found.n").alias("total")), "block", "left"
-    )
-    given = joined.select("doc_id", "draw", "first", "token", "word", "at", "total")
     shared = cut.sparkSession.sparkContext.broadcast(known)
 
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, _ = shared.value.classes(batch.column("word").to_numpy().view(np.uint64), batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("at"), pa.array(group.astype(np.int16)), batch.column("n")],
+                names=["block", "at", "group", "n"],
+            )
+
+    pairs = cut.select("block", F.posexplode("word").alias("at", "word")).join(counted, "word")
+    found = pairs.select("block", "at", "word", "n").mapInArrow(classed, "block long, at int, group short, n long")
+    # lists of one aggregate have one order
+    found = found.groupBy("block").agg(*[F.collect_list(c).alias(c) for c in ("at", "group", "n")])
+    given = cut.select("block", "doc_id", "draw", "first", "token").join(found, "block", "left").drop("block")
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, draw = (batch.column(c).slice(i, 1).flatten() for c in ("doc_id", "draw"))
-                first, token, word, at, total = (
-                    batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("first", "token", "word", "at", "total")
-                )
-                n = np.empty(len(word), np.int64)
-                n[at] = total
-                group, share = shared.value.classes(word.view(np.uint64), n)
+                first, at, group, n = (batch.column(c).slice(i, 1).flatten().to_numpy() for c in ("first", "at", "group", "n"))
+                token = unpacked(batch.column("token")[i].as_py())
+                own, share = np.empty(len(at), "<i2"), np.empty(len(at))
+                own[at] = group
+                share[at] = np.log(n / shared.value.total[group]) if len(at) else 0.0
                 each = np.concatenate([[0.0], np.cumsum(share[token])])
-                values = pa.py_buffer(group.astype("<i2")[token].tobytes())
+                values = pa.py_buffer(own[token].tobytes())
                 offsets = pa.py_buffer((2 * first.astype(np.int32)).tobytes())
                 texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, offsets, values])
                 yield pa.RecordBatch.from_arrays(
