@@ -37,6 +37,7 @@ BLOCK_BYTES = 4 << 20
 SIDE, SIZE, HIDDEN = 2, 8, 16
 BORDER = CLASSES  # the token beyond a text's ends
 ROUNDS, BATCH, RATE = 2, 4096, 1.5
+RUN = 1024  # tokens that are worked on at a time
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,10 +276,10 @@ class Network:
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         out = np.empty(len(token))
-        for i in range(0, len(token), BATCH):
-            _, _, logit = self._run(context[i : i + BATCH])
+        for i in range(0, len(token), RUN):
+            _, _, logit = self._run(context[i : i + RUN])
             rows = np.arange(len(logit))
-            out[i : i + BATCH] = logit[rows, token[i : i + BATCH]] - np.log(np.exp(logit).sum(1))
+            out[i : i + RUN] = logit[rows, token[i : i + RUN]] - np.log(np.exp(logit).sum(1))
         return out
 
     def gradients(self, context: np.ndarray, token: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -298,8 +299,15 @@ class Network:
         return loss, {"E": dE, "W": x.T @ dh, "b": dh.sum(0), "O": h.T @ prob, "c": prob.sum(0)}
 
     def learn(self, context: np.ndarray, token: np.ndarray, memory: dict[str, np.ndarray]) -> None:
-        """One step of gradient descent, scaled by the running size of the gradients."""
-        _, g = self.gradients(context, token)
+        """One step of gradient descent, scaled by the running size of the gradients.
+
+        The step's gradients are put together from runs that fit a processor's cache.
+        """
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        for i in range(0, len(token), RUN):
+            run = token[i : i + RUN]
+            for k, v in self.gradients(context[i : i + RUN], run)[1].items():
+                g[k] += (v * (len(run) / len(token))).astype(np.float32)
         for k, v in self.p.items():
             memory[k] = memory.get(k, 0.0) + g[k] ** 2
             v -= (0.1 * RATE * g[k] / (np.sqrt(memory[k]) + 1e-8)).astype(np.float32)
