@@ -84,13 +84,8 @@ def _items(benchmark: DataFrame, item_id: str) -> DataFrame:
     )
 
 
-def _starts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Runs of window starts worth a fingerprint: doc_id, tie, m, k, lo, hi.
-
-    Each shingle that occurs in an item of m words is a hit for the windows of m
-    words that hold it; a running sum over a document's hits gives, for every
-    start, how many hits its window has.
-    """
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, tie, n shingles, pos, hash, m, k: where a shingle of an item of m words occurs."""
     known = items.select(F.explode("item_shingles").alias("hash"), "m", "k").distinct()
     sizes = [r["k"] for r in items.select("k").distinct().collect()] or [SHINGLE]  # 1 to 5
     hits = None
@@ -98,14 +93,24 @@ def _starts(docs: DataFrame, items: DataFrame) -> DataFrame:
         text = docs.select("doc_id", "tie", word_list(F.col("text")).alias("words"))
         listed = text.select("doc_id", "tie", shingle_list("words", str(k)).alias("found"))
         each = listed.select("doc_id", "tie", F.size("found").alias("n"), F.posexplode_outer("found").alias("pos", "hash"))
-        hit = each.join(known.where(F.col("k") == k), "hash").drop("hash")
+        hit = each.join(known.where(F.col("k") == k), "hash").select("doc_id", "tie", "n", "pos", "hash", "m", "k")
         hits = hit if hits is None else hits.unionByName(hit)
+    return hits.distinct()
+
+
+def _starts(hits: DataFrame) -> DataFrame:
+    """Runs of window starts worth a fingerprint: doc_id, tie, m, k, lo, hi.
+
+    Each shingle that occurs in an item of m words is a hit for the windows of m
+    words that hold it; a running sum over a document's hits gives, for every
+    start, how many hits its window has.
+    """
     length = F.col("m") - F.col("k") + 1
     gain = F.struct((F.col("pos") - length + 1).alias("at"), F.lit(1).alias("step"))
     loss = F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("step"))
     per_window = ["doc_id", "tie", "m", "k", "n"]
     steps = (
-        hits.distinct().select(*per_window, F.explode(F.array(gain, loss)).alias("e"))
+        hits.select(*per_window, F.explode(F.array(gain, loss)).alias("e"))
         .groupBy(*per_window, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
     )
     order = W.partitionBy(*per_window).orderBy("at")
@@ -122,7 +127,7 @@ def _starts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
-    """doc_id, tie, m, start, shingles, fingerprint of the windows at ``starts``."""
+    """doc_id, tie, k, m, start, shingles, fingerprint of the windows at ``starts``."""
     per_doc = starts.groupBy("doc_id", "tie", "k").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("runs"))
     # shuffled at every size: how many documents have starts depends on the data alone
     joined = docs.join(
@@ -134,13 +139,48 @@ def _windows(docs: DataFrame, starts: DataFrame) -> DataFrame:
     listed = joined.select("doc_id", "tie", "k", "runs", word_list(F.col("text")).alias("words"))
     listed = listed.select("doc_id", "tie", "k", "runs", shingle_list("words", "k").alias("found"))
     cut = listed.select(
-        "doc_id", "tie",
+        "doc_id", "tie", "k",
         F.explode_outer(F.expr(
             "flatten(transform(runs, r -> transform(sequence(r.lo, r.hi), s ->"
             " struct(r.m AS m, s AS start, slice(found, s + 1, r.m - k + 1) AS shingles))))"
         )).alias("w"),
     )
-    return cut.where(F.col("w").isNotNull()).select("doc_id", "tie", "w.*").withColumn("fingerprint", simhash("shingles"))
+    return cut.where(F.col("w").isNotNull()).select("doc_id", "tie", "k", "w.*").withColumn("fingerprint", simhash("shingles"))
+
+
+def _proposed(windows: DataFrame, hits: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The windows, each once with every item that it can be similar to.
+
+    At the similarity s a window of L shingles shares at least 2 s L / (1 + s) of
+    them with the item, so of any L - that + 1 of the item's shingles it holds
+    one. Those that the fewest items have are looked for: where one is hit,
+    the windows around it meet the item. Hits and windows are brought together by
+    runs of L starts, so a text with very many items is no group of its own.
+    """
+    length = F.col("m") - F.col("k") + 1
+    needed = F.ceil(2 * percent * length / F.lit(100 + percent) - 1e-9)
+    each = items.select("item", "m", "k", F.posexplode("item_shingles").alias("no", "hash"))
+    often = each.groupBy("hash", "m").agg(F.count_distinct("item").alias("often"))
+    rarest = W.partitionBy("item").orderBy("often", "hash", "no")
+    rare = (
+        each.join(often, ["hash", "m"]).withColumn("rank", F.row_number().over(rarest))
+        .where(F.col("rank") <= length - needed + 1)
+        .select("item", "m", "k", "hash").distinct()
+    )
+    lo, hi = F.greatest(F.col("pos") - length + 1, F.lit(0)), F.col("pos")
+    run = lambda c: F.floor(c / length).cast("long")
+    around = (
+        hits.join(rare, ["hash", "m", "k"])
+        .select("doc_id", "tie", "m", "item", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(run(lo), run(hi))).alias("run"))
+        .groupBy(F.col("doc_id").alias("a_doc_id"), F.col("tie").alias("a_tie"), F.col("m").alias("a_m"), "item", F.col("run").alias("a_run"))
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    placed = windows.select("doc_id", "tie", "m", "start", "fingerprint", run(F.col("start")).alias("run"), "k")
+    on = (
+        F.col("doc_id").eqNullSafe(F.col("a_doc_id")) & (F.col("tie") == F.col("a_tie")) & (F.col("m") == F.col("a_m"))
+        & (F.col("run") == F.col("a_run")) & F.col("start").between(F.col("lo"), F.col("hi"))
+    )
+    return placed.join(around.hint("merge"), on).select("doc_id", "tie", "m", "start", "fingerprint", "item")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, radius: int = RADIUS,
@@ -161,22 +201,24 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERC
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     items = staged(_items(benchmark, item_id)).withColumn("item", F.monotonically_increasing_id())
     items = staged(items.withColumn("item_print", simhash("item_shingles")))
-    windows = staged(_windows(docs, staged(_starts(docs, items))).distinct())
+    hits = staged(_hits(docs, items))
+    windows = staged(_windows(docs, staged(_starts(hits))).distinct())
     within = radius // BLOCKS
     masks = F.array(*[F.lit(v).cast("bigint") for v in _near_values(within)])
     blocks = lambda name: F.posexplode(F.array(*[_block(name, j) for j in range(BLOCKS)])).alias("block", "value")
     listed = (
-        items.select("item", "m", "item_print", blocks("item_print"))
-        .select("item", "m", "item_print", "block", F.explode(F.transform(masks, lambda v: F.col("value").bitwiseXOR(v))).alias("value"))
+        items.select("item", "item_print", blocks("item_print"))
+        .select("item", "item_print", "block", F.explode(F.transform(masks, lambda v: F.col("value").bitwiseXOR(v))).alias("value"))
     )
-    probes = windows.select("doc_id", "tie", "m", "start", "fingerprint", blocks("fingerprint"))
+    proposed = _proposed(windows, hits, items, percent)
+    probes = proposed.select("doc_id", "tie", "m", "start", "fingerprint", "item", blocks("fingerprint"))
     apart = F.col("fingerprint").bitwiseXOR(F.col("item_print"))
     first = F.coalesce(*[
         F.when(F.bit_count(F.shiftrightunsigned(apart, BLOCK_BITS * j).bitwiseAND(2**BLOCK_BITS - 1)) <= within, F.lit(j))
         for j in range(BLOCKS)
     ])
     near = (
-        probes.join(listed, ["m", "block", "value"])
+        probes.join(listed, ["item", "block", "value"])
         .where((F.bit_count(apart) <= radius) & (F.col("block") == first))  # each pair by one block
         .select(F.col("doc_id").alias("p_doc_id"), F.col("tie").alias("p_tie"), F.col("m").alias("p_m"),
                 F.col("start").alias("p_start"), "item")
