@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,23 @@ def staged(df: DataFrame, batch_bytes: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``task`` for mapInArrow, which then gives freed memory back to the system.
+
+    Workers live on for later tasks, also those of other stages, which should not
+    find the memory taken that this one needed at its peak.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def text_crc(doc_id: str | Column) -> Column:
     """crc32 of a document's id as text, unsigned; a NULL id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices, text_crc
+from .common import SLICE_BYTES, slices, text_crc, tidy
 
 # the training sample: about so many labelled documents a language, at most so
 # many bytes of them, so many languages (the most frequent), so many contexts
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
     schema = given.select("row").schema.add("lang_pred", "string").add("score", "double")
     if text in keep:
         schema = schema.add("text", "string")
-    out = given.mapInArrow(score, schema)
+    out = given.mapInArrow(tidy(score), schema)
     return out.select(
         *[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in keep],
         F.col("row._doc_id").alias(doc_id),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    LOWER, byte_values, mix, prefix_hashes, slices, span_hashes, staged, words,
+    LOWER, byte_values, mix, prefix_hashes, slices, span_hashes, staged, tidy, words,
 )
 from .components import components
 
@@ -117,7 +117,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "sketch"],
                 )
 
-    return given.mapInArrow(describe, schema)
+    return given.mapInArrow(tidy(describe), schema)
 
 
 def _agreement_needed(percent: int) -> int:
@@ -149,7 +149,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             good = pa.array((x == y).sum(1) >= need)
             yield batch.select(["a", "b"]).filter(good)
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long").distinct()
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                         good[i] = 100 * common >= percent * (len(last_set) + len(other) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def _common_shingles(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, staged
+from .common import ragged, slices, staged, tidy
 
 CAPACITY = 4096
 # distinct words a worker remembers; then it forgets them all and starts anew
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
     schema = given.select("row").schema.add("piece", "integer")
     for name in ("start", "length", "ids_crc32"):
         schema = schema.add(name, "long")
-    return given.mapInArrow(cut, schema).select("row.*", "piece", "start", "length", "ids_crc32")
+    return given.mapInArrow(tidy(cut), schema).select("row.*", "piece", "start", "length", "ids_crc32")
 
 
 @dataclass
@@ -316,4 +316,4 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     plain = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = ranked(cut, blocks).select(F.struct(*plain).alias("row"), "length", "rank")
     schema = rows.select("row").schema.add("sequence_id", "long").add("offset", "long")
-    return rows.mapInArrow(place, schema).select("row.*", "sequence_id", "offset")
+    return rows.mapInArrow(tidy(place), schema).select("row.*", "sequence_id", "offset")
