@@ -11,7 +11,7 @@ Consecutive windows share an anchor; an anchor row stands for all of its windows
 1. Anchors whose gram occurs once are dropped.
 2. Anchors with equal contexts meet in an aggregate: count and first occurrence.
 3. Of grams with several different contexts, each context goes once to the group
-   of its gram, where a suffix structure finds which windows they share. Where a
+   of its gram, where the suffixes of its texts (``suffixes``) show which windows they share. Where a
    gram has many contexts, its windows are split by their distance to the anchor;
    the windows of a part share a longer core than the gram, which splits the group,
    and parts of equal text meet in an aggregate again. This goes on until groups
@@ -237,28 +237,6 @@ def _split(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return rows.mapInArrow(split, schema)
 
 
-def ranks(values: np.ndarray, base: int, depth: int, at: np.ndarray) -> np.ndarray:
-    """Ranks of the suffixes ``at``, cut off at ``depth`` symbols, in suffix order.
-
-    ``values`` order the first ``base`` symbols of every suffix. Ranks of three
-    adjoining pieces make a key for three times the length, until ``depth`` is
-    reached; there are at most 2^21 symbols, so three ranks fit in 64 bits.
-    """
-    n = len(values)
-    rank = np.unique(values, return_inverse=True)[1].astype(np.uint64)
-
-    def joined(where: np.ndarray, second: int, third: int) -> np.ndarray:
-        pick = lambda by: rank[np.minimum(where + by, n - 1)]
-        return rank[where] << np.uint64(42) | pick(second) << np.uint64(21) | pick(third)
-
-    everywhere = np.arange(n)
-    while 3 * base < depth:
-        rank = np.unique(joined(everywhere, base, 2 * base), return_inverse=True)[1].astype(np.uint64)
-        base *= 3
-    last = depth - base
-    return np.unique(joined(at, min(base, last), last), return_inverse=True)[1]
-
-
 def _runs(context: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Consecutive ``r`` of a context as (context, first r, last r); input is in order."""
     if len(r) == 0:

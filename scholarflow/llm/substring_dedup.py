@@ -1,9 +1,12 @@
-"""Substring dedup by anchored windows of words.
-
-No suffix tree is built. ``repeats`` names each window by an anchor gram and
-brings windows that may be equal into groups of bounded size. In a group,
-windows get ranks that are equal where all ``window`` words agree; a rank of
-several windows is a repeat, and its smallest document keeps it.
+"""Substring dedup by suffix trees of small groups of texts.
+
+A suffix of each word is not shipped. ``repeats`` names each window by an anchor
+gram and brings the windows that may be equal, with the text around them, into
+groups of bounded size; where a group is too large, the common core that names it
+grows until its parts are small. Texts that are equal as a whole meet in an
+aggregate instead. Every group gets the suffix tree of its texts, cut off at
+``window`` words. An internal node that deep is a repeat of two leaves or more, a
+window in each, and the smallest document among its leaves keeps it.
 """
 
 from __future__ import annotations
@@ -15,26 +18,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
-from .repeats import NO_ID, Rule, Scheme, covered, keyed, ranks, repeated_spans, word_symbols
+from .common import ragged, words
+from .repeats import NO_ID, Rule, Scheme, covered, keyed, repeated_spans, word_symbols
+from .suffixes import Suffixes, internal_nodes, suffixes
 
 WINDOW, GRAM = 50, 10
 
 
-def deep_nodes(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The smallest document below each suffix's node of full depth.
-
-    Suffixes of equal rank are the leaves of one node.
-    """
-    smallest = np.full(int(rank.max()) + 1, NO_ID, np.int64)
-    np.minimum.at(smallest, rank, doc)
-    return smallest[rank]
+def beyond_first(s: Suffixes, depth: int, doc: np.ndarray) -> np.ndarray:
+    """Of every suffix: has a node of ``depth`` symbols above it a leaf of a smaller document."""
+    out = np.zeros(len(doc), bool)
+    first, last, _ = internal_nodes(s, depth)
+    if len(first) == 0:
+        return out
+    size = last - first + 1
+    leaves = s.order[ragged(first, size)]
+    smallest = np.minimum.reduceat(doc[leaves], np.cumsum(size) - size)
+    out[leaves[doc[leaves] > np.repeat(smallest, size)]] = True
+    return out
 
 
 def _judge(window: int):
     def judge(group: dict) -> np.ndarray:
-        rank = ranks(group["symbols"].values, 1, window, group["at"])
-        return group["doc"] > deep_nodes(rank, group["doc"])
+        return beyond_first(suffixes(group["symbols"].values, 1, window, group["at"]), window, group["doc"])
 
     return judge
 

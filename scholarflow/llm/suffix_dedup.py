@@ -1,13 +1,16 @@
-"""Removing repeated byte strings by anchored windows of bytes.
-
-No array of longest previous factors is built. Windows get ranks that are equal
-where all ``window`` bytes agree; an equal rank before a window, in order of
-position, is an earlier match, and one after it a later match. A byte goes if a
-window that covers it has an earlier match, or, where no copy is to stay, a match
-at all.
-
-Ranks are taken in groups of bounded size; ``repeats`` deals the windows out so
-that windows of equal content always meet.
+"""Removing repeated byte strings by longest previous factors.
+
+The array of longest previous factors tells for every place how many of the bytes
+from there on also occur from an earlier place on. It is read off the suffixes in
+suffix order: of those that start earlier, the nearest one on either side shares
+the most. A byte goes if a window that covers it starts where the factor is as
+long as the window. Where no copy is to stay, the same array of later factors
+tells of the other occurrences.
+
+A suffix of each byte is not shipped, nor one array made of all texts: ``repeats``
+deals windows, with the text around them, into groups of bounded size so that
+windows of equal content always meet, and each group has its array, cut off at the
+window. Texts that are equal as a whole meet in an aggregate instead.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import NO_ID, Rule, Scheme, byte_symbols, covered, is_first, keyed, ranks, repeated_spans
+from .repeats import NO_ID, Rule, Scheme, byte_symbols, covered, is_first, keyed, repeated_spans
+from .suffixes import longest_previous_factors, suffixes
 
 WINDOW, GRAM = 200, 48
 
@@ -34,23 +38,14 @@ def _leading(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def previous_and_next(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes in order of position, with their ranks: has each an earlier
-    one of its rank, and a later one."""
-    order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    earlier, later = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
-    earlier[order[1:]] = same
-    later[order[:-1]] = same
-    return earlier, later
-
-
 def _judge(window: int, keep: str):
     def judge(group: dict) -> np.ndarray:
         # groups come in order of document and position
-        rank = ranks(_leading(group["data"]), 8, window, group["at"])
-        earlier, later = previous_and_next(rank)
-        return earlier if keep == "first" else earlier | later
+        s = suffixes(_leading(group["data"]), 8, window, group["at"])
+        factor = longest_previous_factors(s)
+        if keep == "none":
+            factor = np.maximum(factor, longest_previous_factors(s, later=True))
+        return factor >= window
 
     return judge
 
