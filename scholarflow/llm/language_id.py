@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices, text_crc, tidy
+from .common import slices, text_crc, tidy
 
 # the training sample: about so many labelled documents a language, at most so
 # many bytes of them, so many languages (the most frequent), so many contexts
@@ -29,6 +29,8 @@ SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1_500_000
 MAX_LANGUAGES = 200
 MAX_STATES = 16_384
+# code lengths, one a byte and language, that a task holds at a time
+CELLS = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -165,6 +167,29 @@ def sample(docs: DataFrame, learn, *, doc_id: str = "doc_id", text: str = "text"
     return {k: v for k, v in out.items() if size[k]}
 
 
+def scored(model: Model | None, batch: pa.RecordBatch, kept: bool) -> Iterator[pa.RecordBatch]:
+    """Columns row, lang_pred, score and, if it is kept, text, for ``batch`` with row, letters, text.
+
+    Texts that are scored together go back together: a worker holds the code lengths
+    of one run of them, and no second batch of texts.
+    """
+    languages = model.languages if model else ()
+    named = np.array([*languages, UNDETERMINED], dtype=object)
+    for lo, hi, data, offsets in slices(batch, "text", max(CELLS // max(len(languages), 1), 1)):
+        part = batch.slice(lo, hi - lo)
+        best, sure = np.full(hi - lo, len(languages)), np.zeros(hi - lo)
+        if model is not None:
+            valid = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+            bits = code_lengths(model, data, offsets)
+            odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0))
+            best = np.where(valid, bits.argmin(1), len(languages))
+            sure = np.where(valid, 1.0 / odds.sum(1), 0.0)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("row"), pa.array(named[best], pa.string()), pa.array(sure), *([part.column("text")] if kept else [])],
+            names=["row", "lang_pred", "score", *(["text"] if kept else [])],
+        )
+
+
 def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", text: str = "text",
             keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep``, doc_id, lang_pred and score for every row, whole texts.
@@ -183,34 +208,15 @@ def predict(docs: DataFrame, model: Model | None, *, doc_id: str = "doc_id", tex
         letters.alias("letters"),
         F.col(text).alias("text"),
     )
-    languages = model.languages if model else ()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = text in keep
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = shared.value
         for batch in batches:
-            best = np.zeros(batch.num_rows, np.int64)
-            sure = np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in slices(batch, "text", SLICE_BYTES):
-                if frozen is None:
-                    continue
-                bits = code_lengths(frozen, data, offsets)
-                best[lo:hi] = bits.argmin(1)
-                odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0))
-                sure[lo:hi] = 1.0 / odds.sum(1)
-            known = frozen is not None
-            valid = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool) & known
-            named = np.array([*languages, UNDETERMINED], dtype=object)[np.where(valid, best, len(languages))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), pa.array(named, pa.string()), pa.array(np.where(valid, sure, 0.0)),
-                    *([batch.column("text")] if text in keep else []),
-                ],
-                names=["row", "lang_pred", "score", *(["text"] if text in keep else [])],
-            )
+            yield from scored(shared.value, batch, kept)
 
     schema = given.select("row").schema.add("lang_pred", "string").add("score", "double")
-    if text in keep:
+    if kept:
         schema = schema.add("text", "string")
     out = given.mapInArrow(tidy(score), schema)
     return out.select(

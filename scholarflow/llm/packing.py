@@ -35,6 +35,8 @@ from .common import ragged, slices, staged, tidy
 CAPACITY = 4096
 # distinct words a worker remembers; then it forgets them all and starts anew
 CACHE_WORDS = 400_000
+# bytes of text that are cut into words at a time in a task
+SLICE = 1 << 18
 # how this vocabulary's tokenizer cuts lower-case Latin-1 text (fixed values)
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -147,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
         encode = encoder(tokenizer)
         for batch in batches:
             owner, out = [], []
-            for lo, hi, _, _ in slices(batch, "text", 1 << 20):
+            for lo, hi, _, _ in slices(batch, "text", SLICE):
                 texts = batch.column("text").slice(lo, hi - lo).to_pylist()
                 for i, found in enumerate(encode.encode(texts), lo):
                     ids = np.append(found, np.uint32(end_id)).astype("<u4")

@@ -6,9 +6,11 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -126,6 +128,26 @@ def test_languages(spark, odd, empty):
     assert language_id.language_id(empty).collect() == []
 
 
+def test_languages_in_bounded_runs():
+    """A large batch is scored, and given back, in runs; what a worker holds does not grow with it."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["ab", "cab", "hello", "olé"]) for _ in range(4000)) for _ in range(200)] + [None, "", "12"]
+    model = language_id.train({"a": [b"abracadabra", b"cab"], "b": [b"hello hello", "olé".encode()]})
+    letters = [bool(t) and t != "12" for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(letters), pa.array(texts)], names=["row", "letters", "text"])
+    encoded = [(t or "").encode() for t in texts]
+    bits = np.concatenate([language_id.code_lengths(model, np.frombuffer(e, np.uint8), np.array([0, len(e)])) for e in encoded])
+    tracemalloc.start()
+    parts = list(language_id.scored(model, batch, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) > 4 and peak < 50 << 20  # by runs of 2 MB of text: 96 MB
+    got = pa.Table.from_batches(parts).to_pydict()
+    assert got["row"] == list(range(len(texts))) and got["text"] == texts
+    assert got["lang_pred"] == [model.languages[b.argmin()] if ok else "und" for b, ok in zip(bits, letters)]
+    assert all((p > 0) == ok for p, ok in zip(got["score"], letters))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
