@@ -49,3 +49,28 @@ def test_lines_of_a_page_are_split_once(spark, tmp_path):
     assert plan.count("split(") == 1
     html = [r.html for r in pages.orderBy("page_id").collect()]
     assert html[1] is None and [f"of {n}</p>" in html[0] for n in (2, 3)] == [False, True]
+
+
+def test_reference_entries_come_from_the_page_row(spark):
+    pages = spark.createDataFrame([(1, "")], "page_id long, html string")
+    plan = P.reference_links(pages)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Window", "Sort ", "Exchange", "Aggregate") if x in plan]
+
+
+def test_reference_entries_of_broken_pages(spark):
+    html = [
+        # a column ahead of any entry; stray closing tags; an open list keeps the title open
+        '</div><div class="col"><div>early</div></div></span><div class="reference-container"><span class="number"><i>x</i>'
+        '</span><span class="number"><b> 1 </b><b>2</b></span><div class="col"> <div>a <ul>b</div> c</div><div>d',
+        # an entry inside an entry; of two titles the first one counts; links of two boxes
+        '<div class="reference-container"><div class="col">x<div class="reference-container"><div class="col">\n<div>in</div>'
+        '<span class="ref-link"><a href="/1">A</a></span></div><div class="col"><div>second</div><span class="ref-link">'
+        "<a>B</a><a href='/2'>C</a></span></div></div></div></div>",
+        None, "", "<p>no entry</p>",
+    ]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id int, html string").coalesce(1)
+    got = [(r.page_id, r.ordinal, r.number, r.title, [tuple(f) for f in r.found]) for r in P.reference_links(pages).collect()]
+    assert sorted(got, key=lambda r: (r[0], -1 if r[1] is None else r[1])) == [
+        (0, None, None, "early", []), (0, 0, "1", "a b c", []), (1, 0, None, None, []),
+        (1, 1, None, "in", [("A", "/1"), ("B", None), ("C", "/2")]),
+    ]
